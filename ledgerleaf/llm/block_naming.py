@@ -97,7 +97,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = identities(docs, normal_space(F.col(text_col)), block_chars, {"doc_id": F.col(id_col)})
     found = stored(found, "identities")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")))
-    groups = found.groupBy("rounds", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join deals its rows itself and can split the rows of a group that is very large.
+    groups = stored(found.groupBy("rounds", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
     return found.join(groups, ["rounds", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
