@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import block_naming
+from . import best_fit, block_naming, chat_format, multi_index, quality_fm, source_mixing
 
 QUERIES = {
+    "op1_quality_fm": quality_fm.op1_quality_fm,
+    "op2_chat_format": chat_format.op2_chat_format,
+    "op5_best_fit": best_fit.op5_best_fit,
+    "op7_multi_index": multi_index.op7_multi_index,
+    "op9_source_mixing": source_mixing.op9_source_mixing,
     "op10_block_naming": block_naming.op10_block_naming,
 }
 ORACLES = {
+    "op2_chat_format": chat_format.ORACLE,
     "op10_block_naming": block_naming.ORACLE,
 }
