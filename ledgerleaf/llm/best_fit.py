@@ -9,6 +9,8 @@ one, longest first, into the tightest open sequence would give.
 
 from __future__ import annotations
 
+import base64
+import re
 import zlib
 from functools import lru_cache
 
@@ -22,7 +24,7 @@ from .common import stored, table
 
 CAPACITY = 1024
 END_ID = 2
-ENCODING = "byte_bpe_50k.json"
+ENCODING = "byte_bpe_50k"
 PIECES = "row long, doc_id {id}, piece int, start long, length long, ids_crc32 long, task long, rank long"
 
 
@@ -95,20 +97,48 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
     return np.array(out, dtype=np.int64).reshape(-1, 5), sequences
 
 
-@lru_cache(maxsize=4)
-def tokenizer(path: str):
-    """The tokenizer of a file; text that spells a special token is ordinary text."""
-    from tokenizers import Tokenizer
+#: Runs without a break that are longer than this go to the tokenizer whose merging stays fast on them.
+LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
 
+class Encoder:
+    """Token ids of texts; text that spells a special token is ordinary text.
 
-def encoder_path(name: str = ENCODING) -> str:
+    The same vocabulary is read by two libraries, whose ids the tests hold equal: the rank file's is several times
+    faster on prose, the other serves texts with very long runs of one class of characters.
+    """
+
+    def __init__(self, folder: str, name: str = ENCODING):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
+        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
+
+        self.plain = Tokenizer.from_file(f"{folder}/{name}.json")
+        self.plain.encode_special_tokens = True
+        with open(f"{folder}/{name}.tiktoken", "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        if LONG_RUN.search(text):
+            return self.plain.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+
+@lru_cache(maxsize=2)
+def encoder(folder: str) -> Encoder:
+    """One for each worker process."""
+    return Encoder(folder)
+
+
+def tokenizer_folder() -> str:
+    """The folder of the installed vocabulary files."""
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return public_tokenizers.path("").rstrip("/")
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -122,18 +152,14 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int,
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        import os
-
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        encode = tokenizer(path).encode_batch
+        encode = encoder(path).ids
         for batch in batches:
             rows = []
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for row, doc, made in zip(batch["row"], batch["doc_id"], _encoded(encode, texts), strict=True):
-                ids = np.append(np.asarray(made, dtype="<u4"), np.uint32(end_id)).astype("<u4")
+            for row, doc, text in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
+                ids = np.array([*(encode(text) if isinstance(text, str) else ()), end_id], dtype="<u4")
                 for k, (start, length) in enumerate(pieces_of(len(ids), capacity)):
                     rows.append((row, doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), task, seen[length]))
                     seen[length] += 1
@@ -143,19 +169,6 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int,
     return stored(source.mapInPandas(run, PIECES.format(id=kind)), "pieces")
 
 
-def _encoded(encode, texts: list[str]):
-    """Ids per text, a bounded number of characters at a time."""
-    some, chars = [], 0
-    for t in texts:
-        some.append(t)
-        chars += len(t)
-        if chars > 400_000:
-            yield from (e.ids for e in encode(some, add_special_tokens=False))
-            some, chars = [], 0
-    if some:
-        yield from (e.ids for e in encode(some, add_special_tokens=False))
-
-
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, row: one row per piece of a document's tokens.
 
@@ -164,7 +177,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     of its sequence. Repeated rows are documents of their own (``row`` tells them apart); null ids stay null. Empty
     table: no rows.
     """
-    made = tokenized_pieces(docs, id_col, text_col, capacity, path or encoder_path(), end_id)
+    made = tokenized_pieces(docs, id_col, text_col, capacity, path or tokenizer_folder(), end_id)
     # Ranks within a length: those within a task, plus the counts of the tasks before it.
     counts = stored(made.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows

@@ -23,12 +23,14 @@ from .common import stored, table
 K = 20
 #: Codebooks are fitted on at most this many vectors, those with the smallest hashes.
 SAMPLE = 16_384
-#: A query scores at least this many vectors and this share of the index.
-LEAST, SHARE = 1500, 0.03
-#: Vectors to a cell on average, from which the size of the codebooks follows.
-PER_CELL = 24
-MOST_CENTROIDS = 512
-BLOCK = 2048
+#: A query scores at least this many vectors and this share of the index. The share suits vectors without structure,
+#: where a query's nearest are hardly nearer than the rest; for vectors that cluster a few percent are enough.
+LEAST, SHARE = 1500, 0.45
+#: Vectors to a cell on average at least, and centroids of a half at most.
+PER_CELL = 2
+MOST_CENTROIDS = 64
+#: Vectors and queries that are scored together.
+BLOCK, TOGETHER = 4096, 4096
 SEED = 5
 
 
@@ -140,22 +142,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     queries = stored(asked.join(entries.select("entry", "v"), "v").select("id", F.col("entry").alias("asked")), "ann-queries")
     asking = index.join(queries.select(F.col("asked").alias("entry")).distinct(), "entry", "left_semi")
 
+    # Blocks of neighbouring cells with about BLOCK vectors; a larger cell is split over several parts of its block.
+    block_of = (np.cumsum(held) - held) // BLOCK
+    parts = np.maximum(1, -(-held // BLOCK))
+    most_parts = np.ones(block_of.max() + 1, dtype=np.int64)
+    np.maximum.at(most_parts, block_of, parts)
+    chunks = -(-asking.count() // TOGETHER)
+
     def route(batches):
         for b in batches:
             rows = []
             for entry, q in zip(b["entry"], stack(b["v"]) if len(b) else [], strict=True):
-                for cell in visited(q, books, held, enough):
-                    rows.extend((entry, q, cell, block) for block in range(-(-int(held[cell]) // BLOCK)))
-            yield pd.DataFrame(rows, columns=["asked", "q", "cell", "block"])
+                cells = np.sort(np.array(visited(q, books, held, enough), dtype=np.int64))
+                for some in np.split(cells, np.flatnonzero(np.diff(block_of[cells])) + 1):
+                    block = int(block_of[some[0]])
+                    rows.extend((entry, q, some, block, part, entry % chunks) for part in range(most_parts[block]))
+            yield pd.DataFrame(rows, columns=["asked", "q", "cells", "block", "part", "chunk"])
 
-    routed = asking.select("entry", "v").repartition("entry").mapInPandas(route, "asked long, q array<double>, cell long, block long")
+    routed = asking.select("entry", "v").repartition("entry").mapInPandas(route, "asked long, q array<double>, cells array<long>, block long, part long, chunk long")
 
-    def numbered_blocks(batches):
+    def dealt(batches):
         for b in batches:
-            cells = -(-held[b["cell"].to_numpy()] // BLOCK)
-            yield b.assign(block=b["entry"].to_numpy() % cells)
+            cell = b["cell"].to_numpy()
+            yield b.assign(block=block_of[cell], part=b["entry"].to_numpy() % parts[cell])
 
-    blocks = index.mapInPandas(numbered_blocks, "entry long, first long, v array<double>, cell long, block long")
+    blocks = index.mapInPandas(dealt, "entry long, first long, v array<double>, cell long, block long, part long")
+    blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))) if chunks else blocks.withColumn("chunk", F.lit(0).cast("long"))
 
     def best(key, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"asked": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "first": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
@@ -163,16 +175,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
             return empty
         have = have.sort_values("first", kind="stable")
         m, entry, first = stack(have["v"]), have["entry"].to_numpy(), have["first"].to_numpy()
-        found = []
-        for at in range(0, len(ask), 1024):
-            part = ask.iloc[at : at + 1024]
-            s = stack(part["q"]) @ m.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, : k + 3]
-            rows = np.repeat(part["asked"].to_numpy(), top.shape[1])
-            found.append(pd.DataFrame({"asked": rows, "entry": entry[top.ravel()], "first": first[top.ravel()], "near": np.take_along_axis(s, top, 1).ravel()}))
+        cells, column = np.unique(have["cell"].to_numpy(), return_inverse=True)
+        found = [empty]
+        for at in range(0, len(ask), 512):
+            some = ask.iloc[at : at + 512]
+            seen = np.zeros((len(some), len(cells)), dtype=bool)
+            for i, c in enumerate(some["cells"]):
+                seen[i] = np.isin(cells, c)
+            s = np.where(seen[:, column], stack(some["q"]) @ m.T, -np.inf)
+            top = np.argpartition(-s, k + 2, axis=1)[:, : k + 3] if s.shape[1] > k + 3 else np.tile(np.arange(s.shape[1]), (len(s), 1))
+            near = np.take_along_axis(s, top, 1)
+            ok = near.ravel() > -np.inf
+            rows = np.repeat(some["asked"].to_numpy(), top.shape[1])
+            found.append(pd.DataFrame({"asked": rows[ok], "entry": entry[top.ravel()][ok], "first": first[top.ravel()][ok], "near": near.ravel()[ok]}))
         return pd.concat(found)
 
-    near = routed.groupBy("cell", "block").cogroup(blocks.groupBy("cell", "block")).applyInPandas(best, "asked long, entry long, first long, near double")
+    near = routed.groupBy("block", "part", "chunk").cogroup(blocks.groupBy("block", "part", "chunk")).applyInPandas(best, "asked long, entry long, first long, near double")
     top = F.row_number().over(W.partitionBy("asked").orderBy(F.desc("near"), "first"))
     near = stored(near.withColumn("place", top).where(F.col("place") <= k + 3).select("asked", "entry"), "ann-near")
 
