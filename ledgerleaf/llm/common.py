@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote and nothing reads any more, and let Spark free shuffles out of use."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for name in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if "/ledgerleaf/" in path.toString():
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
 def normal_space(text: Column) -> Column:
     """Null as empty; each run of white space becomes one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

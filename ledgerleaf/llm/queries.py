@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from . import best_fit, block_naming, chat_format, multi_index, quality_fm, source_mixing
+from . import bayes_minhash, best_fit, block_naming, chat_format, multi_index, quality_fm, source_mixing, suffix_dedup, toxic_chain, warc_derivatives
 
 QUERIES = {
     "op1_quality_fm": quality_fm.op1_quality_fm,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_bayes_minhash": bayes_minhash.op4_bayes_minhash,
     "op5_best_fit": best_fit.op5_best_fit,
+    "op6_toxic_chain": toxic_chain.op6_toxic_chain,
     "op7_multi_index": multi_index.op7_multi_index,
+    "op8_warc_derivatives": warc_derivatives.op8_warc_derivatives,
     "op9_source_mixing": source_mixing.op9_source_mixing,
     "op10_block_naming": block_naming.op10_block_naming,
 }
 ORACLES = {
     "op2_chat_format": chat_format.ORACLE,
+    "op4_bayes_minhash": bayes_minhash.ORACLE,
     "op10_block_naming": block_naming.ORACLE,
 }
