@@ -1,4 +1,8 @@
 """All registered queries of the triage engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .queries import relational, text
+
+QUERIES: dict = {**text.QUERIES, **relational.QUERIES}
+ORACLES: dict = {**text.ORACLES, **relational.ORACLES}
