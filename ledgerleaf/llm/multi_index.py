@@ -159,7 +159,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
                     rows.extend((entry, q, some, block, part, entry % chunks) for part in range(most_parts[block]))
             yield pd.DataFrame(rows, columns=["asked", "q", "cells", "block", "part", "chunk"])
 
-    routed = asking.select("entry", "v").repartition("entry").mapInPandas(route, "asked long, q array<double>, cells array<long>, block long, part long, chunk long")
+    routed = asking.select("entry", "v").repartition(int(max(8, chunks)), "entry").mapInPandas(route, "asked long, q array<double>, cells array<long>, block long, part long, chunk long")
 
     def dealt(batches):
         for b in batches:

@@ -206,6 +206,8 @@ def fragments(texts: DataFrame, flags: DataFrame, buckets: int, length: int) ->
                         for made in cut(part, known[known["row"] == piece]):
                             for c in ("row", "doc", "n_bytes", "route", "at", "n"):
                                 made[c] = made[c].astype("Int64")
+                            for c in ("text", "fid", "fragment"):
+                                made[c] = made[c].astype(object).where(made[c].notna(), None)
                             yield made
 
     both = asked.unionByName(told).repartition("batch").sortWithinPartitions("batch", "side", "row")
