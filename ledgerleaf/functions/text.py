@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Typographic characters and what they count as.
 TYPOGRAPHY = {"’": "'", "‘": "'", "ʼ": "'", "“": '"', "”": '"', "–": "-", "—": "-", " ": " "}
@@ -60,13 +61,13 @@ def norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, rf"(?U){WS}+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def norm_exact(s: pd.Series) -> pd.Series:
     """The definition itself, for texts outside what ``norm`` states."""
     return s.map(lambda x: None if x is None else norm_python(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no built-in. Used on paths only."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))

@@ -168,12 +168,12 @@ def dir_fingerprint(spark, sf):
 
 @query(
     f"""WITH {DATED} SELECT o_orderkey, (o_orderkey % 6) AS k, CASE WHEN o_orderkey % 6 IN (0, 1, 2) THEN NULL ELSE text END AS text,
-  CASE WHEN o_orderkey % 6 = 0 THEN 'symlink' WHEN o_orderkey % 6 = 1 THEN 'no-content' END AS opaque, o_orderkey % 6 = 2 AS needs_vision, CASE WHEN o_orderkey % 6 >= 3 THEN year(o_orderdate::DATE + 40) END AS doc_year FROM o JOIN orders USING (o_orderkey)"""
+  CASE WHEN o_orderkey % 6 = 0 THEN 'symlink' WHEN o_orderkey % 6 = 1 THEN 'no-content' END AS opaque, o_orderkey % 6 = 2 AS needs_vision, CASE WHEN o_orderkey % 6 >= 3 THEN year(o_orderdate::DATE + 40) ELSE 0 END AS doc_year FROM o JOIN orders USING (o_orderkey)"""
 )
 def evidence(spark, sf):
     k = F.col("o_orderkey") % 6
     d = dated(spark, sf).select("o_orderkey", "rel", "ext", F.when(k >= 3, F.col("text")).when(k == 2, "/12 /33 /29").alias("text"), F.when(k == 2, 5000).otherwise(F.when(k == 1, 100).otherwise(F.col("size"))).cast("long").alias("size"), F.when(k == 0, "x").alias("link_to"), F.lit(None).cast("string").alias("error"))
-    return collect.evidence(d, YEAR + 10).select("o_orderkey", k.alias("k"), "text", "opaque", "needs_vision", "doc_year")
+    return collect.evidence(d, YEAR + 10).select("o_orderkey", k.alias("k"), "text", "opaque", "needs_vision", F.coalesce("doc_year", F.lit(0)).alias("doc_year"))
 
 
 # ---------------------------------------------------------------- triage
@@ -189,8 +189,8 @@ RULES = [
 CONFIG = {"root": ROOT, "inboxes": [{"path": "src0"}], "sensitive": {"id_kind_present": ["email"]}, "rules": RULES, "entities": []}
 _MAIL = rf"regexp_matches({flat_sql('text')}, '{identifiers.PATTERNS['email']}')"
 _TRIAGE = f"""{ENTRIES}, f AS (SELECT *, {_MAIL} AS mail, count(*) OVER (PARTITION BY size, md5) > 1 AND size > 0 AS dup, {_says('license')} AS lic, contains('/' || rel, '/src1') AS p FROM e),
-r AS (SELECT *, CASE WHEN mail THEN 'sensitive' WHEN dup THEN 'duplicate' WHEN source = 'src0' THEN 'inbox' WHEN lic THEN 'license' WHEN p THEN 'src1' ELSE 'none' END AS by FROM f),
-t AS (SELECT *, CASE WHEN by = 'license' THEN 'route' WHEN by = 'none' THEN 'residual' ELSE 'propose' END AS triage FROM r)"""
+r AS (SELECT *, CASE WHEN mail THEN 'sensitive' WHEN dup THEN 'duplicate' WHEN source = 'src0' THEN 'inbox' WHEN lic THEN 'license' WHEN p THEN 'src1' ELSE 'none' END AS who FROM f),
+t AS (SELECT *, CASE WHEN who = 'license' THEN 'route' WHEN who = 'none' THEN 'residual' ELSE 'propose' END AS triage FROM r)"""
 
 
 def triaged(spark, sf):
@@ -199,20 +199,20 @@ def triaged(spark, sf):
     return route.triage(e.join(twins, "rel", "left"), CONFIG)
 
 
-@query(f"WITH {_TRIAGE} SELECT triage, by, count(*) AS n FROM t GROUP BY 1, 2")
+@query(f"WITH {_TRIAGE} SELECT triage, who AS decided_by, count(*) AS n FROM t GROUP BY 1, 2")
 def triage_documents(spark, sf):
     made = triaged(spark, sf)
     by = F.when(F.size("guards") > 0, F.get("guards", 0)).otherwise(F.coalesce("rule", F.lit("none")))
-    return made.groupBy("triage", by.alias("by")).agg(F.count(F.lit(1)).alias("n"))
+    return made.groupBy("triage", by.alias("decided_by")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     f"""WITH {_TRIAGE}, w AS (SELECT rel, size, md5, lag(rel) OVER (PARTITION BY size, md5 ORDER BY rel) AS a, first(rel) OVER (PARTITION BY size, md5 ORDER BY rel) AS b, lead(rel) OVER (PARTITION BY size, md5 ORDER BY rel) AS c FROM e)
-SELECT t.rel, triage, CASE by WHEN 'sensitive' THEN 'sensitive (id_kind_present: email)' WHEN 'duplicate' THEN 'byte-identical to ' || CASE WHEN w.b = t.rel THEN w.c ELSE w.b END || ' (md5 ' || t.md5 || ')'
+SELECT t.rel, triage, CASE who WHEN 'sensitive' THEN 'sensitive (id_kind_present: email)' WHEN 'duplicate' THEN 'byte-identical to ' || CASE WHEN w.b = t.rel THEN w.c ELSE w.b END || ' (md5 ' || t.md5 || ')'
   WHEN 'inbox' THEN 'sitting in inbox src0 — never a silent route' WHEN 'license' THEN 'rule license (evidence strength 2)' WHEN 'src1' THEN 'rule src1 matched on the path or filename alone'
   ELSE CASE WHEN trim(text) = '' THEN 'no text to reason on' ELSE 'no rule matched' END END AS why,
   array_to_string(list_filter([CASE WHEN mail THEN 'sensitive' END, CASE WHEN dup THEN 'duplicate' END, CASE WHEN source = 'src0' THEN 'inbox' END], lambda x: x IS NOT NULL), ',') AS guards,
-  CASE WHEN by = 'license' THEN 'Legal/txt/' END AS destination FROM t JOIN w USING (rel)"""
+  CASE WHEN who = 'license' THEN 'Legal/txt/' END AS destination FROM t JOIN w USING (rel)"""
 )
 def route_triage(spark, sf):
     return triaged(spark, sf).select("rel", "triage", "why", F.array_join("guards", ",").alias("guards"), "destination")
@@ -227,16 +227,16 @@ def triage_counts(spark, sf):
 
 
 @query(
-    f"""WITH {_TRIAGE} SELECT 'rule' AS kind, by AS rule, count(*) AS n FROM t WHERE by IN ('license', 'src1') GROUP BY 2 UNION ALL SELECT 'shadow', 'long', count(*) FROM t WHERE size > 5000 HAVING count(*) > 0
+    f"""WITH {_TRIAGE} SELECT 'rule' AS kind, who AS rule, count(*) AS n FROM t WHERE who IN ('license', 'src1') GROUP BY 2 UNION ALL SELECT 'shadow', 'long', count(*) FROM t WHERE size > 5000 HAVING count(*) > 0
 UNION ALL SELECT 'shadow', 'und', count(*) FROM t WHERE {_says('und')} AND text <> '' HAVING count(*) > 0 UNION ALL SELECT 'shadow', 'dated', count(*) FROM t WHERE size > 9000 HAVING count(*) > 0"""
 )
 def by_rule(spark, sf):
     return route.rule_counts(triaged(spark, sf))
 
 
-@query(f"WITH {ENTRIES} SELECT rel, CASE WHEN {_says('license')} THEN 'license' WHEN contains('/' || rel, '/src1') THEN 'src1' END AS rule, CASE WHEN {_says('license')} THEN 2 WHEN contains('/' || rel, '/src1') THEN 1 END AS strength FROM e")
+@query(f"WITH {ENTRIES} SELECT rel, CASE WHEN {_says('license')} THEN 'license' WHEN contains('/' || rel, '/src1') THEN 'src1' END AS rule, CASE WHEN {_says('license')} THEN 2 WHEN contains('/' || rel, '/src1') THEN 1 ELSE 0 END AS strength FROM e")
 def route_rules(spark, sf):
-    return route.triage(entries(spark, sf), {"root": ROOT, "rules": RULES}).select("rel", "rule", "strength")
+    return route.triage(entries(spark, sf), {"root": ROOT, "rules": RULES}).select("rel", "rule", F.coalesce("strength", F.lit(0)).alias("strength"))
 
 
 ENTITIES = [
@@ -326,8 +326,9 @@ TRASH_CONFIG = {"root": ROOT, "sensitive": {"text_contains_any": ["license"], "p
 
 
 @query(
-    f"""WITH {ENTRIES}, s AS (SELECT *, lead(rel) OVER (PARTITION BY size, md5 ORDER BY rel) AS next FROM e)
-SELECT rel, CASE WHEN next IS NULL AND ({_says('license')} OR contains('/' || rel, '/src1')) AND NOT ({_says('license')} AND rel <> (SELECT max(rel) FROM e WHERE {_says('license')})) THEN 'refused' ELSE 'applied' END AS status FROM s WHERE size <= 1024 AND doc_id % 2 = 0"""
+    f"""WITH {ENTRIES}, s AS (SELECT *, lead(rel) OVER (PARTITION BY size, md5 ORDER BY rel) AS next, {_says('license')} AS lic, size <= 1024 AND doc_id % 2 = 0 AS bin FROM e),
+k AS (SELECT max(rel) AS newest FROM s WHERE lic), j AS (SELECT s.*, o.rel AS keep, o.md5 = s.md5 AS same, o.lic AS newer FROM s CROSS JOIN k LEFT JOIN s o ON o.rel = coalesce(s.next, k.newest) AND NOT o.bin AND o.rel <> s.rel)
+SELECT rel, CASE WHEN (lic OR contains('/' || rel, '/src1')) AND NOT coalesce(same, false) AND NOT (lic AND coalesce(newer, false)) THEN 'refused' ELSE 'applied' END AS status FROM j WHERE bin"""
 )
 def trash_guard(spark, sf):
     f = files(spark, sf)
@@ -395,13 +396,13 @@ def refused_rows(spark, sf):
 
 
 @query(
-    f"""WITH {LEDGER}, d AS (SELECT DISTINCT path, md5, decision, seq FROM l WHERE pass = (SELECT min(pass) FROM l) AND decision = 'move'),
+    f"""WITH {LEDGER}, d AS (SELECT DISTINCT path, md5, decision, seq FROM l WHERE pass = (SELECT max(pass) FROM l) AND decision = 'move'),
 m AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY md5, path ORDER BY seq DESC) = 1)
-SELECT 'gone/' || d.seq AS rel, arg_min(m.path, m.seq) AS final, true AS recorded FROM d JOIN m ON d.md5 = m.md5 AND m.decision = 'move' AND m.pass = (SELECT min(pass) FROM l) JOIN (SELECT path, md5 FROM now) f ON f.path = m.path AND f.md5 = d.md5 GROUP BY d.seq"""
+SELECT 'gone/' || d.seq AS rel, arg_min(m.path, m.seq) AS final, true AS recorded FROM d JOIN m ON d.md5 = m.md5 AND m.decision = 'move' AND m.pass = (SELECT max(pass) FROM l) JOIN (SELECT path, md5 FROM now) f ON f.path = m.path AND f.md5 = d.md5 GROUP BY d.seq"""
 )
 def reconcile(spark, sf):
     rows = ledger(spark, sf)
-    first = rows.agg(F.min("pass")).first()[0]
+    first = rows.agg(F.max("pass")).first()[0]
     d = rows.where((F.col("pass") == first) & (F.col("decision") == "move")).select(F.concat(F.lit("gone/"), F.col("seq").cast("string")).alias("rel"), "md5", "decision", F.lit(None).cast("string").alias("dst"))
     there = log.latest(rows).select(F.col("path").alias("rel"), "md5")
     return apply.reconcile(d, there, rows, first)
@@ -453,16 +454,17 @@ def rule_ripe(spark, sf):
 
 
 def moved(spark, sf):
-    """Files of ten folders that move by language and last digit; each move's texts share what their folder's do."""
+    """Files that move by language and last digit; the moves of a folder share a phrase, a name or an identifier."""
     e = files(spark, sf)
     k = F.col("doc_id")
-    dest = F.when(k % 5 == 0, F.concat(F.lit("Archive/2024 "), "lang")).when((k % 5 == 1) & (F.col("source") == "src2"), F.concat(F.lit("Second/"), "lang"))
+    memo = (k % 5 == 1) & ~F.col("source").isin("src0", "src3")
+    dest = F.when(k % 5 == 0, F.concat(F.lit("Archive/2024 "), "lang")).when(memo, F.concat(F.lit("Second/"), "lang"))
     marked = F.when(k % 5 == 0, F.concat(F.lit("dossier de "), "lang", F.lit(" archive "), F.substring("text", 1, 80))).otherwise(F.substring("text", 1, 80))
-    ids = F.when(k % 5 == 1, F.create_map(F.lit("no"), F.array(F.concat(F.lit("A"), "lang"), F.lit("B"))))
-    return e.select("doc_id", F.when(k % 5 == 1, F.concat_ws("/", F.lit("in"), "lang", F.concat(F.lit("mémo-"), "lang", k.cast("string"), F.lit(".md")))).otherwise(F.col("rel")).alias("rel"), F.when(k % 5 == 1, ".md").otherwise(".txt").alias("ext"), marked.alias("text"), ids.alias("ids"), F.when(dest.isNotNull(), "moved").alias("result"), F.concat(dest, F.lit("/"), k.cast("string"), F.lit(".txt")).alias("final"), F.lit(2024).alias("doc_year"))
+    ids = F.when(k % 5 == 1, F.create_map(F.lit("no"), F.array(F.concat(F.when(memo, "A").otherwise("C"), "lang"), F.lit("B"))))
+    return e.select("doc_id", F.when(k % 5 == 1, F.concat_ws("/", F.lit("in"), "lang", F.concat(F.when(memo, "mémo-").otherwise("note-"), "lang", F.lit("-"), k.cast("string"), F.lit(".md")))).otherwise(F.col("rel")).alias("rel"), F.when(k % 5 == 1, ".md").otherwise(".txt").alias("ext"), marked.alias("text"), ids.alias("ids"), F.when(dest.isNotNull(), "moved").alias("result"), F.concat(dest, F.lit("/"), k.cast("string"), F.lit(".txt")).alias("final"), F.lit(2024).alias("doc_year"))
 
 
-_MOVED = r"""v AS (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 'Archive/2024 ' || lang WHEN doc_id % 5 = 1 AND source = 'src2' THEN 'Second/' || lang END AS dest,
+_MOVED = r"""v AS (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 'Archive/2024 ' || lang WHEN doc_id % 5 = 1 AND source NOT IN ('src0', 'src3') THEN 'Second/' || lang END AS dest,
   CASE WHEN doc_id % 5 = 0 THEN 'dossier de ' || lang || ' archive ' || text[1:80] ELSE text[1:80] END AS text, doc_id % 5 = 1 AS memo FROM documents), g AS (SELECT dest, count(*) AS n FROM v WHERE dest IS NOT NULL GROUP BY 1 HAVING count(*) >= 3), vg AS (SELECT v.*, g.n FROM v JOIN g USING (dest))"""
 
 
@@ -478,7 +480,7 @@ def mine_phrase(spark, sf):
 
 
 @query(
-    f"""WITH {_MOVED}, i AS (SELECT doc_id, dest, unnest(['A' || lang, 'B']) AS value FROM v WHERE memo), c AS (SELECT i.dest, value, count(*) AS have FROM i JOIN g USING (dest) GROUP BY 1, 2, g.n HAVING count(*) = g.n),
+    f"""WITH {_MOVED}, i AS (SELECT doc_id, dest, unnest([CASE WHEN dest IS NOT NULL THEN 'A' ELSE 'C' END || lang, 'B']) AS value FROM v WHERE memo), c AS (SELECT i.dest, value, count(*) AS have FROM i JOIN g USING (dest) GROUP BY 1, 2, g.n HAVING count(*) = g.n),
 t AS (SELECT value, count(*) AS total FROM i GROUP BY 1) SELECT dest, min(value) AS value FROM c JOIN t USING (value) WHERE total = have GROUP BY 1"""
 )
 def mine_identifier(spark, sf):
@@ -486,11 +488,13 @@ def mine_identifier(spark, sf):
     return learn.by_identifier(e, learn.moves(e), ledger(spark, sf))
 
 
-@query(f"WITH {_MOVED}, p AS (SELECT dest, any_value(lang) AS lang, any_value(n) AS n FROM vg WHERE memo GROUP BY 1) SELECT dest, 'memo-' || lang AS prefix FROM p WHERE n = (SELECT count(*) FROM v WHERE memo AND v.lang = p.lang) AND n > 9")
+@query(
+    f"""WITH {_MOVED}, m AS (SELECT dest, min('memo-' || lang || '-' || doc_id || '.md') AS lo, max('memo-' || lang || '-' || doc_id || '.md') AS hi FROM vg WHERE memo GROUP BY 1)
+SELECT dest, lo[1:list_max(list_filter(range(1, length(lo) + 1), lambda i: lo[1:i] = hi[1:i]))] AS prefix FROM m"""
+)
 def mine_prefix(spark, sf):
     e = moved(spark, sf)
-    found = learn.by_prefix(e, learn.moves(e))
-    return found.where(F.length("prefix") <= 7)
+    return learn.by_prefix(e, learn.moves(e))
 
 
 @query(f"WITH {_MOVED}, d AS (SELECT dest, CASE WHEN starts_with(dest, 'Arch') THEN '2024-' || lower(dest[14:]) ELSE lower(dest[8:]) END AS base FROM g) SELECT dest, CASE WHEN base = 'fr' THEN 'fr-3' ELSE base END AS id FROM d")

@@ -51,7 +51,7 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def norm_sql(x: str) -> str:
-    return rf"trim(regexp_replace(strip_accents(replace(lower(translate({x},'’‘ʼ“”–—'||chr(160),'''''''""-- ')),'ß','ss')),'\s+',' ','g'))"
+    return rf"""trim(regexp_replace(strip_accents(replace(lower(translate({x},'’‘ʼ“”–—'||chr(160),'''''''""-- ')),'ß','ss')),'\s+',' ','g'))"""
 
 
 def flat_sql(x: str) -> str:
@@ -69,7 +69,7 @@ LEDGER = """l AS (
   SELECT event_id AS seq, 'u' || (user_id % 20) || '/' || user_id || '.txt' AS path, strftime(ts, '%Y-%m-%d') || '-1' AS pass,
     ['route', 'propose', 'residual', 'skip'][event_id % 4 + 1] AS triage,
     CASE event_type WHEN 'click' THEN 'none' WHEN 'error' THEN 'refused' WHEN 'purchase' THEN 'move' WHEN 'signup' THEN 'tag' ELSE 'unanswered' END AS decision,
-    event_type AS reason, event_id % 1000 AS size, epoch(ts)::BIGINT AS mtime, md5((user_id % 50) || event_type) AS md5,
+    event_type AS reason, event_id % 1000 AS size, floor(epoch(ts))::BIGINT AS mtime, md5((user_id % 50) || event_type) AS md5,
     CASE WHEN event_id % 7 = 0 THEN 'human-decision' ELSE 'pass' END AS provenance,
     CASE WHEN event_id % 3 = 0 THEN event_type || ' par l’usager ' || user_id END AS descr, strftime(ts, '%Y-%m-%d') AS date_doc FROM events),
 now AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1)"""
