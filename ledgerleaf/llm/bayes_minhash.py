@@ -5,9 +5,9 @@
 3. In each bucket all classes are compared with the bucket's least class: pairs grow with the rows, not with their
    square. Signatures are compared a batch at a time; a pair is dropped as soon as the posterior probability that its
    similarity reaches the threshold falls below the chosen miss probability. Survivors are confirmed on full sets.
-4. Where a bucket still holds several components, classes of different components are compared in blocks, in the
-   same way. So no link that a bucket holds is left out, and large groups of copies, by then one component, cost no
-   pairs.
+4. Where a bucket still holds several components, classes of different components are compared in blocks, first on
+   signatures, then those left on full sets, within the block. A block gives a forest of its links, not its pairs. So
+   no link that a bucket holds is left out, and no table holds more rows than a group has members.
 """
 
 from __future__ import annotations
@@ -167,72 +167,123 @@ def starts_of(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(frame))
 
 
-def star_pairs(entries: DataFrame, percent: int, miss: float) -> DataFrame:
+def star_pairs(entries: DataFrame, signs: DataFrame, percent: int, miss: float) -> DataFrame:
     """a, b: each class against the least class of each of its buckets, where the comparison leaves the pair."""
-    first = F.min(F.struct("cls", "n", "sig"))
-    heads = stored(entries.groupBy("band").agg(first.alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1"), "heads")
+    heads = stored(entries.groupBy("band").agg(F.min("cls").alias("a")), "heads")
+    pairs = entries.join(heads, "band").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
 
     def prune(batches):
         for b in batches:
             if len(b):
-                left = survivors(_bytes(b["head_sig"]), _bytes(b["sig"]), b["head_n"].to_numpy(), b["n"].to_numpy(), percent, miss)
+                left = survivors(_bytes(b["a_sig"]), _bytes(b["b_sig"]), b["a_n"].to_numpy(), b["b_n"].to_numpy(), percent, miss)
                 yield b.iloc[left][["a", "b"]]
 
-    pairs = entries.join(heads, "band").where("cls <> head.cls").select(F.col("head.cls").alias("a"), F.col("cls").alias("b"), "n", "sig", F.col("head.n").alias("head_n"), F.col("head.sig").alias("head_sig"))
-    return stored(pairs.mapInPandas(prune, "a long, b long").distinct(), "star-pairs")
+    side = lambda c: signs.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("sig").alias(f"{c}_sig"))
+    sized = pairs.join(side("b"), "b").join(side("a"), "a")
+    return stored(sized.mapInPandas(prune, "a long, b long"), "star-pairs")
 
 
-def block_pairs(entries: DataFrame, percent: int, miss: float) -> DataFrame:
-    """a, b: pairs of classes that share a bucket and not a component, where the comparison leaves the pair.
-
-    A large bucket is dealt over blocks; each pair of blocks is compared on its own.
-    """
-    mixed = entries.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    mixed = stored(mixed.select("band", F.ceil(F.col("size") / BLOCK).alias("blocks")), "mixed-buckets")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("own")
-    dealt = entries.join(mixed, "band").select("band", "cls", "n", "sig", "label", "blocks", own)
+def in_blocks(entries: DataFrame) -> DataFrame:
+    """Rows of ``entries`` (band, cls, ...) dealt over pairs of blocks of their bucket: adds i, j, own."""
+    sizes = entries.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = entries.join(stored(sizes, "bucket-sizes"), "band").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "n", "sig", "label")
-
-    def compare(g: pd.DataFrame):
-        sig, n, label, cls, own = _bytes(g["sig"]), g["n"].to_numpy(), g["label"].to_numpy(), g["cls"].to_numpy(), g["own"].to_numpy()
-        same = bool(g["i"].iloc[0] == g["j"].iloc[0])
-        left = np.arange(len(g)) if same else np.flatnonzero(own == g["i"].iloc[0])
-        right = left if same else np.flatnonzero(own != g["i"].iloc[0])
-        for at in range(0, len(left), 256):
-            some = left[at : at + 256]
-            x, y = np.repeat(some, len(right)), np.tile(right, len(some))
-            ok = (label[x] != label[y]) & ((x < y) if same else True)
-            ok &= np.minimum(n[x], n[y]) * 100 >= percent * np.maximum(n[x], n[y])
-            x, y = x[ok], y[ok]
-            for k in range(0, len(x), 65536):
-                p, q = x[k : k + 65536], y[k : k + 65536]
-                keep = survivors(sig[p], sig[q], n[p], n[q], percent, miss)
-                yield np.minimum(cls[p[keep]], cls[q[keep]]), np.maximum(cls[p[keep]], cls[q[keep]])
-
+    placed = dealt.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "blocks")
     keys = ["band", "i", "j"]
+    return placed.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def pairs_left(g: pd.DataFrame, percent: int, miss: float):
+    """Index pairs of a block group, of different components, that sizes and signatures leave; some at a time."""
+    sig, n, label, own, i, j = _bytes(g["sig"]), g["n"].to_numpy(), g["label"].to_numpy(), g["own"].to_numpy(), g["i"].iloc[0], g["j"].iloc[0]
+    left = np.flatnonzero(own == i)
+    right = left if i == j else np.flatnonzero(own == j)
+    for at in range(0, len(left), 256):
+        some = left[at : at + 256]
+        x, y = np.repeat(some, len(right)), np.tile(right, len(some))
+        ok = label[x] != label[y]
+        if i == j:
+            ok &= x < y
+        x, y = x[ok], y[ok]
+        for k in range(0, len(x), 65536):
+            p, q = x[k : k + 65536], y[k : k + 65536]
+            keep = survivors(sig[p], sig[q], n[p], n[q], percent, miss)
+            if len(keep):
+                yield p[keep], q[keep]
+
+
+def open_classes(mixed: DataFrame, percent: int, miss: float) -> DataFrame:
+    """band, cls: classes of a bucket that the comparison of signatures leaves in a pair with another component."""
 
     def run(batches):
-        for frame, _ in stream_groups(batches, keys):
-            at = starts_of(frame, keys)
-            twos = np.flatnonzero(np.diff(at) == 2)
-            out = []
+        for frame, _ in stream_groups(batches, ["band", "i", "j"]):
+            at = starts_of(frame, ["band", "i", "j"])
+            band, cls = frame["band"].to_numpy(), frame["cls"].to_numpy()
+            left = np.zeros(len(frame), dtype=bool)
+            twos = at[:-1][np.diff(at) == 2]
             if len(twos):  # most buckets hold two classes: all of them at once
-                x, y = at[twos], at[twos] + 1
-                sig, n, label, cls = _bytes(frame["sig"]), frame["n"].to_numpy(), frame["label"].to_numpy(), frame["cls"].to_numpy()
-                own = frame["own"].to_numpy()
-                cross = (label[x] != label[y]) & ((frame["i"].to_numpy()[x] == frame["j"].to_numpy()[x]) | (own[x] != own[y]))
+                own, i, j, label, n = (frame[c].to_numpy() for c in ("own", "i", "j", "label", "n"))
+                sig, x, y = _bytes(frame["sig"]), twos, twos + 1
+                cross = (label[x] != label[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
                 x, y = x[cross], y[cross]
                 keep = survivors(sig[x], sig[y], n[x], n[y], percent, miss)
-                out.append((np.minimum(cls[x[keep]], cls[y[keep]]), np.maximum(cls[x[keep]], cls[y[keep]])))
+                left[x[keep]] = left[y[keep]] = True
             for k in np.flatnonzero(np.diff(at) > 2):
-                out.extend(compare(frame.iloc[at[k] : at[k + 1]]))
-            for a, b in out:
-                if len(a):
-                    yield pd.DataFrame({"a": a, "b": b})
+                for p, q in pairs_left(frame.iloc[at[k] : at[k + 1]], percent, miss):
+                    left[at[k] + p] = left[at[k] + q] = True
+            yield pd.DataFrame({"band": band[left], "cls": cls[left]})
+
+    return stored(in_blocks(mixed).mapInPandas(run, "band long, cls long").distinct(), "open-classes")
+
+
+def block_links(open_: DataFrame, percent: int, miss: float, words: int) -> DataFrame:
+    """a, b: links between components, confirmed on full sets within blocks; of each block no more than a forest.
+
+    A pair is looked at in the first band it shares. Nothing grows with the number of pairs but the comparisons.
+    """
+
+    def links(g: pd.DataFrame):
+        sets = [shingle_set(t, words) for t in g["text"]]
+        sizes = np.array([len(x) for x in sets])
+        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        begins = np.cumsum(sizes) - sizes
+        member = np.zeros(ids.max() + 1, dtype=np.int32)
+        bands, band = np.array(g["bands"].tolist(), dtype=np.int64), int(g["band"].iloc[0])
+        cls, root = g["cls"].to_numpy(), {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        label = g["label"].tolist()
+        for p, q in pairs_left(g, percent, miss):
+            shared = bands[p] == bands[q]
+            first = bands[p, shared.argmax(axis=1)] == band
+            p, q = p[first], q[first]
+            at = np.append(np.flatnonzero(np.append(True, p[1:] != p[:-1])), len(p)) if len(p) else [0]
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                mine, others = p[s], q[s:e]
+                mark = ids[begins[mine] : begins[mine] + sizes[mine]]
+                member[mark] = 1
+                n = sizes[others]
+                rows = np.repeat(begins[others] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.add.reduceat(member[ids[rows]], np.cumsum(n) - n)
+                member[mark] = 0
+                for k in others[100 * both >= percent * (sizes[mine] + n - both)]:
+                    x, y = find(label[mine]), find(label[k])
+                    if x != y:
+                        root[x] = y
+                        yield cls[mine], cls[k]
+
+    def run(batches):
+        for frame, _ in stream_groups(batches, ["band", "i", "j"]):
+            at = starts_of(frame, ["band", "i", "j"])
+            out = [x for k in np.flatnonzero(np.diff(at) > 1) for x in links(frame.iloc[at[k] : at[k + 1]])]
+            yield pd.DataFrame({"a": pd.Series([x for x, _ in out], dtype="int64"), "b": pd.Series([y for _, y in out], dtype="int64")})
 
-    sorted_ = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return stored(sorted_.mapInPandas(run, "a long, b long").distinct(), "block-pairs")
+    return stored(in_blocks(open_).mapInPandas(run, "a long, b long"), "block-links")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -272,19 +323,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = stored(rows.join(classes, "digest").select("row", "doc_id", "n", "cls"), "members")
 
     heads = made.where("n > 0").join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
-    entries = heads.select(F.col("row").alias("cls"), "key", "n", "sig", F.explode("bands").alias("band"))
+    signs = stored(heads.select(F.col("row").alias("cls"), "key", "n", "sig", "bands"), "signs")
+    entries = signs.select("cls", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
-    entries = stored(entries.join(shared, "band").select("band", "cls", "key", "n", "sig"), "entries")
+    entries = stored(entries.join(stored(shared, "shared-bands"), "band"), "entries")
 
     # The texts of classes that share a bucket at all, by a key of id and text; repeated rows count once.
-    wanted = entries.select("cls", "key").distinct()
+    wanted = signs.select("cls", "key").join(entries.select("cls").distinct(), "cls")
     source = docs.select(text_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     texts = stored(source.join(wanted, "key").dropDuplicates(["cls"]).select("cls", "text"), "near-texts")
 
-    links = confirmed(star_pairs(entries, percent, miss), texts, percent, words)
+    links = confirmed(star_pairs(entries, signs, percent, miss), texts, percent, words)
     labels = stored(components(links), "labels")
     labelled = entries.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    more = confirmed(block_pairs(stored(labelled.drop("key"), "labelled"), percent, miss), texts, percent, words)
+    labelled = stored(labelled, "labelled")
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    mixed = labelled.join(stored(mixed, "mixed-buckets"), "band").join(signs.select("cls", "n", "sig"), "cls")
+    open_ = open_classes(mixed, percent, miss)
+    whole = open_.join(labelled, ["band", "cls"]).join(signs.select("cls", "n", "sig", "bands"), "cls").join(texts, "cls")
+    more = block_links(whole, percent, miss, words)
     merged = components(links.unionByName(more)) if more.take(1) else labels
     return member, stored(merged.select(F.col("node").alias("cls"), "label"), "component-labels")
 
