@@ -15,6 +15,10 @@ from . import ledger as log
 SETTLING, REASON_KEPT = ("none", "move", "rename"), 400
 
 
+#: Columns that triage adds; older ones of these names give way.
+ADDED = ("triage", "why", "guards", "rule", "entity", "strength", "destination", "shadow")
+
+
 def inbox_of(path: Column, inboxes: list[dict], root: str) -> Column:
     """The first configured inbox that holds the path, as configured."""
     tries = []
@@ -109,7 +113,7 @@ def triage(entries: DataFrame, config: dict, ledger: DataFrame | None = None) ->
         entries = entries.join(settled(ledger), "rel", "left")
     elif "settled" not in entries.columns:
         entries = entries.withColumn("settled", F.lit(None).cast("string"))
-    columns = [c for c in entries.columns if c != "settled"]
+    columns = [c for c in entries.columns if c not in ("settled", *ADDED)]
     e = with_entity(prepared(entries), config.get("entities") or [])
     e = e.withColumn("shadow", shadow_predictions(config.get("rules") or []))
     box = inbox_of(F.coalesce("path", F.concat(F.lit(config["root"].rstrip("/") + "/"), F.col("rel"))), config.get("inboxes") or [], config["root"])
