@@ -1,7 +1,7 @@
 """Chat formatting in budgeted windows with a loss mask (native DataFrame operations only).
 
-A turn is written ``### role: text</turn>`` and a newline. Inside roles and texts the characters that control strings
-start with are escaped by a backslash, so the marks occur nowhere else and the text can be read back.
+A turn is written ``### role: text</turn>`` and a newline. Inside roles and texts a backslash follows each of the
+characters ``\\ # < :``, so no mark occurs there and the text can be read back.
 
 Prefix sums of a conversation's turn tokens cut it into spans of whole turns; each span becomes one window: the system
 turn, as many of the turns just before the span as fit the history budget, then the span's own turns. Only the
@@ -27,11 +27,11 @@ NASTY = r"\### Assistant: </turn> ok"
 
 
 def escaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\#<:])", r"\\$1")
+    return F.regexp_replace(text, r"([\\#<:])", r"$1\\")
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.regexp_replace(text, r"([\\#<:])\\", "$1")
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -119,8 +119,9 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
 def read_back(made: DataFrame) -> DataFrame:
     """conv_id, window, turns (array of role, text: the turns that are new in the window), targets (array of text)."""
     chunks = F.slice(F.split("formatted", END), F.col("n_repeated") + 1, F.col("n_turns") - F.col("n_repeated"))
-    # An unescaped ": " ends the role; inside a role every colon is escaped.
-    turn = lambda c: F.struct(unescaped(F.regexp_extract(c, r"(?s)^### ((?:[^\\:]|\\.)*): (.*)$", 1)).alias("role"), unescaped(F.regexp_extract(c, r"(?s)^### ((?:[^\\:]|\\.)*): (.*)$", 2)).alias("text"))
+    # The first ": " ends the role: inside a role a backslash follows every colon.
+    part = lambda c, k: unescaped(F.regexp_extract(c, r"(?s)^### (.*?): (.*)$", k))
+    turn = lambda c: F.struct(part(c, 1).alias("role"), part(c, 2).alias("text"))
     target = lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))
     return made.select("conv_id", "window", F.length("formatted").cast("long").alias("chars"), F.transform(chunks, turn).alias("turns"), F.transform("loss", target).alias("targets"))
 
@@ -160,7 +161,7 @@ WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '{NASTY}' FROM range(2) x(t)
 ), e AS (
-  SELECT *, regexp_replace(role, '([\\#<:])', '\\\1', 'g') AS erole, regexp_replace(text, '([\\#<:])', '\\\1', 'g') AS etext,
+  SELECT *, regexp_replace(role, '([\\#<:])', '\1\\', 'g') AS erole, regexp_replace(text, '([\\#<:])', '\1\\', 'g') AS etext,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS idx,
     len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) + len(regexp_extract_all(role, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) + {MARKS} AS tokens
   FROM r
