@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import normal_space, stored
+from .common import normal_space, stored, without_ids
 
 BLOCK_CHARS = 4096
 
@@ -29,7 +29,7 @@ def _block_hash(block: Column, seed: int) -> Column:
 
 def named_blocks(docs: DataFrame, text: Column, block_chars: int, extra: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(rows with their blocks' hashes, hash -> name); the hash is one-to-one on the blocks of ``docs``."""
-    source = docs.select(*(c.alias(k) for k, c in extra.items()), text.alias("_text"))
+    source = docs.select(*(c.alias(k) for k, c in extra.items()), text.alias("_text"))  # no other columns, so no clash
     blocks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
     blocks = F.when(F.length("_text") == 0, F.array(F.lit(""))).otherwise(blocks)
     seed = 0
@@ -110,8 +110,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; ids are taken to identify documents, null ids stay."""
-    dropped = exact_dedup(docs, id_col, text_col).where("not kept and doc_id <> keep_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(dropped, F.col(id_col) == F.col("_gone"), "left_anti")
+    return without_ids(docs, exact_dedup(docs, id_col, text_col).where("not kept and doc_id <> keep_id").select("doc_id"), id_col)
 
 
 def op10_block_naming(spark, sf_dir):

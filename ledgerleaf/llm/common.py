@@ -41,6 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows with integer keys as new expressions, which a join on them deals out itself.
+
+    An aggregate's rows lie where its keys put them, and a join would take both sides as they lie, in the same tasks
+    as the aggregate. Dealt anew, the other side's rows of a key that very many have can be split.
+    """
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0)) for k in keys})
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove tables that ``stored`` wrote and nothing reads any more, and let Spark free shuffles out of use."""
     for df in tables:
@@ -53,6 +62,20 @@ def dropped(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
+def free_name(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not the one column of ``ids``; null ids stay."""
+    gone = free_name("gone", docs)
+    return docs.join(ids.toDF(gone), docs[id_col] == F.col(gone), "left_anti")
+
+
 def normal_space(text: Column) -> Column:
     """Null as empty; each run of white space becomes one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

@@ -15,8 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import free_name, table
 
 #: The classifier is fitted on at most this many labelled documents, those with the smallest hashes of their ids.
 SAMPLE = 6000
@@ -168,18 +169,21 @@ def metadata(docs: DataFrame) -> list:
 
 
 def score(docs: DataFrame, model: FactorisationMachine, keep: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """The columns ``keep`` and score (0 to 1), a row per row of ``docs``; null texts are scored as empty ones."""
+    """The columns ``keep`` and, last, a score (0 to 1), a row per row of ``docs``; null texts are scored as empty ones.
+
+    The score is named so where no column is.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.w.astype("f4"), model.v.astype("f4")))  # of fixed size
 
     def run(batches):
         bias, w, v = shared.value
         m = FactorisationMachine(bias, w, v)
         for b in batches:
-            yield b[keep].assign(score=[m.score(*features(t, d, buckets)) for t, d in zip(b["_text"], b["_n"], strict=True)])
+            yield b[keep].assign(**{out: [m.score(*features(t, d, buckets)) for t, d in zip(b[text], b[n], strict=True)]})
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    n_chars = metadata(docs)[0].alias("_n")
-    return docs.select(*keep, F.col("text").cast("string").alias("_text"), n_chars).mapInPandas(run, f"{fields}, score double")
+    out, text, n = free_name("score", docs), free_name("whole_text", docs), free_name("said_chars", docs)
+    kind = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
+    return docs.select(*keep, F.col("text").cast("string").alias(text), metadata(docs)[0].alias(n)).mapInPandas(run, kind)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -188,15 +192,14 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sa
     Equal texts of equal n_chars get equal scores. A null doc_id is scored like any other. With no usable labels, or
     labels of one class, every score is that class's smoothed share. Empty table: no rows.
     """
-    made = score(docs, train(docs, labels, sample), ["doc_id"])
+    made = score(docs, train(docs, labels, sample), ["doc_id"]).toDF("doc_id", "score")
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold."""
-    model = train(docs, labels)
-    keep = [c for c in docs.columns]
-    return score(docs, model, keep).where(F.col("score") >= threshold).select(*keep)
+    made = score(docs, train(docs, labels), docs.columns)
+    return made.where(F.col(made.columns[-1]) >= threshold).select(*docs.columns)
 
 
 def op1_quality_fm(spark, sf_dir):

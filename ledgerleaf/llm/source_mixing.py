@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import power_of_two, stored, table, word_count
+from .common import free_name, power_of_two, stored, table, word_count
 
 SLOTS = 1 << 17
 MAX_REPEATS = 3
@@ -65,7 +65,8 @@ def source_targets(rows: DataFrame, weights: Column | None = None, max_repeats:
     weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     ranked = weighted.select("*", cap).select("*", left.alias("left"), weight_left.alias("weight_left"))
     stopped = F.col("left").cast("decimal(38,0)") * F.col("weight") >= F.col("cap").cast("decimal(38,0)") * F.col("weight_left")
-    open_ = F.min(F.when(~stopped, F.struct(F.col("cap") * 6 / F.col("weight"), F.col("source"), F.col("left"), F.col("weight_left")))).over(everything)
+    # What is left shrinks along the order, so the first source that is not stopped has the most.
+    open_ = F.max(F.when(~stopped, F.struct("left", "weight_left"))).over(everything)
     share = (open_["left"] * F.col("weight")).cast("double") / open_["weight_left"].cast("double")
     targets = ranked.select("source", "weight", "source_size", F.when(stopped, F.col("cap").cast("double")).otherwise(share).alias("target"))
     below = F.coalesce(F.sum("target").over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
@@ -81,7 +82,7 @@ def golden_schedule(sources: DataFrame, total: int, block: int, max_repeats: int
     slots = -(-total // block)
     cells = 4096
     cell = UNIT // cells
-    scale = F.lit(float(UNIT)) / F.lit(float(total))
+    scale = F.lit(UNIT / max(total, 1))
     spans = sources.where("target > 0").select(
         "source",
         "source_size",
@@ -154,10 +155,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     Documents without words are never taken. Rows that share an id are repeated alike.
     """
     taken = taken_words(docs, id_col=id_col, **options)
-    copies = taken.groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0")
-    copies = copies.withColumnRenamed("doc_id", "_id")
-    both = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id")))
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    times = F.round(F.sum("taken") / F.when(F.sum("size") > 0, F.sum("size"))).cast("int")
+    id_, n, k = (free_name(x, docs) for x in ("mixed_id", "copies", "copy"))
+    copies = taken.groupBy(F.col("doc_id").alias(id_)).agg(times.alias(n)).where(F.col(n) > 0)
+    both = docs.join(copies, docs[id_col].eqNullSafe(F.col(id_)))
+    return both.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op9_source_mixing(spark, sf_dir):

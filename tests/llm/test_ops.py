@@ -167,7 +167,7 @@ def brute_repeats(texts, length):
             if first[b[k : k + length]] < i:
                 gone[k : k + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        out.append((i, len(b), sum(gone), len(re.findall(rb"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(b), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     return out
 
 
@@ -227,7 +227,8 @@ def test_plan_is_best_fit_decreasing():
             for rank in range(count):
                 _, r0, per, first, offset = max((s for s in rows if s[1] <= rank), key=lambda s: s[1])
                 placed[first + (rank - r0) // per].append((offset + (rank - r0) % per * x, x))
-        assert sorted(sorted(x for _, x in v) for v in placed.values()) == sorted(sorted(b[1]) for b in bins)
+        # Bins of equal room are alike to best fit, so contents may be swapped; how full the bins are is not.
+        assert sorted(sum(x for _, x in v) for v in placed.values()) == sorted(sum(b[1]) for b in bins)
         assert len(placed) == n
         for v in placed.values():
             at = 0
@@ -487,8 +488,8 @@ def test_chat_windows(spark):
         for r in g.sort_values("window").itertuples():
             parts = r.formatted.split("</turn>\n")[:-1]
             assert len(parts) == r.n_turns
-            plain = lambda s: re.sub(r"(?s)\\(.)", r"\1", s)
-            new = [re.fullmatch(r"(?s)### ((?:[^\\:]|\\.)*): (.*)", p).groups() for p in parts[r.n_repeated :]]
+            plain = lambda s: re.sub(r"([\\#<:])\\", r"\1", s)
+            new = [re.fullmatch(r"(?s)### (.*?): (.*)", p).groups() for p in parts[r.n_repeated :]]
             turns += [(plain(a), plain(b)) for a, b in new]
             targets += [plain(r.formatted[s["start"] : s["start"] + s["length"]]) for s in r.loss]
             assert r.n_tokens <= chat_format.BUDGET or len(new) <= 2
