@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import dealt_anew, stored, table, without_ids
 from .components import components
 
 WORDS = 5
@@ -31,7 +31,7 @@ MISS = 1e-5
 #: Ends of the batches in which signatures are compared.
 BATCHES = (26, 52, 78, 104, 130)
 #: Classes of a bucket that are compared with each other in one block; pairs of one class that are confirmed together.
-BLOCK, TOGETHER = 2048, 256
+BLOCK, TOGETHER = 256, 256
 SEED = 97
 
 _WORD_HASH: dict[bytes, int] = {}
@@ -169,7 +169,7 @@ def starts_of(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
 
 def star_pairs(entries: DataFrame, signs: DataFrame, percent: int, miss: float) -> DataFrame:
     """a, b: each class against the least class of each of its buckets, where the comparison leaves the pair."""
-    heads = stored(entries.groupBy("band").agg(F.min("cls").alias("a")), "heads")
+    heads = dealt_anew(entries.groupBy("band").agg(F.min("cls").alias("a")), "band")
     pairs = entries.join(heads, "band").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
 
     def prune(batches):
@@ -186,7 +186,7 @@ def star_pairs(entries: DataFrame, signs: DataFrame, percent: int, miss: float)
 def in_blocks(entries: DataFrame) -> DataFrame:
     """Rows of ``entries`` (band, cls, ...) dealt over pairs of blocks of their bucket: adds i, j, own."""
     sizes = entries.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = entries.join(stored(sizes, "bucket-sizes"), "band").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    dealt = entries.join(dealt_anew(sizes, "band"), "band").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = dealt.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "blocks")
     keys = ["band", "i", "j"]
@@ -290,7 +290,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
     """The pairs whose full sets reach the threshold. A class of very many pairs is dealt over several groups."""
     groups = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts")), "pair-groups")
     left = groups.join(texts.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.lit(-1).cast("long").alias("b"), "text")
-    placed = stored(pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "placed-pairs")
+    placed = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     right = placed.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "part", F.lit(1).alias("side"), "b", "text")
 
     def run(batches):
@@ -326,7 +326,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signs = stored(heads.select(F.col("row").alias("cls"), "key", "n", "sig", "bands"), "signs")
     entries = signs.select("cls", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
-    entries = stored(entries.join(stored(shared, "shared-bands"), "band"), "entries")
+    entries = stored(entries.join(dealt_anew(shared, "band"), "band"), "entries")
 
     # The texts of classes that share a bucket at all, by a key of id and text; repeated rows count once.
     wanted = signs.select("cls", "key").join(entries.select("cls").distinct(), "cls")
@@ -338,7 +338,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labelled = entries.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    mixed = labelled.join(stored(mixed, "mixed-buckets"), "band").join(signs.select("cls", "n", "sig"), "cls")
+    mixed = labelled.join(dealt_anew(mixed, "band"), "band").join(signs.select("cls", "n", "sig"), "cls")
     open_ = open_classes(mixed, percent, miss)
     whole = open_.join(labelled, ["band", "cls"]).join(signs.select("cls", "n", "sig", "bands"), "cls").join(texts, "cls")
     more = block_links(whole, percent, miss, words)
@@ -356,14 +356,14 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     member, labels = near_classes(docs, **options)
     labelled = member.join(labels, "cls", "left").select("doc_id", "n", F.coalesce("label", "cls").alias("label"))
     labelled = stored(labelled, "labelled-documents")
-    least = stored(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "component-ids")
+    least = dealt_anew(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
     return labelled.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each component: those that ``near_duplicates`` does not keep go."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return without_ids(docs, gone, id_col)
 
 
 def op4_bayes_minhash(spark, sf_dir):

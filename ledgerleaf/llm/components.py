@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dealt_anew, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
     """u, m: the least of each u and its neighbours."""
-    return stored(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    return dealt_anew(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
 
 
 def _state(edges: DataFrame) -> tuple:
