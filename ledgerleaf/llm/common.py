@@ -37,7 +37,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     were dealt (row keys, ranks, names) are fixed once and read alike by every later stage.
     """
     path = f"{shared_dir(df.sparkSession)}/ledgerleaf/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,8 +58,13 @@ def dropped(*tables: DataFrame) -> None:
             path = jvm.org.apache.hadoop.fs.Path(name).getParent()
             if "/ledgerleaf/" in path.toString():
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    freed(tables[0].sparkSession)
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files that no plan refers to any more; it does so when the driver collects garbage."""
     gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def free_name(base: str, *frames: DataFrame) -> str:

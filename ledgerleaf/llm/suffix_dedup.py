@@ -8,10 +8,12 @@ in a document with a smaller id.
    windows whose anchor occurs in two documents can repeat. Anchors are counted in buckets, a batch's anchors of a
    bucket in one row, and each batch learns which of its own are shared.
 3. Runs of such windows are cut where their router changes (the same with ROUTER bytes): fragments. Equal windows lie
-   in fragments of one route. Equal fragments are one.
-4. A shard, some routes, is sorted by its suffixes' first bytes; on its Burrows-Wheeler transform intervals are
-   extended backwards breadth first, which gives the common prefixes by increasing length, until LENGTH. Suffixes
-   between the boundaries found so far start with the same window; its least document goes back to the fragments.
+   in fragments of one router, so in one shard. A batch sends a shard its different fragments, once each, packed.
+4. A shard is sorted by its suffixes' first bytes; on its Burrows-Wheeler transform intervals are extended backwards
+   breadth first, which gives the common prefixes by increasing length, until LENGTH. Suffixes between the boundaries
+   found so far start with the same window; its least document goes back to the batches. A shard that is too large
+   for one task (a router that very many different fragments share) is dealt out anew by its single windows.
+5. Each batch marks its documents' bytes.
 """
 
 from __future__ import annotations
@@ -20,57 +22,61 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bayes_minhash import starts_of, stream_groups
-from .common import dropped, stored, table
+from .common import dropped, freed, stored, table
 
 LENGTH = 50
 ANCHOR, ROUTER = 24, 12
-#: Documents to a batch, as a power of two.
-BATCH_BITS = 8
-#: Text bytes to a bucket of anchors; fragment bytes to a shard, and to a route before it is cut into single windows.
-BUCKET_BYTES, SHARD_BYTES, ROUTE_BYTES = 32 << 20, 4 << 20, 2 << 20
+#: Documents to a batch, as a power of two, and bytes of a batch that are hashed together.
+BATCH_BITS, PIECE_BYTES = 9, 4 << 20
+#: Text bytes to a bucket of anchors and to a shard on average; fragment bytes of a shard beyond which it is dealt out.
+BUCKET_BYTES, SHARD_BYTES, LARGE_BYTES = 32 << 20, 4 << 20, 24 << 20
 LAST = (1 << 63) - 1
 _TABLE = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 
 
-def string_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` bytes from each position on; the last size - 1 positions are not to be used."""
-    by = {1: _TABLE[data]}
-    n = 1
-    while 2 * n <= size:
-        h, p = by[n], np.uint64(pow(_BASE, n, 1 << 64))
-        by[2 * n] = h * p
-        by[2 * n][:-n] += h[n:]
-        n *= 2
-    out, done = None, 0
-    while done < size:
-        part = 1 << ((size - done).bit_length() - 1)
-        if out is None:
-            out = by[part].copy()
-        else:
-            out *= np.uint64(pow(_BASE, part, 1 << 64))
-            out[: len(out) - done] += by[part][done:]
-        done += part
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(29)
-    return out
-
-
-def least_in_window(data: np.ndarray, size: int, length: int) -> np.ndarray:
-    """The least hash of a string of ``size`` bytes in the window that starts at each position."""
-    m, n, width = string_hashes(data, size), 1, length - size + 1
-    while 2 * n <= width:
-        m[:-n] = np.minimum(m[:-n], m[n:])
-        n *= 2
-    if width > n:
-        m[: n - width] = np.minimum(m[: n - width], m[width - n :])
-    return m
+_POWERS: list[np.ndarray] = [np.ones(0, dtype=np.uint64)] * 2
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, kept for the next call."""
+    if len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.full(n, b, dtype=np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class Hashes:
+    """Hashes of the strings of any size that start at each position of some bytes, from sums over their beginnings."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        forth, self.back = powers(n)
+        self.n, self.sums = n, np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_TABLE[data] * forth, out=self.sums[1:])
+
+    def of(self, size: int) -> np.ndarray:
+        """One hash for each position at which ``size`` bytes are left."""
+        m = self.n - size + 1
+        out = (self.sums[size:] - self.sums[:m]) * self.back[:m]
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(29)
+        return out
+
+    def least(self, size: int, length: int) -> np.ndarray:
+        """The least hash of a string of ``size`` bytes in the window of each position at which one is left."""
+        m, n, width = self.of(size), 1, length - size + 1
+        while 2 * n <= width:
+            m = np.minimum(m[:-n], m[n:])
+            n *= 2
+        if width > n:
+            m = np.minimum(m[: n - width], m[width - n :])
+        return m
 
 
 class Batch:
@@ -86,8 +92,10 @@ class Batch:
         self.doc = doc[self.at]
         self.length = length
 
+        self.hashes = Hashes(self.data) if len(self.at) else None
+
     def least(self, size: int) -> np.ndarray:
-        return least_in_window(self.data, size, self.length)[self.at] if len(self.at) else np.zeros(0, dtype=np.uint64)
+        return self.hashes.least(size, self.length)[self.at] if self.hashes else np.zeros(0, dtype=np.uint64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The batch's distinct anchors, sorted; whether two of its documents have it; the index of each window's."""
@@ -116,14 +124,17 @@ def counted_anchors(texts: DataFrame, buckets: int, length: int) -> DataFrame:
     def emit(batches):
         for frame, _ in stream_groups(batches, ["batch"]):
             at = starts_of(frame, ["batch"])
+            batch, row = frame["batch"].to_numpy(), frame["row"].to_numpy()
             for s, e in zip(at[:-1], at[1:], strict=True):
-                part = frame.iloc[s:e]
-                names, multi, _ = Batch([_as_bytes(t) for t in part["text"]], length).anchors()
-                bucket = bucket_of(names, buckets)
-                packed = ((names & np.uint64((1 << 39) - 1)) << np.uint64(1)) | multi.astype(np.uint64)
-                packed = packed.view(np.uint8).reshape(-1, 8)[:, :5]
-                have = np.unique(bucket)
-                yield pd.DataFrame({"batch": int(part["batch"].iloc[0]), "piece": int(part["row"].iloc[0]), "bucket": have, "keys": [packed[bucket == b].tobytes() for b in have]}, columns=["batch", "piece", "bucket", "keys"])
+                texts = [_as_bytes(t) for t in frame["text"].iloc[s:e]]
+                cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // PIECE_BYTES)) + 1
+                for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+                    names, multi, _ = Batch(texts[i:j], length).anchors()
+                    bucket = bucket_of(names, buckets)
+                    keys = ((names & np.uint64((1 << 39) - 1)) << np.uint64(1)) | multi.astype(np.uint64)
+                    keys = keys.view(np.uint8).reshape(-1, 8)[:, :5]
+                    have = np.unique(bucket)
+                    yield pd.DataFrame({"batch": int(batch[s]), "piece": int(row[s + i]), "bucket": have, "keys": [keys[bucket == b].tobytes() for b in have]}, columns=["batch", "piece", "bucket", "keys"])
 
     def count(key, frame: pd.DataFrame) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(frame["keys"]), dtype=np.uint8).reshape(-1, 5)
@@ -145,72 +156,95 @@ def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-FRAGMENTS = "kind int, row long, doc long, text string, n_bytes long, fid binary, fragment binary, route long, at int, n int"
+def packed(*arrays) -> bytes:
+    """Arrays of integers or bytes as one compressed value."""
+    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
+    head = np.array([len(parts), *map(len, parts)], dtype="<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+
+
+def unpacked(blob: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw[:8], dtype="<i8")[0])
+    ends = np.cumsum(np.frombuffer(raw[8 : 8 + 8 * n], dtype="<i8")) + 8 + 8 * n
+    return [raw[s:e] for s, e in zip([8 + 8 * n, *ends[:-1]], ends, strict=True)]
+
 
+def integers(part: bytes) -> np.ndarray:
+    return np.frombuffer(part, dtype="<i8")
 
-def fragments(texts: DataFrame, flags: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Rows of three kinds: 0 a document with windows that can repeat (row, doc, text); 1 a fragment of a batch (fid,
-    fragment, route, least doc, and in n the number of documents); 2 where a document has it (row, doc, fid, at)."""
-    asked = flags.select("batch", F.lit(0).alias("side"), F.col("piece").alias("row"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("first"), "bucket", "flags")
-    told = texts.select("batch", F.lit(1).alias("side"), "row", "doc", "text", "first", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("flags"))
-    columns = ["kind", "row", "doc", "text", "n_bytes", "fid", "fragment", "route", "at", "n"]
 
-    def cut(part: pd.DataFrame, known: pd.DataFrame):
+FRAGMENTS = "kind int, batch long, shard long, row long, text string, bytes long, blob binary"
+
+
+def fragments(texts: DataFrame, flags: DataFrame, copies: DataFrame, buckets: int, shards: int, length: int) -> DataFrame:
+    """Rows of three kinds. 0: a document with windows that can repeat (row, text). 1: a batch's different fragments
+    for a shard: numbers, sizes, least and greatest documents, bytes. 2: where a batch's documents have them: numbers,
+    rows, documents, places."""
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = flags.select("batch", F.lit(0).alias("side"), F.col("piece").alias("row"), none("long").alias("doc"), none("string").alias("text"), "bucket", "flags")
+    lesser = copies.select("batch", F.lit(1).alias("side"), "row", none("long").alias("doc"), none("string").alias("text"), none("long").alias("bucket"), none("binary").alias("flags"))
+    told = texts.select("batch", F.lit(2).alias("side"), "row", "doc", "text", none("long").alias("bucket"), none("binary").alias("flags"))
+    columns = [c.split()[0] for c in FRAGMENTS.split(", ")]
+
+    def cut(batch: int, part: pd.DataFrame, known: pd.DataFrame, lesser: np.ndarray):
         b = Batch([_as_bytes(t) for t in part["text"]], length)
         names, _, index = b.anchors()
         if not len(names):
-            return []
+            return
         shared, bucket = np.zeros(len(names), dtype=bool), bucket_of(names, buckets)
         for k, f in zip(known["bucket"].to_numpy(), known["flags"], strict=True):
-            shared[bucket == k] = np.frombuffer(f, dtype=np.uint8) > 0
+            shared[bucket == int(k)] = np.frombuffer(f, dtype=np.uint8) > 0
+        rows, ids = part["row"].to_numpy(np.int64), part["doc"].to_numpy(np.int64)
         # Only the least copy of a text lends fragments.
-        open_ = shared[index] & part["first"].to_numpy().astype(bool)[b.doc]
-        at, doc, route = b.at[open_], b.doc[open_], b.least(ROUTER)[open_]
+        open_ = shared[index] & ~np.isin(rows, lesser)[b.doc]
+        at, doc = b.at[open_], b.doc[open_]
         if not len(at):
-            return []
+            return
+        route = b.least(ROUTER)[open_]
         new = np.ones(len(at), dtype=bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (route[1:] != route[:-1])
         starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(at)) - 1
-        data, rows, ids = b.data.tobytes(), part["row"].to_numpy(), part["doc"].to_numpy()
-        out, seen = [], {}
-        for s, e in zip(at[starts].tolist(), at[ends].tolist(), strict=True):
-            seen_at = data[s : e + length]
-            out.append(xxhash.xxh3_128_digest(seen_at))
-            seen.setdefault(out[-1], [seen_at, 0, 0, set()])
-        docs = doc[starts]
-        for f, d, r in zip(out, docs.tolist(), route[starts].tolist(), strict=True):
-            x = seen[f]
-            x[1] = min(x[1], ids[d]) if x[3] else ids[d]
-            x[2] = r
-            x[3].add(int(ids[d]))
+        ends = at[np.append(starts[1:], len(at)) - 1] + length
+        data, number = b.data.tobytes(), {}
+        which = np.array([number.setdefault(data[s:e], len(number)) for s, e in zip(at[starts].tolist(), ends.tolist(), strict=True)])
+        docs, pieces = doc[starts], list(number)
+        least, last = np.full(len(pieces), LAST), np.full(len(pieces), -LAST)
+        np.minimum.at(least, which, ids[docs])
+        np.maximum.at(last, which, ids[docs])
+        shard = np.empty(len(pieces), dtype=np.int64)
+        shard[which] = (route[starts] >> np.uint64(20)) % np.uint64(shards)
         held = np.unique(docs)
-        frames = [
-            pd.DataFrame({"kind": 0, "row": rows[held], "doc": ids[held], "text": part["text"].to_numpy()[held], "n_bytes": b.sizes[held]}),
-            pd.DataFrame({"kind": 1, "doc": [x[1] for x in seen.values()], "fid": list(seen), "fragment": [x[0] for x in seen.values()], "route": [x[2] - (1 << 63) for x in seen.values()], "n": [min(2, len(x[3])) for x in seen.values()]}),
-            pd.DataFrame({"kind": 2, "row": rows[docs], "doc": ids[docs], "fid": out, "at": at[starts] - b.begins[docs]}),
-        ]
-        return [f.reindex(columns=columns) for f in frames]
+        yield pd.DataFrame({"kind": 0, "batch": batch, "row": rows[held], "text": part["text"].to_numpy(dtype=object)[held]})
+        made = []
+        by = np.argsort(shard, kind="stable")
+        for group in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
+            mine = [pieces[i] for i in group.tolist()]
+            sizes = np.array([len(p) for p in mine], dtype="<i8")
+            made.append((1, batch, int(shard[group[0]]), int(rows[0]), int(sizes.sum()), packed(group.astype("<i8"), sizes, least[group], last[group], b"".join(mine))))
+        made.append((2, batch, -1, int(rows[0]), 0, packed(which.astype("<i8"), rows[docs], ids[docs], (at[starts] - b.begins[docs]).astype("<i8"))))
+        yield pd.DataFrame(made, columns=["kind", "batch", "shard", "row", "bytes", "blob"])
 
     def run(batches):
         for frame, _ in stream_groups(batches, ["batch"]):
             at = starts_of(frame, ["batch"])
             for s, e in zip(at[:-1], at[1:], strict=True):
                 group = frame.iloc[s:e]
-                known, docs = group[group["side"] == 0], group[group["side"] == 1]
+                known, docs = group[group["side"] == 0], group[group["side"] == 2]
+                lesser = group["row"][group["side"] == 1].to_numpy(np.int64)
                 pieces = np.unique(known["row"].to_numpy())
                 which = np.searchsorted(pieces, docs["row"].to_numpy(), side="right")
                 for k, piece in enumerate(pieces):
                     part = docs[which == k + 1]
-                    if len(part):
-                        for made in cut(part, known[known["row"] == piece]):
-                            for c in ("row", "doc", "n_bytes", "route", "at", "n"):
-                                made[c] = made[c].astype("Int64")
-                            for c in ("text", "fid", "fragment"):
-                                made[c] = made[c].astype(object).where(made[c].notna(), None)
-                            yield made
-
-    both = asked.unionByName(told).repartition("batch").sortWithinPartitions("batch", "side", "row")
+                    for made in cut(int(frame["batch"].iloc[s]), part, known[known["row"] == piece], lesser) if len(part) else ():
+                        made = made.reindex(columns=columns)
+                        for c in ("shard", "row", "bytes"):
+                            made[c] = made[c].astype("Int64")
+                        for c in ("text", "blob"):
+                            made[c] = made[c].astype(object).where(made[c].notna(), None)
+                        yield made
+
+    both = asked.unionByName(lesser).unionByName(told).repartition("batch").sortWithinPartitions("batch", "side", "row")
     return stored(both.mapInPandas(run, FRAGMENTS), "fragments")
 
 
@@ -235,20 +269,35 @@ def common_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.nda
 
 def prefix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Rotations of the text sorted by at least their first ``depth`` symbols, by prefix doubling."""
-    n, width = len(symbols), 7
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(width):
-        key = (key << np.uint64(9)) | np.roll(symbols, -j).astype(np.uint64)
+    n = len(symbols)
+    have = np.bincount(symbols) > 0
+    dense = (np.cumsum(have) - 1).astype(np.uint64)[symbols]
+    bits, room = max(1, int(have.sum() - 1).bit_length()), int(n - 1).bit_length()
+    width = 63 // bits
+    key = dense.copy()
+    for j in range(1, width):
+        key <<= np.uint64(bits)
+        key |= np.roll(dense, -j)
+    # Later keys are two ranks. Where a place fits beside them, plain sorting, which is several times as fast, will do.
+    small, start = 3 * room <= 63, width
+    place = np.arange(n, dtype=np.uint64)
     while True:
-        order = np.argsort(key)
+        if small and width > start:
+            key <<= np.uint64(room)
+            key |= place
+            key.sort()
+            order = (key & np.uint64((1 << room) - 1)).astype(np.int64)
+            key >>= np.uint64(room)
+        else:
+            order = np.argsort(key)
+            key = key[order]
         if width >= depth:
             return order
-        new = np.ones(n, dtype=np.int64)
-        new[1:] = np.diff(key[order]) != 0
-        new[0] = 0
+        new = np.empty(n, dtype=np.uint64)
+        new[0], new[1:] = 0, key[1:] != key[:-1]
         rank = np.empty(n, dtype=np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        key = (rank << np.uint64(32)) | np.roll(rank, -width)
+        rank[order] = np.cumsum(new)
+        key = (rank << np.uint64(room)) | np.roll(rank, -width)
         width *= 2
 
 
@@ -260,11 +309,14 @@ def boundaries(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarra
     boundaries of the extended string's length less one; only such intervals are extended further.
     """
     n = len(symbols)
+    kind = np.int32 if n < 1 << 31 else np.int64
     transform = symbols[order - 1]
-    back = np.argsort(transform, kind="stable")  # back[j]: the row whose backward extension is row j
-    to = np.empty(n, dtype=np.int64)
-    to[back] = np.arange(n)
+    back = np.argsort(transform, kind="stable").astype(kind)  # back[j]: the row whose backward extension is row j
+    to = np.empty(n, dtype=kind)
+    to[back] = np.arange(n, dtype=kind)
     first = transform[back]
+    turns = np.ones(n, dtype=bool)  # rows that start with another symbol than the row before
+    turns[1:] = first[1:] != first[:-1]
     found = np.zeros(n + 1, dtype=bool)
     found[0] = found[n] = True
     lo, hi = np.array([0]), np.array([n])
@@ -272,135 +324,211 @@ def boundaries(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarra
         if not len(lo):
             break
         sizes = hi - lo
-        rows = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        of = np.repeat(np.arange(len(lo)), sizes)
-        if len(rows) > n // 8:
-            label = np.full(n, -1, dtype=np.int64)
-            label[to[rows]] = of
-            target = np.flatnonzero(label >= 0)
-            label = label[target]
+        total = int(sizes.sum())
+        if total > n // 8:
+            # Each row's interval, or none, laid out by row and then seen by the rows that extend it.
+            runs = np.empty(2 * len(lo) + 1, dtype=np.int64)
+            runs[1::2], runs[0], runs[2:-1:2], runs[-1] = sizes, lo[0], lo[1:] - hi[:-1], n - hi[-1]
+            names = np.full(2 * len(lo) + 1, -1, dtype=kind)
+            names[1::2] = np.arange(len(lo), dtype=kind)
+            label = np.repeat(names, runs)[back]
+            new = turns.copy()
+            new[1:] |= label[1:] != label[:-1]
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], n)
+            held = label[begin] >= 0
+            lo, hi = begin[held], end[held]
         else:
+            of = np.repeat(np.arange(len(lo), dtype=kind), sizes)
+            rows = np.arange(total, dtype=kind) + np.repeat((lo - (np.cumsum(sizes) - sizes)).astype(kind), sizes)
             target = to[rows]
             by = np.argsort(target)
             target, label = target[by], of[by]
-        new = np.ones(len(target), dtype=bool)
-        new[1:] = (label[1:] != label[:-1]) | (first[target[1:]] != first[target[:-1]]) | (target[1:] != target[:-1] + 1)
-        begin = np.flatnonzero(new)
-        lo, hi = target[begin], target[np.append(begin[1:], len(target)) - 1] + 1
+            new = np.ones(total, dtype=bool)
+            new[1:] = (label[1:] != label[:-1]) | turns[target[1:]] | (target[1:] != target[:-1] + 1)
+            begin = np.flatnonzero(new)
+            lo, hi = target[begin].astype(np.int64), target[np.append(begin[1:], total) - 1].astype(np.int64) + 1
         fresh = ~found[hi]
         lo, hi = lo[fresh], hi[fresh]
         found[hi] = True
     return found[:n]
 
 
-def repeats(distinct: DataFrame, shard_bytes: int, route_bytes: int, length: int) -> DataFrame:
-    """fid, at, n, least: windows at .. at + n - 1 of a fragment also start in document ``least``.
+def repeats(sent: DataFrame, large_bytes: int, length: int) -> DataFrame:
+    """batch, piece, blob (numbers, places, counts, least documents): windows at .. at + n - 1 of a batch's fragment
+    also start in document ``least``, which is less than some document of the batch that has the fragment.
 
-    ``distinct``: fid, fragment, route, doc (the least), last (the greatest doc). A route with more bytes than
-    ``route_bytes`` is dealt out by its single windows, each by its own hash.
+    ``sent``: batch, row, shard, bytes, blob. Shards with more than ``large_bytes`` of fragments are dealt out by
+    their single windows, each by its own hash; so no task grows with what one router gathers.
     """
-    size = F.length("fragment")
-    totals = distinct.groupBy("route").agg(F.sum(size).alias("bytes"))
-    wide = stored(totals.where(F.col("bytes") > route_bytes).select("route"), "wide-routes")
-    total = distinct.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    narrow = distinct.join(wide, "route", "left_anti").select("fid", F.lit(0).alias("base"), "fragment", "doc", "last", "route")
-    cut = distinct.join(wide, "route").withColumn("base", F.explode(F.sequence(F.lit(0), size - length)))
-    window = F.expr(f"substring(fragment, base + 1, {length})")
-    windows = cut.select("fid", "base", window.alias("fragment"), "doc", "last").withColumn("route", F.xxhash64("fragment"))
-    shards = max(1, -(-int(total) // shard_bytes))
-    pieces = narrow.unionByName(windows).withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+    sizes = sent.groupBy("shard").agg(F.sum("bytes").alias("total"))
+    parts = F.when(F.col("total") > large_bytes, F.ceil(F.col("total") * length / 8 / large_bytes)).otherwise(1)
+    dealt = sent.join(stored(sizes.select("shard", parts.cast("long").alias("parts")), "shard-sizes"), "shard")
+
+    def deal(batches):
+        """Rows of shards that are whole as they are; those of large ones as windows, one row for each part."""
+        for frame in batches:
+            whole = frame[frame["parts"] == 1]
+            if len(whole):
+                yield whole.assign(part=0, base=None)[["batch", "row", "shard", "part", "base", "blob"]]
+            for r in frame[frame["parts"] > 1].itertuples():
+                number, size, least, last, data = unpacked(r.blob)
+                number, size, least, last = map(integers, (number, size, least, last))
+                begin, n = np.cumsum(size) - size, size - length + 1
+                of = np.repeat(np.arange(len(size)), n)
+                base = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = begin[of] + base
+                part = (Hashes(np.frombuffer(data, dtype=np.uint8)).of(length)[at] >> np.uint64(7)) % np.uint64(r.parts)
+                out = []
+                for k in np.unique(part):
+                    i = np.flatnonzero(part == k)
+                    text = np.frombuffer(data, dtype=np.uint8)[at[i][:, None] + np.arange(length)].tobytes()
+                    out.append((r.batch, r.row, r.shard, int(k), base[i].astype("<i8").tobytes(), packed(number[of[i]], np.full(len(i), length, dtype="<i8"), least[of[i]], last[of[i]], text)))
+                yield pd.DataFrame(out, columns=["batch", "row", "shard", "part", "base", "blob"])
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        doc, last = frame["doc"].to_numpy(np.int64), frame["last"].to_numpy(np.int64)
-        # Equal windows of a wide route arrive often: once each is enough, with the least document.
-        names, inverse = np.unique(frame["fragment"].to_numpy(dtype=object), return_inverse=True)
-        least_doc = np.full(len(names), LAST)
-        np.minimum.at(least_doc, inverse, doc)
+        names: dict[bytes, int] = {}
+        number, name, base, least, last, of = [], [], [], [], [], []
+        for k, (blob, bases) in enumerate(zip(frame["blob"], frame["base"], strict=True)):
+            n, size, lo, hi, data = unpacked(blob)
+            n, size = integers(n), integers(size)
+            ends = np.cumsum(size).tolist()
+            name.append([names.setdefault(data[s:e], len(names)) for s, e in zip([0, *ends[:-1]], ends, strict=True)])
+            number.append(n)
+            base.append(np.zeros(len(n), dtype=np.int64) if bases is None else integers(bases))
+            least.append(integers(lo))
+            last.append(integers(hi))
+            of.append(np.full(len(n), k))
+        number, name, base, least, last, of = map(np.concatenate, (number, name, base, least, last, of))
+        first = np.full(len(names), LAST)
+        np.minimum.at(first, name, least)
         group, piece, at = common_windows(list(names), length)
         starts = np.flatnonzero(np.append(True, np.diff(group) != 0))
-        least = np.minimum.reduceat(least_doc[piece], starts)
-        least = np.repeat(least, np.diff(np.append(starts, len(group))))
-        by = np.lexsort((at, piece))
-        piece, at, least = piece[by], at[by], least[by]
-        new = np.ones(len(piece), dtype=bool)
-        new[1:] = (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])
+        window = np.repeat(np.minimum.reduceat(first[piece], starts), np.diff(np.append(starts, len(group))))
+        # Back to the order of the text, by place; the separators keep pieces apart.
+        sizes = np.array([len(x) for x in names], dtype=np.int64)
+        begins = np.cumsum(sizes + 1) - sizes
+        spot = begins[piece] + at
+        there, value, owner = np.zeros(sizes.sum() + len(sizes) + 1, dtype=bool), np.empty(sizes.sum() + len(sizes) + 1, dtype=np.int64), np.empty(sizes.sum() + len(sizes) + 1, dtype=np.int32)
+        there[spot], value[spot], owner[spot] = True, window, piece
+        spot = np.flatnonzero(there)
+        value = value[spot]
+        new = np.ones(len(spot), dtype=bool)
+        new[1:] = (spot[1:] != spot[:-1] + 1) | (value[1:] != value[:-1])
         begin = np.flatnonzero(new)
-        runs = pd.DataFrame({"name": piece[begin], "at": at[begin], "n": np.diff(np.append(begin, len(piece))), "least": least[begin]})
-        given = pd.DataFrame({"name": inverse, "fid": frame["fid"].to_numpy(), "base": frame["base"].to_numpy(), "last": last})
-        out = given.merge(runs, on="name")
-        out = out[out["least"] < out["last"]]
-        return pd.DataFrame({"fid": out["fid"], "at": out["at"] + out["base"], "n": out["n"], "least": out["least"]})
+        n, window, piece = np.diff(np.append(begin, len(spot))), value[begin], owner[spot[begin]]
+        at = spot[begin] - begins[piece]
+        # Every sent fragment takes the runs of its name.
+        lo = np.searchsorted(piece, name, side="left")
+        many = np.searchsorted(piece, name, side="right") - lo
+        sent_ = np.repeat(np.arange(len(name)), many)
+        run_ = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + lo[sent_]
+        ok = window[run_] < last[sent_]
+        sent_, run_ = sent_[ok], run_[ok]
+        out = []
+        for rows in np.split(np.arange(len(sent_)), np.flatnonzero(np.diff(of[sent_])) + 1) if len(sent_) else ():
+            i, j = sent_[rows], run_[rows]
+            k = of[i[0]]
+            out.append((frame["batch"].iloc[k], frame["row"].iloc[k], packed(number[i], (at[j] + base[i]).astype("<i8"), n[j].astype("<i8"), window[j])))
+        return pd.DataFrame(out, columns=["batch", "row", "blob"])
+
+    rows = dealt.select("batch", "row", "shard", "parts", "blob").mapInPandas(deal, "batch long, row long, shard long, part long, base binary, blob binary")
+    return stored(rows.groupBy("shard", "part").applyInPandas(run, "batch long, row long, blob binary"), "repeats")
+
+
+def cut_out(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, list[tuple[int, int]], str]:
+    """Removed bytes, maximal removed runs, digest of the rest."""
+    by = np.argsort(starts, kind="stable")
+    starts, reach = starts[by], np.maximum.accumulate(ends[by])
+    new = np.append(True, starts[1:] > reach[:-1])
+    begin = np.flatnonzero(new)
+    runs = list(zip(starts[begin].tolist(), reach[np.append(begin[1:], len(starts)) - 1].tolist(), strict=True))
+    kept, at = hashlib.sha256(), 0
+    for s, e in runs:
+        kept.update(data[at:s])
+        at = e
+    kept.update(data[at:])
+    return sum(e - s for s, e in runs), runs, kept.hexdigest()
+
+
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def marked(made: DataFrame, found: DataFrame, length: int, with_spans: bool) -> DataFrame:
+    """row, n_removed, n_spans, kept_sha256, spans of the documents that lose bytes; batch by batch."""
+    given = made.where("kind <> 1").select("batch", F.when(F.col("kind") == 0, 2).otherwise(0).alias("side"), "row", "text", "blob")
+    told = found.select("batch", F.lit(1).alias("side"), "row", F.lit(None).cast("string").alias("text"), "blob")
 
-    return stored(pieces.groupBy("shard").applyInPandas(run, "fid binary, at long, n long, least long"), "repeats")
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, route_bytes: int = ROUTE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end of each removed run of bytes).
+    def run(batches):
+        for frame, _ in stream_groups(batches, ["batch"]):
+            bounds = starts_of(frame, ["batch"])
+            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                group = frame.iloc[s:e]
+                texts = dict(zip(group["row"][group["side"] == 2], group["text"][group["side"] == 2], strict=True))
+                places = {r: [integers(x) for x in unpacked(x)] for r, x in zip(group["row"][group["side"] == 0], group["blob"][group["side"] == 0], strict=True)}
+                hits = {}
+                for piece, blob in zip(group["row"][group["side"] == 1], group["blob"][group["side"] == 1], strict=True):
+                    number, at, n, least = map(integers, unpacked(blob))
+                    which, rows, docs, begins = places[piece]
+                    by = np.argsort(which, kind="stable")
+                    lo = np.searchsorted(which[by], number, side="left")
+                    many = np.searchsorted(which[by], number, side="right") - lo
+                    hit = np.repeat(np.arange(len(number)), many)
+                    spot = by[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + lo[hit]]
+                    ok = least[hit] < docs[spot]
+                    hit, spot = hit[ok], spot[ok]
+                    start = begins[spot] + at[hit]
+                    order = np.argsort(rows[spot], kind="stable")
+                    r, start, end = rows[spot][order], start[order], (start + n[hit] + length - 1)[order]
+                    for i in np.split(np.arange(len(r)), np.flatnonzero(np.diff(r)) + 1) if len(r) else ():
+                        hits.setdefault(int(r[i[0]]), []).append((start[i], end[i]))
+                out = []
+                for row, spans in hits.items():
+                    removed, runs, digest = cut_out(_as_bytes(texts[row]), *(np.concatenate(x) for x in zip(*spans, strict=True)))
+                    out.append((row, removed, len(runs), digest, [{"start": x, "end": y} for x, y in runs] if with_spans else None))
+                if out:
+                    yield pd.DataFrame(out, columns=["row", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    both = given.unionByName(told).repartition("batch").sortWithinPartitions("batch")
+    return stored(both.mapInPandas(run, f"row long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS}"), "marked")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, large_bytes: int = LARGE_BYTES, bucket_bytes: int = BUCKET_BYTES, with_spans: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end of each removed run; null unless asked for).
 
     Texts are UTF-8 bytes, null is empty; documents shorter than ``length`` lose nothing. A null id is greater than
     all others. Documents of equal ids do not take from each other. Empty table: no rows.
     """
     order = F.coalesce(F.col(id_col), F.lit(LAST))
-    row = F.monotonically_increasing_id()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), order.alias("doc"), text.alias("text"))
-    texts = stored(texts.withColumn("batch", F.shiftright("row", BATCH_BITS)).withColumn("sha", F.sha2("text", 256)).withColumn("n_bytes", F.octet_length("text").cast("long")), "texts")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), order.alias("doc"), text.alias("text"))
+    texts = stored(texts.withColumns({"batch": F.shiftright("row", BATCH_BITS), "sha": F.sha2("text", 256), "n_bytes": F.octet_length("text").cast("long")}), "texts")
 
     copies = stored(texts.groupBy("sha").agg(F.min("doc").alias("least")), "copies")
     narrow = texts.select("row", "doc_id", "doc", "sha", "n_bytes", "batch")
-    facts = stored(narrow.join(copies, "sha").select("row", "doc_id", "doc", "n_bytes", "sha", (F.col("doc") == F.col("least")).alias("first"), "batch"), "facts")
+    facts = stored(narrow.join(copies, "sha").select("row", "doc_id", "n_bytes", "sha", (F.col("doc") == F.col("least")).alias("first"), "batch"), "facts")
 
-    total = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(16, -(-int(total) // bucket_bytes))
+    total = int(facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
+    buckets, shards = max(16, -(-total // bucket_bytes)), max(16, -(-total // shard_bytes))
     flags = stored(counted_anchors(texts, buckets, length), "flags")
-    known = texts.select("batch", "row", "doc", "text").join(facts.select("row", "first"), "row")
-    made = fragments(known, flags, buckets, length)
+    freed(docs.sparkSession)
+    made = fragments(texts.select("batch", "row", "doc", "text"), flags, facts.where("not first").select("batch", "row"), buckets, shards, length)
     dropped(texts, flags, copies)
+    found = repeats(made.where("kind = 1").select("batch", "row", "shard", "bytes", "blob"), large_bytes, length)
+    some = marked(made, found, length, with_spans)
+    dropped(made, found)
 
-    pieces = made.where("kind = 1").groupBy("fid").agg(F.first("fragment").alias("fragment"), F.first("route").alias("route"), F.min("doc").alias("doc"))
-    spots = made.where("kind = 2").select("row", "doc", "fid", "at")
-    last = spots.groupBy("fid").agg(F.max("doc").alias("last"))
-    found = repeats(stored(pieces.join(last, "fid"), "distinct"), shard_bytes, route_bytes, length)
-
-    start = (F.col("s.at") + F.col("f.at")).cast("long")
-    hits = spots.alias("s").join(found.alias("f"), F.col("s.fid") == F.col("f.fid")).where("f.least < s.doc")
-    hits = hits.select("s.row", F.struct(start.alias("start"), (start + F.col("f.n") + length - 1).alias("end")).alias("span"))
-    # A document's own spans: bounded by its length.
-    spans = stored(hits.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("spans")), "spans")
-
-    def cut(batches):
-        for b in batches:
-            rows = []
-            for r, t, spans_ in zip(b["row"], b["text"], b["spans"], strict=True):
-                data, kept, at, runs = _as_bytes(t), hashlib.sha256(), 0, []
-                for s in spans_:
-                    if runs and s["start"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s["end"])
-                    else:
-                        runs.append([s["start"], s["end"]])
-                for s, e in runs:
-                    kept.update(data[at:s])
-                    at = e
-                kept.update(data[at:])
-                rows.append((r, sum(e - s for s, e in runs), len(runs), kept.hexdigest(), [{"start": s, "end": e} for s, e in runs]))
-            yield pd.DataFrame(rows, columns=["row", "n_removed", "n_spans", "kept_sha256", "spans"])
-
-    kind = "array<struct<start:long,end:long>>"
-    some = made.where("kind = 0").select("row", "text").join(spans, "row").mapInPandas(cut, f"row long, n_removed long, n_spans long, kept_sha256 string, spans {kind}")
-    some = stored(some, "cuts")
-    nothing = F.sha2(F.lit(""), 256)
     whole = ~F.col("first") & (F.col("n_bytes") >= length)
-    all_ = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.coalesce("spans", F.lit([]).cast(kind)))
-    out = facts.join(some, "row", "left")
-    return out.select(
+    all_ = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.coalesce("spans", F.lit([]).cast(SPANS)))
+    return facts.join(some, "row", "left").select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, nothing).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        all_.alias("spans"),
+        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        (all_ if with_spans else F.lit(None).cast(SPANS)).alias("spans"),
     )
 
 
 def op3_suffix_dedup(spark, sf_dir):
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_spans=False).drop("spans")
