@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, stored, table, without_ids
+from .common import dealt_anew, small_batches, stored, table, without_ids
 from .components import components
 
 WORDS = 5
@@ -48,13 +48,13 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     if not found:
         return np.zeros(0, dtype=np.uint64)
     known, get = _WORD_HASH, _WORD_HASH.get
-    if len(known) > 500_000:  # bounded memory in a worker that lives long
-        known.clear()
     h = [get(w) for w in found]
     if None in h:
         for i, w in enumerate(found):
             if h[i] is None:
-                h[i] = known[w] = xxhash.xxh64_intdigest(w)
+                h[i] = xxhash.xxh64_intdigest(w)
+                if len(known) < 150_000:  # bounded memory in a worker that lives long; frequent words come early
+                    known[w] = h[i]
     h = np.array(h, dtype=np.uint64)
     k = min(words, len(h))
     n = len(h) - k + 1
@@ -315,6 +315,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, miss: float = MISS, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n, cls; cls, label): documents with their class of equal sets, classes with their component."""
+    small_batches(docs.sparkSession)
     made = signed(docs, id_col, text_col, words)
     # Documents without shingles are classes of their own.
     digest = F.when(F.col("n") > 0, F.col("digest")).otherwise(F.col("row").cast("string").cast("binary"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -109,19 +109,26 @@ class Encoder:
     """
 
     def __init__(self, folder: str, name: str = ENCODING):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(f"{folder}/{name}.json")
-        self.plain.encode_special_tokens = True
+        self.file = f"{folder}/{name}.json"
         with open(f"{folder}/{name}.tiktoken", "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def plain(self):
+        """Large in memory, and few texts need it."""
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.file)
+        made.encode_special_tokens = True
+        return made
+
     def ids(self, text: str) -> list[int]:
         if LONG_RUN.search(text):
             return self.plain.encode(text, add_special_tokens=False).ids
@@ -177,6 +184,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     of its sequence. Repeated rows are documents of their own (``row`` tells them apart); null ids stay null. Empty
     table: no rows.
     """
+    small_batches(docs.sparkSession)
     made = tokenized_pieces(docs, id_col, text_col, capacity, path or tokenizer_folder(), end_id)
     # Ranks within a length: those within a task, plus the counts of the tasks before it.
     counts = stored(made.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")

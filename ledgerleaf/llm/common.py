@@ -81,6 +81,16 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(ids.toDF(gone), docs[id_col] == F.col(gone), "left_anti")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers no more than ``rows`` at a time, where the session still has Spark's default.
+
+    A worker holds a batch several times over (Arrow, strings, results), and whole texts are long.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def normal_space(text: Column) -> Column:
     """Null as empty; each run of white space becomes one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

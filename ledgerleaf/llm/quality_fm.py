@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table
+from .common import free_name, small_batches, table
 
 #: The classifier is fitted on at most this many labelled documents, those with the smallest hashes of their ids.
 SAMPLE = 6000
@@ -66,9 +66,9 @@ _BUCKET_OF: dict[str, int] = {}
 def _bucket(word: str, buckets: int) -> int:
     found = _BUCKET_OF.get(word)
     if found is None:
-        if len(_BUCKET_OF) > 400_000:  # bounded memory in a worker that lives long
-            _BUCKET_OF.clear()
-        found = _BUCKET_OF[word] = zlib.crc32(word.lower().encode("utf-8", "surrogatepass"))
+        found = zlib.crc32(word.lower().encode("utf-8", "surrogatepass"))
+        if len(_BUCKET_OF) < 100_000:  # bounded memory in a worker that lives long; frequent words come early
+            _BUCKET_OF[word] = found
     return found % buckets
 
 
@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int
 
     Null labels and labels without a document are left out; of several labels of a document the largest holds.
     """
+    small_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample)
 
@@ -173,6 +174,7 @@ def score(docs: DataFrame, model: FactorisationMachine, keep: list[str], buckets
 
     The score is named so where no column is.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.w.astype("f4"), model.v.astype("f4")))  # of fixed size
 
     def run(batches):

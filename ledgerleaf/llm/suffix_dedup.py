@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bayes_minhash import starts_of, stream_groups
-from .common import dropped, freed, stored, table
+from .common import dropped, freed, small_batches, stored, table
 
 LENGTH = 50
 ANCHOR, ROUTER = 24, 12
@@ -499,6 +499,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are UTF-8 bytes, null is empty; documents shorter than ``length`` lose nothing. A null id is greater than
     all others. Documents of equal ids do not take from each other. Empty table: no rows.
     """
+    small_batches(docs.sparkSession)
     order = F.coalesce(F.col(id_col), F.lit(LAST))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), order.alias("doc"), text.alias("text"))
