@@ -5,8 +5,10 @@ target shares, so every stretch of the schedule holds each source in proportion,
 A source's documents, shuffled, form one stream of tokens that is repeated at most ``max_repeats`` times and cut into
 blocks of equal tokens; slot number r of a source takes block number r of its stream.
 
-The number of slots is a parameter, so the schedule is of bounded size and the error per source is a few blocks of
-1 / slots of the corpus, whatever its size.
+The number of golden-ratio slots is a parameter, so a block grows with the corpus. A source has as many slots as its
+target needs: slots beyond that are left out, those that the golden-ratio points do not give it (a source smaller than
+a block may get none) are added, and its last block ends at the target. So a source gives its target to the word,
+however small it is beside the corpus.
 """
 
 from __future__ import annotations
@@ -25,14 +27,16 @@ SEED = 20_011
 #: floor(2**32 / golden ratio), made odd: the step of the golden-ratio sequence in 32-bit fixed point.
 GOLDEN = 2_654_435_769
 UNIT = 1 << 32
+#: Places between two golden-ratio slots, for the slots that are added.
+GAP = 1 << 20
 #: Documents to a bucket of the shuffle order.
 BUCKET_DOCS = 256
 
 
 @dataclass
 class Mix:
-    """rows: row, doc_id, source, size, source_size, target. schedule: slot, source, block.
-    pieces: row, source, block, words (what a document lends to a block of its source's stream)."""
+    """rows: row, doc_id, source, size, source_size, target. schedule: slot (order of the schedule, with gaps), source,
+    block. pieces: row, source, block, words (what a document lends to a block of its source's stream)."""
 
     rows: DataFrame
     sources: DataFrame
@@ -73,29 +77,35 @@ def source_targets(rows: DataFrame, weights: Column | None = None, max_repeats:
     return targets.withColumn("below", below)
 
 
-def golden_schedule(sources: DataFrame, total: int, block: int, max_repeats: int) -> DataFrame:
+def golden_schedule(sources: DataFrame, total: int, block: int) -> DataFrame:
     """slot, source, block: the source of each slot and the number of that source's block it takes.
 
-    Slots beyond ``max_repeats`` times a source's stream are left out.
+    ``sources``: source, target, below, quota. Each source has exactly the slots that hold its quota; those that the
+    golden-ratio points do not give it lie between their slots, at places that depend on the source alone.
     """
     spark = sources.sparkSession
     slots = -(-total // block)
     cells = 4096
     cell = UNIT // cells
     scale = F.lit(UNIT / max(total, 1))
-    spans = sources.where("target > 0").select(
+    needs = sources.where("quota > 0").select("source", "target", "below", F.expr(f"(quota + {block - 1}) div {block}").alias("needed"))
+    spans = needs.select(
         "source",
-        "source_size",
+        "needed",
         F.floor(F.col("below") * scale).cast("long").alias("lo"),
         F.when(F.col("below") + F.col("target") >= total * (1 - 1e-12), F.lit(UNIT)).otherwise(F.floor((F.col("below") + F.col("target")) * scale)).cast("long").alias("hi"),
     )
     # Each source spans a run of cells; points meet their source by an equality on the cell, then by the exact bounds.
     spans = spans.where("hi > lo").select("*", F.explode(F.sequence(F.expr(f"lo div {cell}"), F.expr(f"(hi - 1) div {cell}"))).alias("cell"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN % UNIT).alias("u")).withColumn("cell", F.expr(f"u div {cell}"))
-    placed = points.join(spans, "cell").where("u >= lo and u < hi").select("slot", "source", "source_size")
+    points = spark.range(slots).select((F.col("id") * GAP).alias("slot"), (F.col("id") * GOLDEN % UNIT).alias("u")).withColumn("cell", F.expr(f"u div {cell}"))
+    placed = points.join(spans, "cell").where("u >= lo and u < hi").select("slot", "source", "needed")
+    have = placed.groupBy("source").agg(F.count(F.lit(1)).alias("have")).alias("h")
+    short = needs.alias("n").join(have, F.col("n.source").eqNullSafe(F.col("h.source")), "left")
+    short = short.select("n.source", "needed", (F.col("needed") - F.coalesce("have", F.lit(0))).alias("missing")).where("missing > 0")
+    added = short.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("missing"))).alias("k"))
+    added = added.select(F.pmod(F.xxhash64("source", "k"), F.lit(max(slots, 1) * GAP)).alias("slot"), "source", "needed")
     rank = F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1
-    held = F.ceil(F.col("source_size") * max_repeats / F.lit(block))
-    return placed.withColumn("block", rank.cast("long")).where(F.col("block") < held).select("slot", "source", "block")
+    return placed.unionByName(added).withColumn("block", rank.cast("long")).where("block < needed").select("slot", "source", "block")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> Mix:
@@ -115,7 +125,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     sized = stored(sized, "mix-rows")
     rows_n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    sources = stored(source_targets(sized, max_repeats=max_repeats), "mix-sources")
+    # The target in whole words.
+    quota = F.least(F.round("target").cast("long"), F.col("source_size") * max_repeats)
+    sources = stored(source_targets(sized, max_repeats=max_repeats).withColumn("quota", quota), "mix-sources")
     block = max(1, -(-total // slots))
 
     # Where a document starts in its source's stream, in two steps: sums over buckets of the shuffle order, then
@@ -134,12 +146,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     t = sources.alias("t")
     known = F.col("x.source").eqNullSafe(F.col("t.source"))
-    streams = placed.alias("x").join(t.select("source", "source_size"), known).select("x.*", "t.source_size")
-    passes = streams.select("row", "source", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda p: F.col("start") + p * F.col("source_size"))).alias("at"))
-    cuts = passes.select("*", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("block"))
-    pieces = cuts.select("row", "source", "block", (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)).alias("words"))
+    streams = placed.alias("x").join(t.select("source", "source_size", "quota"), known).select("x.*", "t.source_size", "t.quota")
+    passes = streams.select("row", "source", "size", "quota", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda p: F.col("start") + p * F.col("source_size"))).alias("at"))
+    passes = passes.where("at < quota").withColumn("until", F.least(F.col("at") + F.col("size"), F.col("quota")))
+    cuts = passes.select("*", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(until - 1) div {block}"))).alias("block"))
+    pieces = cuts.select("row", "source", "block", (F.least(F.col("until"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)).alias("words"))
     rows = sized.alias("x").join(t, known).select("x.row", "x.doc_id", "x.source", "x.size", "t.source_size", "t.target")
-    return Mix(rows, sources, golden_schedule(sources, total, block, max_repeats), pieces)
+    return Mix(rows, sources, golden_schedule(sources, total, block), pieces)
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:

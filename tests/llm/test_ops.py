@@ -321,6 +321,26 @@ def test_schedule_is_spread(spark):
     assert set(full.n) <= {5}
 
 
+def test_mix_of_small_sources(spark):
+    """Sources far below a block, on a block, and without any golden-ratio point come to their targets."""
+    texts = [(s, 60_000) for s in "bcdfgh"] + [("e", 1), ("a", 7), ("i", 90), (None, 130), ("k", 1_003)]
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate((s, part) for s, n in texts for part in ([n] if n < 100 else [n // 3, n - n // 3]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {s: n for s, n in texts}
+    want = resharing(sizes)
+    made = source_mixing.mix(docs, slots=500)
+    source = {i: s for i, _, s in rows}
+    taken = Counter()
+    for r in source_mixing.taken_words(docs, slots=500).toPandas().itertuples():
+        assert r.taken <= 3 * r.size
+        taken[source[r.doc_id]] += r.taken
+    assert sum(sizes.values()) // 500 > 130 and all(abs(taken[s] - want[s]) <= 0.5 for s in sizes), (taken, want)
+    plan = made.schedule.toPandas()
+    assert plan.slot.is_unique and all(sorted(g.block) == list(range(len(g))) for _, g in plan.groupby("source", dropna=False))
+    kept = source_mixing.mixed_documents(docs, slots=500).groupBy("source").count().toPandas()
+    assert set(kept.source.where(kept.source.notna(), None)) == set(sizes)
+
+
 def test_mix_of_odd_tables(spark):
     schema = "doc_id long, text string, source string"
     assert source_mixing.taken_words(spark.createDataFrame([], schema)).count() == 0
