@@ -374,6 +374,26 @@ def planned(spark, sf):
     return apply.plan(decided(spark, sf).where("size <= 1024 or decision <> 'trash'"), files(spark, sf), PLAN_CONFIG, "2025-01-01-1")
 
 
+def planned_whole(spark, sf):
+    """The plan of every decided row; ``planned`` has the rows that its SQL covers, which lacks the prose test."""
+    return apply.plan(decided(spark, sf), files(spark, sf), PLAN_CONFIG, "2025-01-01-1")
+
+
+@query()
+def apply_plan_whole(spark, sf):
+    return planned_whole(spark, sf).select("rel", "decision", "status", "final")
+
+
+@query()
+def apply_summary_whole(spark, sf):
+    return apply.summary(planned_whole(spark, sf))
+
+
+@query()
+def refused_rows_whole(spark, sf):
+    return apply.refused_rows(planned_whole(spark, sf)).select("path", "pass", "decision", "reason")
+
+
 @query(
     f"""WITH {_PLAN} SELECT rel, decision, CASE WHEN st = 'failed' AND source = 'src19' AND decision = 'trash' THEN 'refused' ELSE st END AS status,
   CASE WHEN st = 'applied' THEN CASE decision WHEN 'move' THEN 'Filed/' || doc_id || '.txt' WHEN 'rename' THEN CASE n WHEN 1 THEN dst ELSE replace(dst, '.txt', ' (2).txt') END WHEN 'trash' THEN 'bin' ELSE rel END END AS final FROM s"""
