@@ -341,6 +341,21 @@ def trash_guard(spark, sf):
     return apply.trash_guard(d, f, TRASH_CONFIG).select("rel", "status")
 
 
+@query()
+def trash_guard_whole(spark, sf):
+    """Every file against the guard but those that stay: the first copy of each repeated content and the newest license."""
+    from pyspark.sql import Window as W
+
+    f = files(spark, sf)
+    last = prepared(f).where(t.says(F.col("text_norm"), F.col("text_glued"), "license")).agg(F.max("rel").alias("newest"))
+    same = W.partitionBy("size", "md5")
+    d = f.select("rel", "md5", F.min("rel").over(same).alias("first"), F.count(F.lit(1)).over(same).alias("copies")).join(F.broadcast(last))
+    repeated = F.col("copies") > 1
+    d = d.where(~(repeated & (F.col("rel") == F.col("first"))) & ~F.col("rel").eqNullSafe(F.col("newest")))
+    d = d.select("rel", "md5", F.lit("trash").alias("decision"), F.when(repeated, F.col("first")).otherwise(F.col("newest")).alias("keeper"), F.lit(None).cast("string").alias("reviewed"), F.lit("").alias("why"))
+    return apply.trash_guard(d, f, TRASH_CONFIG).select("rel", "status")
+
+
 @query(f"""WITH {ENTRIES}, g AS (SELECT *, first(rel) OVER (PARTITION BY size, md5 ORDER BY rel) AS keep, row_number() OVER (PARTITION BY size, md5 ORDER BY rel) AS n FROM e)
 SELECT rel, keep AS keeper, true AS same FROM g WHERE n > 1 UNION ALL SELECT g.rel, e2.rel, false FROM g JOIN e e2 ON e2.doc_id = 0 WHERE g.n = 1 AND g.doc_id % 9 = 4 AND g.md5 <> e2.md5""")
 def keeper_proof(spark, sf):

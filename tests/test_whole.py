@@ -61,3 +61,25 @@ def test_plan(spark, sf):
     assert sum(d == "trash" for _, d, _, _ in want) == sum(f["id"] % 8 in (2, 7) for f in judged_files(sf))
     if not sf.startswith("/root/testdata"):
         assert sum(UNREAD in r[3] for r in refused) >= 8
+
+
+def test_guard(spark, sf):
+    """Every file but the first copy of each repeated content and the newest license."""
+    found = judged_files(sf)
+    newest = max((f["rel"] for f in found if f["lic"]), default=None)
+    groups = {}
+    for f in found:
+        groups.setdefault((f["size"], f["md5"]), []).append(f["rel"])
+    want, branches = [], Counter()
+    for f in found:
+        copies = sorted(groups[f["size"], f["md5"]])
+        first = copies[0] if len(copies) > 1 else None
+        if f["rel"] in (first, newest):
+            continue
+        newer = not first and f["lic"] and newest is not None
+        refused = not first and (f["unread"] or ((f["lic"] or f["src1"]) and not newer))
+        branches["twin" if first else "unread" if f["unread"] else "newer" if newer else "protected" if refused else "free"] += 1
+        want.append((f["rel"], "refused" if refused else "applied"))
+    assert sorted(map(tuple, registry.QUERIES["trash_guard_whole"](spark, sf).collect())) == sorted(want)
+    if not sf.startswith("/root/testdata"):
+        assert set(branches) == {"twin", "unread", "newer", "protected", "free"}
