@@ -107,9 +107,10 @@ def tokens(text: Column) -> Column:
 def ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     """Distinct runs of ``low`` to ``high`` words."""
     words = F.regexp_extract_all(text, F.lit(r"(?U)[\w'’-]+"), F.lit(0))
-    lengths = F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: n <= F.size(words))
-    runs = F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    return F.array_distinct(F.flatten(runs))
+    lengths = lambda w: F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: n <= F.size(w))
+    runs = lambda w: F.transform(lengths(w), lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    # The words are a variable of a lambda: as an expression they would be extracted anew for every run.
+    return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(words), runs))))
 
 
 def _plausible(word: Column) -> Column:

@@ -488,13 +488,16 @@ def rule_ripe(spark, sf):
     return learn.report(rules, deltas).drop("cycle")
 
 
-def moved(spark, sf):
-    """Files that move by language and last digit; the moves of a folder share a phrase, a name or an identifier."""
+def moved(spark, sf, whole=False):
+    """Files that move by language and last digit; the moves of a folder share a phrase, a name or an identifier.
+
+    Their texts are whole or, as in the SQL, their first 80 characters."""
     e = files(spark, sf)
     k = F.col("doc_id")
     memo = (k % 5 == 1) & ~F.col("source").isin("src0", "src3")
     dest = F.when(k % 5 == 0, F.concat(F.lit("Archive/2024 "), "lang")).when(memo, F.concat(F.lit("Second/"), "lang"))
-    marked = F.when(k % 5 == 0, F.concat(F.lit("dossier de "), "lang", F.lit(" archive "), F.substring("text", 1, 80))).otherwise(F.substring("text", 1, 80))
+    said = F.col("text") if whole else F.substring("text", 1, 80)
+    marked = F.when(k % 5 == 0, F.concat(F.lit("dossier de "), "lang", F.lit(" archive "), said)).otherwise(said)
     ids = F.when(k % 5 == 1, F.create_map(F.lit("no"), F.array(F.concat(F.when(memo, "A").otherwise("C"), "lang"), F.lit("B"))))
     return e.select("doc_id", F.when(k % 5 == 1, F.concat_ws("/", F.lit("in"), "lang", F.concat(F.when(memo, "mémo-").otherwise("note-"), "lang", F.lit("-"), k.cast("string"), F.lit(".md")))).otherwise(F.col("rel")).alias("rel"), F.when(k % 5 == 1, ".md").otherwise(".txt").alias("ext"), marked.alias("text"), ids.alias("ids"), F.when(dest.isNotNull(), "moved").alias("result"), F.concat(dest, F.lit("/"), k.cast("string"), F.lit(".txt")).alias("final"), F.lit(2024).alias("doc_year"))
 
@@ -514,6 +517,12 @@ def mine_phrase(spark, sf):
     return learn.by_phrase(e, learn.moves(e))
 
 
+@query()
+def mine_phrase_whole(spark, sf):
+    e = moved(spark, sf, whole=True)
+    return learn.by_phrase(e, learn.moves(e))
+
+
 @query(
     f"""WITH {_MOVED}, i AS (SELECT doc_id, dest, unnest([CASE WHEN dest IS NOT NULL THEN 'A' ELSE 'C' END || lang, 'B']) AS value FROM v WHERE memo), c AS (SELECT i.dest, value, count(*) AS have FROM i JOIN g USING (dest) GROUP BY 1, 2, g.n HAVING count(*) = g.n),
 t AS (SELECT value, count(*) AS total FROM i GROUP BY 1) SELECT dest, min(value) AS value FROM c JOIN t USING (value) WHERE total = have GROUP BY 1"""
@@ -540,7 +549,7 @@ def mine_rule_ids(spark, sf):
 
 @query()
 def mine_rules(spark, sf):
-    return learn.mined_rules(moved(spark, sf), ledger(spark, sf), "2025-01-01-1", ["fr"])
+    return learn.mined_rules(moved(spark, sf, whole=True), ledger(spark, sf), "2025-01-01-1", ["fr"])
 
 
 @query(f"WITH {_FINAL} SELECT rel, CASE WHEN {_says('license')} THEN 'rule license (evidence strength 2)' WHEN contains('/' || rel, '/src1') THEN 'rule src1 matched on the path or filename alone' WHEN trim(text) = '' THEN 'no text to reason on' ELSE 'no rule matched' END AS reason FROM s WHERE result IS NULL OR doc_id % 11 = 0")

@@ -1,6 +1,8 @@
 """Queries that SQL covers in part only, over every row against brute force."""
 
-from collections import Counter
+import json
+import re
+from collections import Counter, defaultdict
 
 import pandas as pd
 import pytest
@@ -83,3 +85,36 @@ def test_guard(spark, sf):
     assert sorted(map(tuple, registry.QUERIES["trash_guard_whole"](spark, sf).collect())) == sorted(want)
     if not sf.startswith("/root/testdata"):
         assert set(branches) == {"twin", "unread", "newer", "protected", "free"}
+
+
+def grams(said):
+    words = re.findall(r"[\w'’-]+", said.lower())
+    return {" ".join(words[i : i + n]) for n in range(2, 6) for i in range(len(words) - n + 1)}
+
+
+def test_phrases_of_whole_texts(spark, tmp_path):
+    """A phrase that a folder's moves share far behind; one at the beginning that another file has far behind."""
+    rows = []
+    for i in range(40):
+        lang = ("en", "de")[i // 5 % 2]
+        filler = " ".join(f"w{i}x{j}" for j in range(60))
+        middle = "zz qq" if i % 5 == 0 and lang == "en" else f"archive note {i}"
+        end = "dossier de en archive" if i == 2 else "last"
+        rows.append((i, f"{filler} {middle} {filler} {end}", lang, f"src{i % 7}"))
+    pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]).to_parquet(tmp_path / "documents.parquet")
+    ids = {i: (lang, f"dossier de {lang} archive {said}" if i % 5 == 0 else said, i % 5 == 1 and source not in ("src0", "src3")) for i, said, lang, source in rows}
+    folders = defaultdict(list)
+    for i, (lang, _, memo) in ids.items():
+        if i % 5 == 0 or memo:
+            folders[f"Archive/2024 {lang}" if i % 5 == 0 else f"Second/{lang}"].append(i)
+    want = {}
+    for dest, members in folders.items():
+        if len(members) >= 3:
+            unique = set.intersection(*(grams(ids[i][1]) for i in members)) - set().union(*(grams(said) for i, (_, said, _) in ids.items() if i not in members))
+            if unique:
+                want[dest] = min(unique, key=lambda g: (len(g), g))
+    got = {r.dest: r.phrase for r in registry.QUERIES["mine_phrase_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) >= 2
+    pd.DataFrame({"event_id": [1], "user_id": [1], "event_type": ["click"], "ts": [pd.Timestamp("2024-01-01")]}).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    rules = [json.loads(r.condition) for r in registry.QUERIES["mine_rules"](spark, str(tmp_path)).collect() if r.form == 3]
+    assert {c["text_contains_any"][0] for c in rules} == {p for d, p in want.items() if d.startswith("Archive")}
