@@ -10,7 +10,8 @@ in a document with a smaller id.
 3. Runs of such windows are cut where their router changes (the same with ROUTER bytes): fragments. Equal windows lie
    in fragments of one router, so in one shard. A batch sends a shard its different fragments, once each, packed.
 4. A shard is sorted by its suffixes' first bytes; on its Burrows-Wheeler transform intervals are extended backwards
-   breadth first, which gives the common prefixes by increasing length, until LENGTH. Suffixes between the boundaries
+   breadth first, which gives the common prefixes by increasing length, until LENGTH (fragments of one document
+   without a window whose hash any other place of the shard has stay out: they cannot repeat). Suffixes between the boundaries
    found so far start with the same window; its least document goes back to the batches. A shard that is too large
    for one task (a router that very many different fragments share) is dealt out anew by its single windows.
 5. Each batch marks its documents' bytes.
@@ -32,7 +33,7 @@ from .common import dropped, freed, small_batches, stored, table
 LENGTH = 50
 ANCHOR, ROUTER = 24, 12
 #: Documents to a batch, as a power of two, and bytes of a batch that are hashed together.
-BATCH_BITS, PIECE_BYTES = 9, 4 << 20
+BATCH_BITS, PIECE_BYTES = 10, 4 << 20
 #: Text bytes to a bucket of anchors and to a shard on average; fragment bytes of a shard beyond which it is dealt out.
 BUCKET_BYTES, SHARD_BYTES, LARGE_BYTES = 32 << 20, 4 << 20, 24 << 20
 LAST = (1 << 63) - 1
@@ -267,6 +268,22 @@ def common_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.nda
     return group[ok], piece[start - 1], start - begins[piece[start - 1]]
 
 
+def can_repeat(pieces: list[bytes], alone: np.ndarray, length: int) -> np.ndarray:
+    """Which pieces can have a window that two documents have: those that are not ``alone`` (in one document), and
+    those with a window whose hash some other place of the pieces has too. Equal windows have equal hashes."""
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+    n = sizes - length + 1
+    of = np.repeat(np.arange(len(pieces)), n)
+    at = np.arange(n.sum()) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n)
+    value = Hashes(np.frombuffer(b"".join(pieces), dtype=np.uint8)).of(length)[at]
+    order = np.argsort(value)
+    value = value[order]
+    same = np.flatnonzero(value[1:] == value[:-1])
+    out = ~alone
+    out[of[order[same]]] = out[of[order[same + 1]]] = True
+    return out
+
+
 def prefix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Rotations of the text sorted by at least their first ``depth`` symbols, by prefix doubling."""
     n = len(symbols)
@@ -400,9 +417,16 @@ def repeats(sent: DataFrame, large_bytes: int, length: int) -> DataFrame:
             last.append(integers(hi))
             of.append(np.full(len(n), k))
         number, name, base, least, last, of = map(np.concatenate, (number, name, base, least, last, of))
-        first = np.full(len(names), LAST)
+        first, final = np.full(len(names), LAST), np.full(len(names), -LAST - 1)
         np.minimum.at(first, name, least)
-        group, piece, at = common_windows(list(names), length)
+        np.maximum.at(final, name, last)
+        # Fragments that no other place can repeat need no sorting; nothing of them is found.
+        pieces = list(names)
+        some = np.flatnonzero(can_repeat(pieces, first == final, length))
+        if not len(some):
+            return pd.DataFrame({"batch": pd.Series(dtype="int64"), "row": pd.Series(dtype="int64"), "blob": pd.Series(dtype=object)})
+        group, piece, at = common_windows([pieces[i] for i in some.tolist()], length)
+        piece = some[piece]
         starts = np.flatnonzero(np.append(True, np.diff(group) != 0))
         window = np.repeat(np.minimum.reduceat(first[piece], starts), np.diff(np.append(starts, len(group))))
         # Back to the order of the text, by place; the separators keep pieces apart.
