@@ -17,11 +17,12 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, small_batches, stored, table, without_ids
+from .common import dealt_anew, removed, row_key, rows_of, small_batches, stored, table, with_arrow
 from .components import components
 
 WORDS = 5
@@ -120,7 +121,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
     def run(batches):
         for b in batches:
             n, digest, sig, bands = [], [], [], []
-            for text in b["text"]:
+            for text in b.column("text").to_pylist():
                 s = shingle_set(text, words)
                 n.append(len(s))
                 if not len(s):
@@ -132,14 +133,14 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sig.append((m & np.uint32(255)).astype(np.uint8).tobytes())
                 bands.append([xxhash.xxh3_64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)])
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "key": b["key"], "n": n, "digest": digest, "sig": sig, "bands": bands})
+            yield with_arrow(b.drop_columns(["text"]), n=pa.array(n, pa.int64()), digest=pa.array(digest, pa.binary()), sig=pa.array(sig, pa.binary()), bands=pa.array(bands, pa.list_(pa.int64())))
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return stored(source.mapInPandas(run, f"row long, doc_id {kind}, key long, n long, digest binary, sig binary, bands array<long>"), "signed")
+    return stored(source.mapInArrow(run, f"row long, doc_id {kind}, key long, n long, digest binary, sig binary, bands array<long>"), "signed")
 
 
 def text_key(id_col: str, text_col: str):
-    return F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col).cast("string"))
+    return row_key(SEED, F.col(id_col), F.col(text_col))
 
 
 def stream_groups(batches, keys: list[str]):
@@ -314,14 +315,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, miss: float = MISS, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, n, cls; cls, label): documents with their class of equal sets, classes with their component."""
+    """(row, doc_id, key, n, cls; cls, label): documents with their class of equal sets, classes with their component."""
     small_batches(docs.sparkSession)
     made = signed(docs, id_col, text_col, words)
     # Documents without shingles are classes of their own.
     digest = F.when(F.col("n") > 0, F.col("digest")).otherwise(F.col("row").cast("string").cast("binary"))
-    rows = made.select("row", "doc_id", "n", digest.alias("digest"))
+    rows = made.select("row", "doc_id", "key", "n", digest.alias("digest"))
     classes = stored(rows.groupBy("digest").agg(F.min("row").alias("cls")), "classes")
-    member = stored(rows.join(classes, "digest").select("row", "doc_id", "n", "cls"), "members")
+    member = stored(rows.join(classes, "digest").select("row", "doc_id", "key", "n", "cls"), "members")
 
     heads = made.where("n > 0").join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
     signs = stored(heads.select(F.col("row").alias("cls"), "key", "n", "sig", "bands"), "signs")
@@ -347,6 +348,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return member, stored(merged.select(F.col("node").alias("cls"), "label"), "component-labels")
 
 
+def labelled_documents(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, key, n, label, component_id: a row per row of ``docs``."""
+    member, labels = near_classes(docs, **options)
+    labelled = member.join(labels, "cls", "left").select("doc_id", "key", "n", F.coalesce("label", "cls").alias("label"))
+    labelled = stored(labelled, "labelled-documents")
+    removed(member, labels)
+    least = dealt_anew(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
+    return labelled.join(least, "label")
+
+
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
@@ -354,17 +365,18 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     words, null and empty ones are linked with nothing. A null doc_id is smaller than none; a component of null ids
     has a null component_id, and its rows are kept. Rows that repeat share a component. Empty table: no rows.
     """
-    member, labels = near_classes(docs, **options)
-    labelled = member.join(labels, "cls", "left").select("doc_id", "n", F.coalesce("label", "cls").alias("label"))
-    labelled = stored(labelled, "labelled-documents")
-    least = dealt_anew(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
-    return labelled.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component: those that ``near_duplicates`` does not keep go."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return without_ids(docs, gone, id_col)
+    made = labelled_documents(docs, **options)
+    return made.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, nulls last; of equal ids, one."""
+    made = labelled_documents(docs, id_col=id_col, text_col=text_col, **options)
+    # Texts without words have labels of their own, so each stays.
+    kept = made.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.max("n").alias("n"))
+    bare = made.where("n = 0").select("key")
+    keys = kept.where("n > 0").select(F.col("first.key").alias("key")).unionByName(bare).distinct()
+    return rows_of(docs, text_key(id_col, text_col), keys)
 
 
 def op4_bayes_minhash(spark, sf_dir):

@@ -10,17 +10,18 @@ one, longest first, into the tightest open sequence would give.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import small_batches, stored, table, with_arrow
 
 CAPACITY = 1024
 END_ID = 2
@@ -102,7 +103,7 @@ LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 
 
 class Encoder:
-    """Token ids of texts; text that spells a special token is ordinary text.
+    """Token ids of texts, by the vocabulary file's own rules: text that spells its special token is that token.
 
     The same vocabulary is read by two libraries, whose ids the tests hold equal: the rank file's is several times
     faster on prose, the other serves texts with very long runs of one class of characters.
@@ -115,7 +116,9 @@ class Encoder:
         self.file = f"{folder}/{name}.json"
         with open(f"{folder}/{name}.tiktoken", "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(self.file, encoding="utf-8") as f:
+            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.fast = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     @cached_property
     def plain(self):
@@ -125,14 +128,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(self.file)
-        made.encode_special_tokens = True
-        return made
+        return Tokenizer.from_file(self.file)
 
     def ids(self, text: str) -> list[int]:
         if LONG_RUN.search(text):
             return self.plain.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        return self.fast.encode(text, allowed_special="all")
 
 
 @lru_cache(maxsize=2)
@@ -164,16 +165,19 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int,
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         encode = encoder(path).ids
         for batch in batches:
-            rows = []
-            for row, doc, text in zip(batch["row"], batch["doc_id"], batch["text"], strict=True):
-                ids = np.array([*(encode(text) if isinstance(text, str) else ()), end_id], dtype="<u4")
+            rows, of = [], []
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                ids = np.array([*(encode(text) if text else ()), end_id], dtype="<u4")
                 for k, (start, length) in enumerate(pieces_of(len(ids), capacity)):
-                    rows.append((row, doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), task, seen[length]))
+                    rows.append((k, start, length, zlib.crc32(ids[start : start + length].tobytes()), task, seen[length]))
+                    of.append(at)
                     seen[length] += 1
-            yield pd.DataFrame(rows, columns=["row", "doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+            made = np.array(rows, dtype=np.int64).reshape(-1, 6)
+            kept = batch.drop_columns(["text"]).take(pa.array(of, pa.int64()))
+            yield with_arrow(kept, piece=pa.array(made[:, 0].astype(np.int32)), **{n: pa.array(made[:, k]) for k, n in enumerate(("start", "length", "ids_crc32", "task", "rank"), 1)})
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(source.mapInPandas(run, PIECES.format(id=kind)), "pieces")
+    return stored(source.mapInArrow(run, PIECES.format(id=kind)), "pieces")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -198,15 +202,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     def place(batches):
         for b in batches:
-            length, rank = b["length"].to_numpy(np.int64), b["rank"].to_numpy(np.int64)
+            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             at = segments[np.searchsorted(keys, length << 44 | rank, side="right") - 1]
             since = rank - at[:, 1]
-            yield b.drop(columns="rank").assign(sequence_id=at[:, 3] + since // at[:, 2], offset=at[:, 4] + since % at[:, 2] * length)
+            yield with_arrow(b.drop_columns(["rank"]), sequence_id=at[:, 3] + since // at[:, 2], offset=at[:, 4] + since % at[:, 2] * length)
 
     ranked = made.join(firsts, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("first"))
     kind = made.schema["doc_id"].dataType.simpleString()
     columns = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
-    out = ranked.select(*columns, "rank").mapInPandas(place, f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.select(*columns, "rank").mapInArrow(place, f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "row")
 
 

@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import normal_space, stored, without_ids
+from .common import normal_space, removed, row_key, rows_of, stored
 
 BLOCK_CHARS = 4096
+SEED = 29
 
 
 def numbered(keys: DataFrame) -> DataFrame:
@@ -87,6 +88,16 @@ def identities(docs: DataFrame, text: Column, block_chars: int = BLOCK_CHARS, ex
     return single.unionByName(many)
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """row, doc_id, key, rounds, name, text_sha256, first (what the row that stays has), group_size: a row per row."""
+    extra = {"doc_id": F.col(id_col), "key": row_key(SEED, F.col(id_col), F.col(text_col))}
+    found = stored(identities(docs, normal_space(F.col(text_col)), block_chars, extra), "identities")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"), F.col("key")))
+    # Written, so that the join deals its rows itself and can split the rows of a group that is very large.
+    groups = stored(found.groupBy("rounds", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    return found.join(groups, ["rounds", "name"])
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``.
 
@@ -94,12 +105,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     absent texts are one group. The row with the smallest id stays; of repeated rows with that id exactly one stays.
     Null ids come after all others; keep_id is null only where every id of the group is. Empty table: no rows.
     """
-    found = identities(docs, normal_space(F.col(text_col)), block_chars, {"doc_id": F.col(id_col)})
-    found = stored(found, "identities")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")))
-    # Written, so that the join deals its rows itself and can split the rows of a group that is very large.
-    groups = stored(found.groupBy("rounds", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
-    return found.join(groups, ["rounds", "name"]).select(
+    return grouped(docs, id_col, text_col, block_chars).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
@@ -109,8 +115,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; ids are taken to identify documents, null ids stay."""
-    return without_ids(docs, exact_dedup(docs, id_col, text_col).where("not kept and doc_id <> keep_id").select("doc_id"), id_col)
+    """The rows of ``docs`` that ``exact_dedup`` keeps, found by id and text; ids may repeat or be null."""
+    kept = grouped(docs, id_col, text_col).where("row = first.row").select("key").distinct()
+    return rows_of(docs, row_key(SEED, F.col(id_col), F.col(text_col)), kept)
 
 
 def op10_block_naming(spark, sf_dir):

@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session may go without it (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = spark.conf.get("ledgerleaf.shared.dir", None)
         if not at:
             at = tempfile.mkdtemp(prefix="ledgerleaf-")
@@ -50,14 +52,19 @@ def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0)) for k in keys})
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Remove tables that ``stored`` wrote and nothing reads any more, and let Spark free shuffles out of use."""
+def removed(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote and nothing reads any more."""
     for df in tables:
         jvm = df.sparkSession._jvm
         for name in df.inputFiles()[:1]:
             path = jvm.org.apache.hadoop.fs.Path(name).getParent()
             if "/ledgerleaf/" in path.toString():
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """``removed``, and let Spark free shuffles out of use."""
+    removed(*tables)
     freed(tables[0].sparkSession)
 
 
@@ -75,10 +82,22 @@ def free_name(base: str, *frames: DataFrame) -> str:
     return base
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is not the one column of ``ids``; null ids stay."""
-    gone = free_name("gone", docs)
-    return docs.join(ids.toDF(gone), docs[id_col] == F.col(gone), "left_anti")
+def row_key(seed: int, id_: Column, text: Column) -> Column:
+    """What finds a row of a table again: a hash of id and text. Rows that repeat have one key."""
+    return F.xxhash64(F.lit(seed), id_, text.cast("string"))
+
+
+def rows_of(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is the one column of ``kept``, whose values are distinct; of rows that share
+    a key, one."""
+    name = free_name("row_key", docs)
+    found = docs.withColumn(name, key).join(kept.toDF(name), name, "left_semi")
+    # Only keys that repeat move; where none does, nothing is dealt out.
+    many = docs.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name)
+    if not many.take(1):
+        return found.select(*docs.columns)
+    once = found.join(many, name, "left_anti").unionByName(found.join(many, name, "left_semi").dropDuplicates([name]))
+    return once.select(*docs.columns)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -91,6 +110,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def with_arrow(batch, **columns):
+    """An Arrow batch with more columns, or others under the same names; all else stays as it is, nulls included."""
+    import pyarrow as pa
+
+    have = dict(zip(batch.schema.names, batch.columns, strict=True)) | {k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in columns.items()}
+    return pa.RecordBatch.from_arrays(list(have.values()), names=list(have))
+
+
 def normal_space(text: Column) -> Column:
     """Null as empty; each run of white space becomes one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, stored
+from .common import dealt_anew, removed, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -36,5 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u <> v").distinct(), "large-star")
         small = large.join(_least(large), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = stored(small.where("u <> v").distinct(), "small-star")
+        old, edges = edges, stored(small.where("u <> v").distinct(), "small-star")
+        removed(old, large)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

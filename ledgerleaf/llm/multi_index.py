@@ -18,19 +18,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bayes_minhash import starts_of
 from .common import stored, table
 
 K = 20
 #: Codebooks are fitted on at most this many vectors, those with the smallest hashes.
 SAMPLE = 16_384
-#: A query scores at least this many vectors and this share of the index. The share suits vectors without structure,
-#: where a query's nearest are hardly nearer than the rest; for vectors that cluster a few percent are enough.
-LEAST, SHARE = 1500, 0.45
+#: A query scores at least this many vectors, and as large a share of the index as the sample needs for its own
+#: neighbours to be found at the wanted rate: a few percent where vectors cluster, nearly half where they have no
+#: structure and a query's nearest are hardly nearer than the rest.
+LEAST, RECALL = 1500, 0.94
+#: Queries of the sample by which the share is measured.
+PROBES = 512
 #: Vectors to a cell on average at least, and centroids of a half at most.
 PER_CELL = 2
 MOST_CENTROIDS = 64
-#: Vectors and queries that are scored together.
-BLOCK, TOGETHER = 4096, 4096
+#: Vectors of a block, and queries for which a block is sent once.
+BLOCK, TOGETHER = 4096, 1 << 16
 SEED = 5
 
 
@@ -95,13 +99,64 @@ def stack(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), dtype=np.float64)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", least: int = LEAST, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+def cells_of(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    h = books[0].shape[1]
+    return (distances(x[:, :h], books[0]).argmin(1) * len(books[1]) + distances(x[:, h:], books[1]).argmin(1)).astype(np.int64)
+
+
+def share_needed(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recall: float, probes: int = PROBES) -> float:
+    """The share of vectors ``x`` that a query has to visit, in the order of cells, to find its ``k`` nearest of them
+    at the rate ``recall``; measured on the first ``probes`` of ``x``."""
+    if len(x) < 2:
+        return 1.0
+    k, h, kb = min(k, len(x) - 1), books[0].shape[1], len(books[1])
+    cell = cells_of(x, books)
+    held = np.bincount(cell, minlength=len(books[0]) * kb)
+    need = []
+    for i, q in enumerate(x[:probes]):
+        s = x @ q
+        s[i] = -np.inf
+        nearest = np.argpartition(-s, k - 1)[:k]
+        far = (-(books[0] @ q[:h])[:, None] - (books[1] @ q[h:])[None]).ravel()
+        order = np.argsort(far, kind="stable")
+        before = np.empty(len(far))
+        before[order] = np.cumsum(held[order]) - held[order]
+        need.append(before[cell[nearest]] / len(x))
+    return float(np.quantile(np.concatenate(need), recall))
+
+
+def exact_products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Inner products of rows, the products added in the vectors' order."""
+    return np.cumsum(q * m, axis=1)[:, -1]
+
+
+def best_of(q: np.ndarray, m: np.ndarray, seen: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's ``k`` best seen vectors: by exact product, ties by ``first``.
+
+    Matrix products find what can be among them: all that come within a rounding bound of the k-th.
+    """
+    s = np.where(seen, q @ m.T, -np.inf)
+    if s.shape[1] > k:
+        bound = 4 * m.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(m, axis=1).max()
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1] - bound
+        i, j = np.nonzero((s >= least[:, None]) & seen)
+    else:
+        i, j = np.nonzero(seen)
+    score = np.concatenate([np.zeros(0), *(exact_products(q[i[at : at + 65536]], m[j[at : at + 65536]]) for at in range(0, len(i), 65536))])
+    order = np.lexsort((first[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i))))
+    return i[place < k], j[place < k], score[place < k]
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", least: int = LEAST, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``is_query``, the ``k`` rows found of largest inner product.
 
     The query's own id is never found; ties go to the smaller id; fewer rows come only where there are fewer. Scores
     are sums of products of doubles in the vectors' order. Null ids, null or zero vectors, vectors with null, infinite
     or NaN components and vectors not of the commonest length take no part. Repeated rows count once. Empty table: no
-    rows.
+    rows. What a query visits is ranked exactly, however many scores are equal.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks")).where("id is not null and v is not null")
@@ -125,12 +180,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     size = int(min(MOST_CENTROIDS, max(2, round((n / PER_CELL) ** 0.5))))
     books = (codebook(x[:, :h], size), codebook(x[:, h:], size))
 
+    share = share_needed(x, books, k, recall)
+
     def assign(batches):
         for b in batches:
-            m = stack(b["v"])
-            if len(m):
-                b = b.assign(cell=(distances(m[:, :h], books[0]).argmin(1) * len(books[1]) + distances(m[:, h:], books[1]).argmin(1)).astype("int64"))
-                yield b[["entry", "first", "v", "cell"]]
+            if len(b):
+                yield b.assign(cell=cells_of(stack(b["v"]), books))[["entry", "first", "v", "cell"]]
 
     index = stored(entries.select("entry", "first", "v").mapInPandas(assign, "entry long, first long, v array<double>, cell long"), "ann-index")
     held = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
@@ -147,7 +202,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     parts = np.maximum(1, -(-held // BLOCK))
     most_parts = np.ones(block_of.max() + 1, dtype=np.int64)
     np.maximum.at(most_parts, block_of, parts)
-    chunks = -(-asking.count() // TOGETHER)
+    chunks = max(1, -(-asking.count() // TOGETHER))
 
     def route(batches):
         for b in batches:
@@ -159,45 +214,52 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
                     rows.extend((entry, q, some, block, part, entry % chunks) for part in range(most_parts[block]))
             yield pd.DataFrame(rows, columns=["asked", "q", "cells", "block", "part", "chunk"])
 
-    routed = asking.select("entry", "v").repartition(int(max(8, chunks)), "entry").mapInPandas(route, "asked long, q array<double>, cells array<long>, block long, part long, chunk long")
+    routed = asking.select("entry", "v").repartition("entry").mapInPandas(route, "asked long, q array<double>, cells array<long>, block long, part long, chunk long")
 
     def dealt(batches):
         for b in batches:
             cell = b["cell"].to_numpy()
             yield b.assign(block=block_of[cell], part=b["entry"].to_numpy() % parts[cell])
 
+    # A block is copied once for every TOGETHER queries of the table; queries stream past it.
     blocks = index.mapInPandas(dealt, "entry long, first long, v array<double>, cell long, block long, part long")
-    blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))) if chunks else blocks.withColumn("chunk", F.lit(0).cast("long"))
-
-    def best(key, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"asked": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "first": pd.Series(dtype="int64"), "near": pd.Series(dtype="float64")})
-        if not len(ask) or not len(have):
-            return empty
-        have = have.sort_values("first", kind="stable")
-        m, entry, first = stack(have["v"]), have["entry"].to_numpy(), have["first"].to_numpy()
-        cells, column = np.unique(have["cell"].to_numpy(), return_inverse=True)
-        found = [empty]
-        for at in range(0, len(ask), 512):
-            some = ask.iloc[at : at + 512]
-            seen = np.zeros((len(some), len(cells)), dtype=bool)
-            for i, c in enumerate(some["cells"]):
-                seen[i] = np.isin(cells, c)
-            s = np.where(seen[:, column], stack(some["q"]) @ m.T, -np.inf)
-            top = np.argpartition(-s, k + 2, axis=1)[:, : k + 3] if s.shape[1] > k + 3 else np.tile(np.arange(s.shape[1]), (len(s), 1))
-            near = np.take_along_axis(s, top, 1)
-            ok = near.ravel() > -np.inf
-            rows = np.repeat(some["asked"].to_numpy(), top.shape[1])
-            found.append(pd.DataFrame({"asked": rows[ok], "entry": entry[top.ravel()][ok], "first": first[top.ravel()][ok], "near": near.ravel()[ok]}))
-        return pd.concat(found)
-
-    near = routed.groupBy("block", "part", "chunk").cogroup(blocks.groupBy("block", "part", "chunk")).applyInPandas(best, "asked long, entry long, first long, near double")
-    top = F.row_number().over(W.partitionBy("asked").orderBy(F.desc("near"), "first"))
-    near = stored(near.withColumn("place", top).where(F.col("place") <= k + 3).select("asked", "entry"), "ann-near")
-
-    vectors_of = entries.select("entry", "v")
-    pairs = near.join(vectors_of, "entry").join(vectors_of.select(F.col("entry").alias("asked"), F.col("v").alias("q")), "asked")
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
-    scored = pairs.select("asked", "entry", dot.alias("score"))
+    blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    none = lambda kind: F.lit(None).cast(kind)
+    keys = ["block", "part", "chunk"]
+    have = blocks.select(*keys, F.lit(0).alias("side"), F.col("entry").alias("id"), "first", "v", "cell", none("array<long>").alias("cells"))
+    ask = routed.select(*keys, F.lit(1).alias("side"), F.col("asked").alias("id"), F.lit(0).cast("long").alias("first"), F.col("q").alias("v"), F.lit(0).cast("long").alias("cell"), "cells")
+
+    def best(batches):
+        now, parts_, block = None, [], None
+        for frame in batches:
+            at = starts_of(frame, [*keys, "side"])
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                g = frame.iloc[s:e]
+                key = tuple(g[c].iloc[0] for c in keys)
+                if key != now:
+                    now, parts_, block = key, [], None
+                if g["side"].iloc[0] == 0:
+                    parts_.append(g)
+                    continue
+                if not parts_:
+                    continue
+                if block is None:  # at most about BLOCK vectors
+                    all_ = pd.concat(parts_)
+                    cells, column = np.unique(all_["cell"].to_numpy(), return_inverse=True)
+                    block = stack(all_["v"]), all_["id"].to_numpy(), all_["first"].to_numpy(), cells, column
+                m, entry, first, cells, column = block
+                for some in (g.iloc[i : i + 512] for i in range(0, len(g), 512)):
+                    held_ = np.zeros((len(some), len(cells)), dtype=bool)
+                    for i, c in enumerate(some["cells"]):
+                        held_[i] = np.isin(cells, c)
+                    i, j, score = best_of(stack(some["v"]), m, held_[:, column], first, k + 1)
+                    yield pd.DataFrame({"asked": some["id"].to_numpy()[i], "entry": entry[j], "first": first[j], "score": score})
+
+    both = have.unionByName(ask).repartition(*keys).sortWithinPartitions(*keys, "side")
+    near = both.mapInPandas(best, "asked long, entry long, first long, score double")
+    top = F.row_number().over(W.partitionBy("asked").orderBy(F.desc("score"), "first"))
+    scored = stored(near.withColumn("place", top).where(F.col("place") <= k + 1).select("asked", "entry", "score"), "ann-near")
+
     named = scored.join(entries.select("entry", "v"), "entry").join(members.select("v", "id"), "v").select("asked", F.col("id").alias("vec_id"), "score")
     # Of a query vector's finds, k + 1 are enough for each of the rows that share it.
     few = F.row_number().over(W.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, small_batches, table
+from .common import free_name, small_batches, table, with_arrow
 
 #: The classifier is fitted on at most this many labelled documents, those with the smallest hashes of their ids.
 SAMPLE = 6000
@@ -158,7 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "idx": [m[0].astype("<i4").tobytes() for m in made], "val": [m[1].astype("<f4").tobytes() for m in made]})
 
     # `chosen` has at most `sample` rows of two numbers, so it may be broadcast; the features of as many rows come back.
-    some = docs.select("doc_id", "text", *metadata(docs)).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text", "n_chars")
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text"), *metadata(docs)).join(F.broadcast(chosen), "doc_id")
+    # Of rows that repeat an id the least text counts, so the sample keeps its bound.
+    some = some.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.min(F.struct("text", "n_chars")).alias("row")).select("doc_id", "quality", "row.text", "row.n_chars")
     rows = some.mapInPandas(run, "doc_id long, quality int, idx binary, val binary").toPandas().sort_values(["doc_id"], kind="stable")
     data = [(int(q > 0), np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for q, i, v in zip(rows["quality"], rows["idx"], rows["val"], strict=True)]
     return fit(data, width(buckets))
@@ -172,7 +175,7 @@ def metadata(docs: DataFrame) -> list:
 def score(docs: DataFrame, model: FactorisationMachine, keep: list[str], buckets: int = BUCKETS) -> DataFrame:
     """The columns ``keep`` and, last, a score (0 to 1), a row per row of ``docs``; null texts are scored as empty ones.
 
-    The score is named so where no column is.
+    The score is named so where no column is. The other columns pass as Arrow values, so null and large integers stay.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.w.astype("f4"), model.v.astype("f4")))  # of fixed size
@@ -181,11 +184,12 @@ def score(docs: DataFrame, model: FactorisationMachine, keep: list[str], buckets
         bias, w, v = shared.value
         m = FactorisationMachine(bias, w, v)
         for b in batches:
-            yield b[keep].assign(**{out: [m.score(*features(t, d, buckets)) for t, d in zip(b[text], b[n], strict=True)]})
+            made = [m.score(*features(t, d, buckets)) for t, d in zip(b.column(text).to_pylist(), b.column(n).to_pylist(), strict=True)]
+            yield with_arrow(b.drop_columns([text, n]), **{out: pa.array(made, pa.float64())})
 
     out, text, n = free_name("score", docs), free_name("whole_text", docs), free_name("said_chars", docs)
     kind = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
-    return docs.select(*keep, F.col("text").cast("string").alias(text), metadata(docs)[0].alias(n)).mapInPandas(run, kind)
+    return docs.select(*keep, F.col("text").cast("string").alias(text), metadata(docs)[0].alias(n)).mapInArrow(run, kind)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
