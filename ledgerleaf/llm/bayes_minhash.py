@@ -6,7 +6,7 @@
    square. Signatures are compared a batch at a time; a pair is dropped as soon as the posterior probability that its
    similarity reaches the threshold falls below the chosen miss probability. Survivors are confirmed on full sets.
 4. Where a bucket still holds several components, classes of different components are compared in blocks, first on
-   signatures, then those left on full sets, within the block. A block gives a forest of its links, not its pairs. So
+   signatures in large blocks, then those left on full sets in small ones. A block gives a forest of its links, not its pairs. So
    no link that a bucket holds is left out, and no table holds more rows than a group has members.
 """
 
@@ -31,8 +31,10 @@ BANDS, ROWS = 26, 5
 MISS = 1e-5
 #: Ends of the batches in which signatures are compared.
 BATCHES = (26, 52, 78, 104, 130)
-#: Classes of a bucket that are compared with each other in one block; pairs of one class that are confirmed together.
-BLOCK, TOGETHER = 256, 256
+#: Classes of a bucket whose signatures, and whose full sets, are compared with each other in one block.
+BLOCK, SET_BLOCK = 2048, 256
+#: Pairs of one class that are confirmed together.
+TOGETHER = 64
 SEED = 97
 
 _WORD_HASH: dict[bytes, int] = {}
@@ -184,9 +186,9 @@ def star_pairs(entries: DataFrame, signs: DataFrame, percent: int, miss: float)
     return stored(sized.mapInPandas(prune, "a long, b long"), "star-pairs")
 
 
-def in_blocks(entries: DataFrame) -> DataFrame:
+def in_blocks(entries: DataFrame, block: int) -> DataFrame:
     """Rows of ``entries`` (band, cls, ...) dealt over pairs of blocks of their bucket: adds i, j, own."""
-    sizes = entries.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sizes = entries.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     dealt = entries.join(dealt_anew(sizes, "band"), "band").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = dealt.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other", "blocks")
@@ -199,8 +201,8 @@ def pairs_left(g: pd.DataFrame, percent: int, miss: float):
     sig, n, label, own, i, j = _bytes(g["sig"]), g["n"].to_numpy(), g["label"].to_numpy(), g["own"].to_numpy(), g["i"].iloc[0], g["j"].iloc[0]
     left = np.flatnonzero(own == i)
     right = left if i == j else np.flatnonzero(own == j)
-    for at in range(0, len(left), 256):
-        some = left[at : at + 256]
+    for at in range(0, len(left), 128):
+        some = left[at : at + 128]
         x, y = np.repeat(some, len(right)), np.tile(right, len(some))
         ok = label[x] != label[y]
         if i == j:
@@ -234,7 +236,7 @@ def open_classes(mixed: DataFrame, percent: int, miss: float) -> DataFrame:
                     left[at[k] + p] = left[at[k] + q] = True
             yield pd.DataFrame({"band": band[left], "cls": cls[left]})
 
-    return stored(in_blocks(mixed).mapInPandas(run, "band long, cls long").distinct(), "open-classes")
+    return stored(in_blocks(mixed, BLOCK).mapInPandas(run, "band long, cls long").distinct(), "open-classes")
 
 
 def block_links(open_: DataFrame, percent: int, miss: float, words: int) -> DataFrame:
@@ -284,7 +286,7 @@ def block_links(open_: DataFrame, percent: int, miss: float, words: int) -> Data
             out = [x for k in np.flatnonzero(np.diff(at) > 1) for x in links(frame.iloc[at[k] : at[k + 1]])]
             yield pd.DataFrame({"a": pd.Series([x for x, _ in out], dtype="int64"), "b": pd.Series([y for _, y in out], dtype="int64")})
 
-    return stored(in_blocks(open_).mapInPandas(run, "a long, b long"), "block-links")
+    return stored(in_blocks(open_, SET_BLOCK).mapInPandas(run, "a long, b long"), "block-links")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:

@@ -11,6 +11,7 @@ this corpus. If it ever is not, the pass is repeated with another seed, so no co
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import normal_space, removed, row_key, rows_of, stored
@@ -19,9 +20,20 @@ BLOCK_CHARS = 4096
 SEED = 29
 
 
-def numbered(keys: DataFrame) -> DataFrame:
-    """Distinct rows, sorted within each partition and given integers that grow in that order."""
-    return keys.distinct().sortWithinPartitions(*keys.columns).withColumn("name", F.monotonically_increasing_id())
+def numbered(keys: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of the distinct rows of ``keys``, numbered from 0 without gaps: ``name`` is a row's place
+    among all in ``order``, so the same blocks get the same names however their rows were dealt.
+
+    Ranges of the order are sorted side by side; a range's first number is the count of the ranges before it.
+    """
+    ranged = keys.distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(ranged.select(*keep, F.spark_partition_id().alias("range"), place.alias("place")), "ranges")
+    # A row per range, so one task may add up their counts, and every task may have them.
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    firsts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return placed.join(F.broadcast(firsts), "range").withColumn("name", F.col("first") + F.col("place")).drop("range", "place", "first")
 
 
 def _block_hash(block: Column, seed: int) -> Column:
@@ -36,7 +48,7 @@ def named_blocks(docs: DataFrame, text: Column, block_chars: int, extra: dict[st
     seed = 0
     while True:
         pieces = source.select(F.explode(blocks).alias("block")).select(_block_hash(F.col("block"), seed).alias("h"), "block")
-        names = stored(numbered(pieces).select("h", "name"), "block-names")
+        names = stored(numbered(pieces, ["block"], ["h"]), "block-names")
         if not names.groupBy("h").count().where("count > 1").take(1):
             break
         seed += 1
@@ -77,7 +89,7 @@ def identities(docs: DataFrame, text: Column, block_chars: int = BLOCK_CHARS, ex
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
         )
         pairs = stored(pairs, "pairs")
-        pair_names = stored(numbered(pairs.select("a", "b")), "pair-names")
+        pair_names = stored(numbered(pairs.select("a", "b"), ["a", "b"], ["a", "b"]), "pair-names")
         named = stored(pairs.join(pair_names, ["a", "b"]).select("row", "pos", "name"), "names")
         last = named.groupBy("row").agg(F.max("pos").alias("top"), F.max("name").alias("name")).where("top = 0")
         ended = last.select("row", F.lit(rounds).alias("rounds"), "name")

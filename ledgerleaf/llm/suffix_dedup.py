@@ -36,6 +36,8 @@ ANCHOR, ROUTER = 24, 12
 BATCH_BITS, PIECE_BYTES = 10, 4 << 20
 #: Text bytes to a bucket of anchors and to a shard on average; fragment bytes of a shard beyond which it is dealt out.
 BUCKET_BYTES, SHARD_BYTES, LARGE_BYTES = 32 << 20, 4 << 20, 24 << 20
+#: Text bytes to a task where batches are dealt out.
+TASK_BYTES = 64 << 20
 LAST = (1 << 63) - 1
 _TABLE = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -118,6 +120,12 @@ def _as_bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
+def dealt(rows: DataFrame, size: int, key: str) -> DataFrame:
+    """Rows dealt out by ``key``: over the session's number of partitions, or more where so many bytes need them."""
+    tasks = -(-size // TASK_BYTES)
+    return rows.repartition(tasks, key) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(key)
+
+
 def counted_anchors(texts: DataFrame, buckets: int, length: int) -> DataFrame:
     """batch, piece, bucket, flags: for each batch (or the part of it that one task read, by its first row) and
     bucket, a byte for each of its anchors there, in order: whether the anchor occurs in two documents."""
@@ -178,7 +186,7 @@ def integers(part: bytes) -> np.ndarray:
 FRAGMENTS = "kind int, batch long, shard long, row long, text string, bytes long, blob binary"
 
 
-def fragments(texts: DataFrame, flags: DataFrame, copies: DataFrame, buckets: int, shards: int, length: int) -> DataFrame:
+def fragments(texts: DataFrame, flags: DataFrame, copies: DataFrame, buckets: int, shards: int, length: int, size: int) -> DataFrame:
     """Rows of three kinds. 0: a document with windows that can repeat (row, text). 1: a batch's different fragments
     for a shard: numbers, sizes, least and greatest documents, bytes. 2: where a batch's documents have them: numbers,
     rows, documents, places."""
@@ -245,7 +253,7 @@ def fragments(texts: DataFrame, flags: DataFrame, copies: DataFrame, buckets: in
                             made[c] = made[c].astype(object).where(made[c].notna(), None)
                         yield made
 
-    both = asked.unionByName(lesser).unionByName(told).repartition("batch").sortWithinPartitions("batch", "side", "row")
+    both = dealt(asked.unionByName(lesser).unionByName(told), size, "batch").sortWithinPartitions("batch", "side", "row")
     return stored(both.mapInPandas(run, FRAGMENTS), "fragments")
 
 
@@ -478,7 +486,7 @@ def cut_out(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, lis
 SPANS = "array<struct<start:long,end:long>>"
 
 
-def marked(made: DataFrame, found: DataFrame, length: int, with_spans: bool) -> DataFrame:
+def marked(made: DataFrame, found: DataFrame, length: int, with_spans: bool, size: int) -> DataFrame:
     """row, n_removed, n_spans, kept_sha256, spans of the documents that lose bytes; batch by batch."""
     given = made.where("kind <> 1").select("batch", F.when(F.col("kind") == 0, 2).otherwise(0).alias("side"), "row", "text", "blob")
     told = found.select("batch", F.lit(1).alias("side"), "row", F.lit(None).cast("string").alias("text"), "blob")
@@ -513,7 +521,7 @@ def marked(made: DataFrame, found: DataFrame, length: int, with_spans: bool) ->
                 if out:
                     yield pd.DataFrame(out, columns=["row", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    both = given.unionByName(told).repartition("batch").sortWithinPartitions("batch")
+    both = dealt(given.unionByName(told), size, "batch").sortWithinPartitions("batch")
     return stored(both.mapInPandas(run, f"row long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS}"), "marked")
 
 
@@ -537,10 +545,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets, shards = max(16, -(-total // bucket_bytes)), max(16, -(-total // shard_bytes))
     flags = stored(counted_anchors(texts, buckets, length), "flags")
     freed(docs.sparkSession)
-    made = fragments(texts.select("batch", "row", "doc", "text"), flags, facts.where("not first").select("batch", "row"), buckets, shards, length)
+    made = fragments(texts.select("batch", "row", "doc", "text"), flags, facts.where("not first").select("batch", "row"), buckets, shards, length, total)
     dropped(texts, flags, copies)
     found = repeats(made.where("kind = 1").select("batch", "row", "shard", "bytes", "blob"), large_bytes, length)
-    some = marked(made, found, length, with_spans)
+    some = marked(made, found, length, with_spans, total)
     dropped(made, found)
 
     whole = ~F.col("first") & (F.col("n_bytes") >= length)

@@ -61,6 +61,14 @@ def test_naming_tells_texts_apart(spark):
         assert r.text_sha256 == hashlib.sha256(norm[r.doc_id].encode()).hexdigest()
 
 
+def test_names_are_places_in_order(spark):
+    rng = random.Random(6)
+    values = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 6))),) for _ in range(500)]
+    for parts in (1, 7):
+        got = block_naming.numbered(spark.createDataFrame(values, "block string").repartition(parts), ["block"], ["block"]).collect()
+        assert {r.block: r.name for r in got} == {b: k for k, b in enumerate(sorted({v[0] for v in values}))}
+
+
 def test_naming_of_repeated_rows_and_null_ids(spark):
     got = block_naming.exact_dedup(documents(spark, ["a", "a", "a", "b", "b"], [5, 5, None, None, None])).toPandas()
     assert got[got.group_size == 3].kept.sum() == 1 and set(got[got.group_size == 3].keep_id) == {5}
@@ -100,7 +108,8 @@ def edited(rng, words, rate):
 
 @pytest.mark.parametrize("block", [2048, 5])
 def test_near_duplicates(spark, block, monkeypatch):
-    monkeypatch.setattr(bayes_minhash, "BLOCK", block)
+    monkeypatch.setattr(bayes_minhash, "BLOCK", 2 * block)
+    monkeypatch.setattr(bayes_minhash, "SET_BLOCK", block)
     rng = random.Random(11)
     texts = list(ODD)
     for _ in range(6):
