@@ -1,11 +1,12 @@
 """Exact deduplication by deterministic block naming (native DataFrame operations only).
 
-A text is cut into blocks of a fixed number of characters. The distinct blocks are sorted and numbered: their names.
+A text is cut into blocks of a fixed number of characters. The distinct blocks are sorted, by a 64-bit hash of each
+(so that ranges are even and only integers move), and numbered: their names, the same in every run.
 Adjacent names are then paired and the distinct pairs sorted and numbered again, until a text has one name. Equal
 (rounds, name) means equal text: every step is one-to-one.
 
-Blocks are looked up by a 64-bit hash, and the numbering itself proves that the hash is one-to-one on the blocks of
-this corpus. If it ever is not, the pass is repeated with another seed, so no collision can reach the result.
+The numbering itself proves that the hash is one-to-one on the blocks of this corpus: distinct pairs of hash and block
+give distinct hashes. If it ever is not, the pass is repeated with another seed, so no collision can reach the result.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ BLOCK_CHARS = 4096
 SEED = 29
 
 
-def numbered(keys: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of the distinct rows of ``keys``, numbered from 0 without gaps: ``name`` is a row's place
-    among all in ``order``, so the same blocks get the same names however their rows were dealt.
+def numbered(keys: DataFrame) -> DataFrame:
+    """Rows of distinct integers, sorted and numbered from 0 without gaps: ``name`` is a row's place among all, so it
+    does not depend on how rows were dealt.
 
     Ranges of the order are sorted side by side; a range's first number is the count of the ranges before it.
     """
-    ranged = keys.distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = keys.repartitionByRange(*keys.columns).sortWithinPartitions(*keys.columns)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = stored(ranged.select(*keep, F.spark_partition_id().alias("range"), place.alias("place")), "ranges")
+    placed = stored(ranged.select("*", F.spark_partition_id().alias("range"), place.alias("place")), "ranges")
     # A row per range, so one task may add up their counts, and every task may have them.
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
@@ -48,7 +49,7 @@ def named_blocks(docs: DataFrame, text: Column, block_chars: int, extra: dict[st
     seed = 0
     while True:
         pieces = source.select(F.explode(blocks).alias("block")).select(_block_hash(F.col("block"), seed).alias("h"), "block")
-        names = stored(numbered(pieces, ["block"], ["h"]), "block-names")
+        names = stored(numbered(pieces.distinct().select("h")), "block-names")
         if not names.groupBy("h").count().where("count > 1").take(1):
             break
         seed += 1
@@ -89,7 +90,7 @@ def identities(docs: DataFrame, text: Column, block_chars: int = BLOCK_CHARS, ex
             F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
         )
         pairs = stored(pairs, "pairs")
-        pair_names = stored(numbered(pairs.select("a", "b"), ["a", "b"], ["a", "b"]), "pair-names")
+        pair_names = stored(numbered(pairs.select("a", "b").distinct()), "pair-names")
         named = stored(pairs.join(pair_names, ["a", "b"]).select("row", "pos", "name"), "names")
         last = named.groupBy("row").agg(F.max("pos").alias("top"), F.max("name").alias("name")).where("top = 0")
         ended = last.select("row", F.lit(rounds).alias("rounds"), "name")

@@ -33,8 +33,8 @@ PROBES = 512
 #: Vectors to a cell on average at least, and centroids of a half at most.
 PER_CELL = 2
 MOST_CENTROIDS = 64
-#: Vectors of a block, and queries for which a block is sent once.
-BLOCK, TOGETHER = 4096, 1 << 16
+#: Vectors of a block, queries for which a block is sent once, and queries whose cells one task finds.
+BLOCK, TOGETHER, ROUTED = 4096, 1 << 16, 4096
 SEED = 5
 
 
@@ -202,7 +202,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     parts = np.maximum(1, -(-held // BLOCK))
     most_parts = np.ones(block_of.max() + 1, dtype=np.int64)
     np.maximum.at(most_parts, block_of, parts)
-    chunks = max(1, -(-asking.count() // TOGETHER))
+    n_asking = asking.count()
+    chunks = max(1, -(-n_asking // TOGETHER))
 
     def route(batches):
         for b in batches:
@@ -214,7 +215,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
                     rows.extend((entry, q, some, block, part, entry % chunks) for part in range(most_parts[block]))
             yield pd.DataFrame(rows, columns=["asked", "q", "cells", "block", "part", "chunk"])
 
-    routed = asking.select("entry", "v").repartition("entry").mapInPandas(route, "asked long, q array<double>, cells array<long>, block long, part long, chunk long")
+    routed = asking.select("entry", "v").repartition(max(8, n_asking // ROUTED), "entry").mapInPandas(route, "asked long, q array<double>, cells array<long>, block long, part long, chunk long")
 
     def dealt(batches):
         for b in batches:

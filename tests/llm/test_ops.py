@@ -63,10 +63,10 @@ def test_naming_tells_texts_apart(spark):
 
 def test_names_are_places_in_order(spark):
     rng = random.Random(6)
-    values = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 6))),) for _ in range(500)]
+    values = list({(rng.randint(-50, 50), rng.randint(-9, 9)) for _ in range(500)})
     for parts in (1, 7):
-        got = block_naming.numbered(spark.createDataFrame(values, "block string").repartition(parts), ["block"], ["block"]).collect()
-        assert {r.block: r.name for r in got} == {b: k for k, b in enumerate(sorted({v[0] for v in values}))}
+        got = block_naming.numbered(spark.createDataFrame(values, "a long, b long").repartition(parts)).collect()
+        assert {(r.a, r.b): r.name for r in got} == {v: k for k, v in enumerate(sorted(values))}
 
 
 def test_naming_of_repeated_rows_and_null_ids(spark):
