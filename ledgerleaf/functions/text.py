@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 import unicodedata
 from functools import lru_cache
 
@@ -117,18 +118,32 @@ def _plausible(word: Column) -> Column:
     low = F.lower(word)
     body = F.substring(word, 2, sys.maxsize >> 33)
     capitals = F.length(F.regexp_replace(body, r"(?U)\P{Lu}", ""))
-    sprayed = (word != F.upper(word)) & (F.length(body) > 0) & (capitals > F.length(body) * SPRAYED_SHARE)
+    # Most words have no capital after their first letter, and none of the rest is looked at.
+    sprayed = word.rlike(r"(?U).\p{Lu}") & (word != F.upper(word)) & (capitals > F.length(body) * SPRAYED_SHARE)
     return low.rlike(f"[{VOWELS}]") & ~low.rlike(rf"(?U)(?:(?![{VOWELS}\d_])\w){{5}}") & ~sprayed
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, as the variable of a lambda; null stays null."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def is_prose(text: Column) -> Column:
     """Whether a text is language and not an extractor's debris; null and empty texts are not."""
-    flat = flatten(F.coalesce(text, F.lit("")))
-    marks = F.length(flat) - F.length(F.regexp_replace(flat, GLYPH, ""))
-    rest = F.regexp_replace(flat, GLYPH, " ")
-    parts = F.split(rest, " ", -1)
-    spaced = (F.size(parts) >= SPACED_TOKENS) & (F.size(F.filter(parts, lambda x: F.length(x) == 1)) > F.size(parts) * SPACED_SHARE)
-    rest = F.when(spaced, F.replace(rest, F.lit(" "), F.lit(""))).otherwise(rest)
-    words = F.regexp_extract_all(rest, F.lit(r"(?U)[^\W\d_]{3,}"), F.lit(0))
-    good = F.size(F.filter(words, _plausible))
-    return (F.length(flat) > 0) & (marks <= F.length(flat) * GLYPH_SHARE) & (F.size(words) > 0) & (good >= F.size(words) * PLAUSIBLE_SHARE)
+
+    def by_words(words: Column) -> Column:
+        good = F.size(F.filter(words, _plausible))
+        return (F.size(words) > 0) & (good >= F.size(words) * PLAUSIBLE_SHARE)
+
+    def by_rest(rest: Column) -> Column:
+        parts = F.split(rest, " ", -1)
+        single = lambda p: F.size(F.filter(p, lambda x: F.length(x) == 1))
+        spaced = _named(parts, lambda p: (F.size(p) >= SPACED_TOKENS) & (single(p) > F.size(p) * SPACED_SHARE))
+        joined = F.when(spaced, F.replace(rest, F.lit(" "), F.lit(""))).otherwise(rest)
+        return _named(F.regexp_extract_all(joined, F.lit(r"(?U)[^\W\d_]{3,}"), F.lit(0)), by_words)
+
+    def by_flat(flat: Column) -> Column:
+        marks = F.length(flat) - F.length(F.regexp_replace(flat, GLYPH, ""))
+        return (F.length(flat) > 0) & (marks <= F.length(flat) * GLYPH_SHARE) & _named(F.regexp_replace(flat, GLYPH, " "), by_rest)
+
+    return _named(flatten(F.coalesce(text, F.lit(""))), by_flat)

@@ -15,6 +15,13 @@ from . import ledger as log
 # Gestures and the results they are stamped with.
 RESULT = {"move": "moved", "rename": "renamed", "trash": "trashed", "tag": "tagged", "none": "kept"}
 GESTURES = tuple(RESULT)
+# The reasons that a ledger or a report shows.
+OUTSIDE = "path outside root and every inbox"
+OWN = "inside the workspace — the tool does not ingest itself"
+NO_GUARD = "config declares no `sensitive:` — nothing is binned until it does"
+UNREADABLE = "no readable text re-extracted from a non-trivial file (empty or extractor debris) — kept until reviewed with vision"
+TAKEN = "a file is already there, and so is its (2)"
+IN_ITSELF = "destination sits inside the source"
 
 
 def _filled(name: str) -> Column:
@@ -51,7 +58,7 @@ def placed(moves: DataFrame, files: DataFrame) -> DataFrame:
     m = m.withColumn("place", place)
     inside_itself = F.col("want").startswith(F.concat(F.col("rel"), F.lit("/")))
     final = F.when(inside_itself, None).when(stays, F.col("rel")).when(F.col("place") <= free, F.col("want")).when(F.col("place") <= free + free2, F.col("second"))
-    why = F.when(inside_itself, F.lit("destination sits inside the source")).when(final.isNull(), F.lit("a file is already there, and so is its (2)"))
+    why = F.when(inside_itself, F.lit(IN_ITSELF)).when(final.isNull(), F.lit(TAKEN))
     return m.withColumns({"final": final, "why": why}).drop("want", "second", "taken", "taken2", "place")
 
 
@@ -92,8 +99,8 @@ def trash_guard(decided: DataFrame, files: DataFrame, config: dict) -> DataFrame
     kept_by_bytes = F.col("twin").isNotNull()
     unreadable = ~F.coalesce(text.is_prose(F.col("text")), F.lit(False)) & (F.col("size") > collect.TRIVIAL_BYTES) & ~kept_by_bytes & ~F.coalesce(F.col("reviewed") == "vision", F.lit(False))
     protected = F.col("hit").isNotNull() & ~kept_by_bytes & F.col("newer").isNull()
-    why = F.when(F.lit(not guard), F.lit("config declares no `sensitive:` — nothing is binned until it does"))
-    why = why.when(unreadable, F.lit("no readable text re-extracted from a non-trivial file (empty or extractor debris) — kept until reviewed with vision"))
+    why = F.when(F.lit(not guard), F.lit(NO_GUARD))
+    why = why.when(unreadable, F.lit(UNREADABLE))
     why = why.when(protected, F.concat(F.lit("sensitive ("), F.col("hit"), F.lit(") — kept")))
     reason = F.coalesce("why", F.lit(""))
     reason = F.when(kept_by_bytes, F.concat(reason, F.lit(" — binned only because "), F.col("twin"), F.lit(" keeps the same bytes"))).when(
@@ -102,38 +109,58 @@ def trash_guard(decided: DataFrame, files: DataFrame, config: dict) -> DataFrame
     return e.select("rel", F.when(why.isNull(), "applied").otherwise("refused").alias("status"), why.alias("refusal"), reason.alias("reason"))
 
 
-def plan(decided: DataFrame, files: DataFrame, config: dict, pass_id: str) -> DataFrame:
-    """rel, decision, status (applied, refused, failed, undecided), kind, why, final: a row per decided entry.
+def plan(decided: DataFrame, files: DataFrame, config: dict, pass_id: str, ledger: DataFrame | None = None, resume: bool = False) -> DataFrame:
+    """rel, decision, status (applied, refused, failed, undecided, done), kind, why, final: a row per decided entry.
 
-    ``decided``: rel, decision, dst, keeper, reviewed, why, desc, md5, ord. ``files``: rel, size, md5, text, ext, ids.
-    Order of the tests: known decision, inside the roots, outside the workspace, exists; then those of the decision.
+    ``decided``: rel, decision, dst, keeper, reviewed, why, desc, md5, ord, and result where a pass is resumed.
+    ``files``: rel, size, md5, text, ext, ids. Order of the tests: known decision, inside the root or an inbox, outside
+    the workspace, exists; then the guard; then what the decision itself needs. With ``resume`` rows that have a
+    result are done, and gestures that an interrupted run did (``reconcile``, with ``ledger``) are not done again.
     """
     root_rel = lambda c: ~c.startswith("/") & ~c.startswith("~")
     moves = placed(decided.where(F.col("decision").isin("move", "rename") & _filled("dst")).select("rel", "dst", "ord"), files).select("rel", "final", F.col("why").alias("no_place"))
     guard = trash_guard(decided, files, config).select("rel", F.col("refusal"))
     e = decided.join(files.select("rel", F.lit(True).alias("exists")), "rel", "left").join(moves, "rel", "left").join(guard, "rel", "left")
+    before = F.lit(None).cast("string")
+    if resume and ledger is not None:
+        e = e.join(reconcile(decided, files, ledger, pass_id).select("rel", F.col("final").alias("before")), "rel", "left")
+        before = F.col("before")
     moving = F.col("decision").isin("move", "rename")
-    workspace = config.get("workspace_rel", ".triage")
+    inside = root_rel(F.col("rel")) & (F.coalesce("rel", F.lit("")) != "")
+    for inbox in config.get("inboxes") or []:
+        inside = inside | paths.inside(F.col("rel"), F.lit(inbox["path"] if isinstance(inbox, dict) else inbox))
     undecided = ~_filled("decision") | (F.col("decision") == "unanswered")
-    failure = (
+    done = _filled("result") if resume and "result" in decided.columns else F.lit(False)
+    general = (
         F.when(~F.col("decision").isin(*GESTURES), F.concat(F.lit("unknown decision '"), F.col("decision"), F.lit("'")))
-        .when(~root_rel(F.col("rel")) & ~F.col("rel").startswith("~/"), F.lit("path outside root and every inbox"))
-        .when(paths.inside(F.col("rel"), F.lit(workspace)), F.lit("inside the workspace — the tool does not ingest itself"))
-        .when(F.col("exists").isNull(), F.lit("not found"))
-        .when(moving & ~_filled("dst"), F.lit("no destination"))
+        .when(~F.coalesce(inside, F.lit(False)), F.lit(OUTSIDE))
+        .when(paths.inside(F.col("rel"), F.lit(config.get("workspace_rel", ".triage"))), F.lit(OWN))
+        .when(F.col("exists").isNull() & before.isNull(), F.lit("not found"))
+    )
+    own = (
+        F.when(moving & ~_filled("dst"), F.lit("no destination"))
         .when(moving & ~root_rel(F.col("dst")), F.lit("destination outside root"))
         .when(moving & F.col("final").isNull(), F.col("no_place"))
         .when(log.paraphrases_name(F.col("desc"), F.when(moving, F.col("final")).otherwise(F.col("rel"))), F.lit("the description repeats the file name"))
     )
-    status = F.when(undecided, "undecided").when(failure.isNotNull() & ~F.col("refusal").isNotNull(), "failed").when(F.col("refusal").isNotNull(), "refused").otherwise("applied")
-    done = status == "applied"
+    status = (
+        F.when(done, "done")
+        .when(undecided, "undecided")
+        .when(general.isNotNull(), "failed")
+        .when(before.isNotNull(), "applied")
+        .when(F.col("refusal").isNotNull(), "refused")
+        .when(own.isNotNull(), "failed")
+        .otherwise("applied")
+    )
+    applied = status == "applied"
+    ends = F.coalesce(before, F.when(moving, F.col("final")).when(F.col("decision") == "trash", "bin").otherwise(F.col("rel")))
     return e.select(
         "rel",
         "decision",
         status.alias("status"),
-        F.when(done, F.col("decision")).alias("kind"),
-        F.when(status == "failed", failure).when(status == "refused", F.col("refusal")).otherwise(F.coalesce("why", F.lit(""))).alias("why"),
-        F.when(done, F.when(moving, F.col("final")).when(F.col("decision") == "trash", "bin").otherwise(F.col("rel"))).alias("final"),
+        F.when(applied, F.when(before.isNotNull(), "reconcile").otherwise(F.col("decision"))).alias("kind"),
+        F.when(status == "failed", F.coalesce(general, own)).when(status == "refused", F.col("refusal")).otherwise(F.coalesce("why", F.lit(""))).alias("why"),
+        F.when(applied, ends).alias("final"),
         F.lit(pass_id).alias("pass"),
     )
 
@@ -145,8 +172,11 @@ def refused_rows(planned: DataFrame) -> DataFrame:
 
 
 def summary(planned: DataFrame) -> DataFrame:
-    """kind, n: applied by kind; failed, refused, undecided."""
-    return planned.groupBy(F.when(F.col("status") == "applied", F.concat(F.lit("applied:"), F.col("kind"))).otherwise(F.col("status")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """kind, n: applied by kind; failed, refused, undecided, done; memory_lines, the lines that the ledger gets (of
+    what is applied and of what is refused)."""
+    kinds = planned.groupBy(F.when(F.col("status") == "applied", F.concat(F.lit("applied:"), F.col("kind"))).otherwise(F.col("status")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    lines = planned.agg(F.lit("memory_lines").alias("kind"), F.count_if(F.col("status").isin("applied", "refused")).alias("n"))
+    return kinds.unionByName(lines)
 
 
 def reconcile(decided: DataFrame, files: DataFrame, ledger: DataFrame, pass_id: str) -> DataFrame:

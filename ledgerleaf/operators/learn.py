@@ -107,23 +107,26 @@ def _grams(rows: DataFrame) -> DataFrame:
 def by_phrase(entries: DataFrame, m: DataFrame, same_kind: bool = False) -> DataFrame:
     """dest, phrase (and ext): the shortest, then least phrase of all its texts and of no other entry's.
 
-    With ``same_kind`` only other entries of the moves' one kind count.
+    With ``same_kind`` only other entries of the moves' one kind count. A phrase of all texts of a folder is in its
+    shortest one, so only that one's phrases are looked for in the others, and only those that all share elsewhere.
     """
-    keys = ["dest", "gram"]
+    more = []
     groups = m
     if same_kind:
         kinds = m.groupBy("dest").agg(F.min("ext").alias("k"), F.max("ext").alias("k2")).where("k = k2").select("dest", F.col("k").alias("kind"))
-        groups, keys = m.join(kinds, "dest"), ["dest", "gram", "kind"]
-    common = _grams(groups).groupBy(*keys).agg(F.count(F.lit(1)).alias("have"), F.max("n").alias("n")).where("have = n")
-    others = _grams(entries)
+        groups, more = m.join(kinds, "dest"), ["kind"]
+    least_text = groups.groupBy("dest", *more).agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("least"), F.max("n").alias("n"), F.count_if(F.coalesce("text", F.lit("")) != "").alias("texts"))
+    asked = _grams(least_text.where("texts = n").select("dest", *more, "n", "least.text")).select("dest", *more, "n", "gram")
+    have = _grams(groups.drop("n", *more)).join(asked, ["dest", "gram"]).groupBy("dest", *more, "gram").agg(F.count(F.lit(1)).alias("have"), F.max("n").alias("n"))
+    common = have.where("have = n").select("dest", *more, "gram", "have")
+    others = _grams(entries).join(common.select("gram").distinct(), "gram", "left_semi")
     if same_kind:
         seen = others.groupBy("gram", F.col("ext").alias("kind")).agg(F.count(F.lit(1)).alias("total"))
-        unique = common.join(seen, ["gram", "kind"]).where("total = have")
     else:
         seen = others.groupBy("gram").agg(F.count(F.lit(1)).alias("total"))
-        unique = common.join(seen, "gram").where("total = have")
+    unique = common.join(seen, ["gram", *more]).where("total = have")
     least = F.min(F.struct(F.length("gram").alias("n"), F.col("gram")))
-    out = unique.groupBy(*[k for k in keys if k != "gram"]).agg(least.alias("l"))
+    out = unique.groupBy("dest", *more).agg(least.alias("l"))
     return out.select("dest", F.col("l.gram").alias("phrase"), *([F.col("kind").alias("ext")] if same_kind else []))
 
 
@@ -238,13 +241,28 @@ def cheap_candidates(files: DataFrame, rule: dict) -> DataFrame:
     return prepared(files).where(compiled(rule.get("when") or {}).cheap).select(*files.columns)
 
 
-def full_audit(files: DataFrame, rule: dict, limit: int = AUDITED) -> DataFrame:
-    """rel, strength, destination of what a rule touches among the first candidates by path."""
-    e, folder, missing = _ready(cheap_candidates(files, rule).orderBy("rel").limit(limit), rule)
+def _audited(files: DataFrame, rule: dict, limit: int, as_of_year: int, kinds: dict | None) -> DataFrame:
+    """The first candidates by path with what their texts say; a null text could not be read."""
+    few = cheap_candidates(files, rule).orderBy("rel").limit(limit).drop("ids", "doc_year")
+    dates = identifiers.extract_dates(F.col("text"))
+    return few.withColumns({"ids": identifiers.extract_ids(F.col("text"), kinds), "doc_year": identifiers.doc_year(dates, as_of_year)})
+
+
+def full_audit(files: DataFrame, rule: dict, as_of_year: int, limit: int = AUDITED, kinds: dict | None = None) -> DataFrame:
+    """rel, strength, destination of what a rule touches among the first candidates by path, whose texts are read:
+    identifiers (``kinds`` as configured) and year come from them. No destination in the rule: null."""
+    e, folder, missing = _ready(_audited(files, rule, limit, as_of_year, kinds), rule)
     strength = compiled(rule.get("when") or {}).strength
     return e.where(strength > 0).select("rel", strength.alias("strength"), F.coalesce(folder, F.concat(F.lit("unresolved: "), missing)).alias("destination"))
 
 
+def full_audit_counts(files: DataFrame, rule: dict, limit: int = AUDITED) -> DataFrame:
+    """candidates, audited, unreadable of a full audit."""
+    found = cheap_candidates(files, rule)
+    read = found.orderBy("rel").limit(limit).agg(F.count(F.lit(1)).alias("audited"), F.count_if(F.col("text").isNull()).alias("unreadable"))
+    return found.agg(F.count(F.lit(1)).alias("candidates")).join(F.broadcast(read))  # one row each
+
+
 def dead_anchors(anchors: DataFrame, known: DataFrame, workspace: str) -> DataFrame:
     """anchor, pointer: paths in back-ticks of instruction files that name nothing. ``anchors``: anchor, body;
     ``known``: rel of every file and folder."""

@@ -40,7 +40,8 @@ def paths_by_content(ledger: DataFrame) -> DataFrame:
 
 
 def stats(ledger: DataFrame) -> DataFrame:
-    """kind, value, n: lines, distinct files, files with a description, and counts of the latest rows by each kind."""
+    """kind, value, n: lines, distinct files, files with a description, counts of the latest rows by each kind, and
+    for each recorded folder (kind dir, value its path) how many files its line stands for."""
     now = latest(ledger)
     named = F.coalesce(*(F.when(F.grouping(k) == 0, F.lit(k)) for k in KINDS))
     value = F.coalesce(*(F.when(F.grouping(k) == 0, F.col(k)) for k in KINDS))
@@ -49,7 +50,12 @@ def stats(ledger: DataFrame) -> DataFrame:
     lines = ledger.agg(F.lit("lines").alias("kind"), none, F.count(F.lit(1)).alias("n"))
     distinct = now.agg(F.lit("distinct_files").alias("kind"), none, F.count(F.lit(1)).alias("n"))
     described = now.agg(F.lit("with_desc").alias("kind"), none, F.count_if(F.coalesce(F.col("desc"), F.lit("")) != "").alias("n"))
-    return grouped.unionByName(lines).unionByName(distinct).unionByName(described)
+    out = grouped.unionByName(lines).unionByName(distinct).unionByName(described)
+    if "type" not in ledger.columns:
+        return out
+    folders = _last(ledger.where("type = 'dir'"), ["path"])
+    n = F.col("count").cast("long") if "count" in ledger.columns else F.lit(None).cast("long")
+    return out.unionByName(folders.select(F.lit("dir").alias("kind"), F.col("path").alias("value"), n.alias("n")))
 
 
 def find(ledger: DataFrame, needle: str) -> DataFrame:
@@ -96,7 +102,8 @@ def vote(rows: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def appended(ledger: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with seq after the ledger's, in ``order``; a single writer calls this per batch of decided rows."""
+    """``rows`` with seq after the ledger's, growing in ``order``, with gaps; a single writer calls this per batch of
+    decided rows. Ranges of the order are sorted side by side."""
     last = ledger.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_last"))
-    placed = rows.withColumn("_n", F.row_number().over(W.orderBy(*order)))
+    placed = rows.orderBy(*order).withColumn("_n", F.monotonically_increasing_id() + 1)
     return placed.join(F.broadcast(last)).withColumn("seq", F.col("_last") + F.col("_n")).drop("_last", "_n")  # one row

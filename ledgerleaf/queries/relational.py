@@ -10,7 +10,8 @@ from ledgerleaf.operators import apply, collect, compact, learn, route
 from ledgerleaf.operators import ledger as log
 from ledgerleaf.plans.conditions import prepared, sensitive_hit
 
-from .standins import DATED, ENTRIES, LEDGER, ROOT, YEAR, dated, entries, flat_sql, ledger, norm_sql, table
+from .standins import DATED, DATES_SQL, ENTRIES, LEDGER, ROOT, YEAR, dated, entries, flat_sql, ledger, norm_sql, table
+from .text import ORACLES as TEXT_ORACLES
 from .text import _says
 
 QUERIES, ORACLES = {}, {}
@@ -65,11 +66,11 @@ def next_pass(spark, sf):
 
 
 @query(
-    f"""WITH {LEDGER}, v AS (SELECT now.pass, count(*) AS n, min(u.user_id) AS first FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0) u JOIN now ON now.path = 'u' || (u.user_id % 20) || '/' || u.user_id || '.txt' GROUP BY 1)
+    f"""WITH {LEDGER}, v AS (SELECT now.pass, count(*) AS n, min(u.user_id) AS first FROM (SELECT DISTINCT user_id FROM events) u JOIN now ON now.path = 'u' || (u.user_id % 20) || '/' || u.user_id || '.txt' GROUP BY 1)
 SELECT pass, n FROM v ORDER BY n DESC, first LIMIT 1"""
 )
 def pass_vote(spark, sf):
-    u = table(spark, sf, "events").where("user_id % 3 = 0").select("user_id").distinct()
+    u = table(spark, sf, "events").select("user_id").distinct()
     rows = u.select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string"), F.lit("/"), F.col("user_id").cast("string"), F.lit(".txt")).alias("path"), F.col("user_id").alias("ord"))
     return log.vote(rows, ledger(spark, sf))
 
@@ -90,7 +91,9 @@ def ledger_record(spark, sf):
 SELECT event_id, path, event_type AS decision, CASE k WHEN 2 THEN 'route' ELSE 'propose' END AS triage, event_id AS size FROM x WHERE k >= 2"""
 )
 def ledger_load(spark, sf):
-    from ledgerleaf.sources.ledger_file import parsed
+    """Lines of several forms, written as text and loaded; their size is their event."""
+    from ledgerleaf.sources import ledger_file
+    from ledgerleaf.sources.scratch import scratch
 
     e = table(spark, sf, "events")
     path, said = F.concat(F.lit('"path": "p'), F.col("user_id").cast("string"), F.lit('"')), F.concat(F.lit('"decision": "'), "event_type", F.lit('"'))
@@ -98,7 +101,21 @@ def ledger_load(spark, sf):
     full = F.concat(F.lit("{"), path, F.lit(", "), said, F.lit(', "triage": "route", "size": '), number, F.lit("}"))
     older = F.concat(F.lit("{"), path, F.lit(", "), said, F.lit(', "level": "propose", "stat": {"size": '), number, F.lit(', "mtime": 1}}'))
     line = F.when(F.col("event_id") % 4 == 0, "  ").when(F.col("event_id") % 4 == 1, F.concat(F.lit("{"), path, F.lit(", oops"))).when(F.col("event_id") % 4 == 2, full).otherwise(older)
-    return parsed(e.select(line.alias("value"), F.col("event_id").alias("seq"))).select(F.col("seq").alias("event_id"), "path", "decision", "triage", "size")
+    path = scratch(spark, "lines")
+    e.select(line.alias("value")).write.text(path)
+    return ledger_file.load(spark, path).select(F.col("size").alias("event_id"), "path", "decision", "triage", "size")
+
+
+@query(f"WITH {LEDGER} SELECT path, decision, triage, size FROM l QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq % 10 <> 0 DESC, seq DESC) = 1")
+def ledger_append(spark, sf):
+    """A small batch of lines, then a large one; the last line of each path as it is loaded again."""
+    from ledgerleaf.sources import ledger_file
+    from ledgerleaf.sources.scratch import scratch
+
+    rows, path = ledger(spark, sf), scratch(spark, "ledger")
+    ledger_file.append(rows.where("seq % 10 = 0").repartition(7), path)
+    ledger_file.append(rows.where("seq % 10 <> 0").repartition(3), path)
+    return log.latest(ledger_file.load(spark, path)).select("path", "decision", "triage", "size")
 
 
 # ---------------------------------------------------------------- selection
@@ -315,44 +332,43 @@ def files(spark, sf):
     return entries(spark, sf).withColumn("ids", identifiers.extract_ids(F.col("text")))
 
 
-@query(f"""WITH {ENTRIES}, {_DECIDED}, m AS (SELECT rel, dst, ord, row_number() OVER (PARTITION BY dst ORDER BY ord) AS n FROM d WHERE doc_id % 16 = 1)
-SELECT rel, CASE n WHEN 1 THEN dst WHEN 2 THEN replace(dst, '.txt', ' (2).txt') END AS final, CASE WHEN n > 2 THEN 'a file is already there, and so is its (2)' END AS why FROM m""")
+@query(
+    f"""WITH {ENTRIES}, {_DECIDED}, w AS (SELECT rel, ord, CASE WHEN dst = 'Filed/' THEN dst || doc_id || '.txt' ELSE dst END AS want FROM d WHERE dst IS NOT NULL),
+m AS (SELECT *, row_number() OVER (PARTITION BY want ORDER BY ord) + CASE WHEN want = 'Named/3.txt' THEN 1 ELSE 0 END AS n FROM w)
+SELECT rel, CASE n WHEN 1 THEN want WHEN 2 THEN CASE WHEN want = '/elsewhere/x' THEN want || ' (2)' ELSE replace(want, '.txt', ' (2).txt') END END AS final, CASE WHEN n > 2 THEN 'a file is already there, and so is its (2)' END AS why FROM m"""
+)
 def collision_suffix(spark, sf):
-    moves = decided(spark, sf).where("doc_id % 16 = 1").select("rel", "dst", "ord")
-    return apply.placed(moves, files(spark, sf)).select("rel", "final", "why")
+    """Every move; one of the names has a file already."""
+    moves = decided(spark, sf).where("dst is not null").select("rel", "dst", "ord")
+    there = files(spark, sf).select("rel").unionByName(spark.range(1).select(F.lit("Named/3.txt").alias("rel")))
+    return apply.placed(moves, there).select("rel", "final", "why")
 
 
 TRASH_CONFIG = {"root": ROOT, "sensitive": {"text_contains_any": ["license"], "path_under": ["src1/"], "supersedable": [{"id": "notice", "text_contains_any": ["license"]}]}}
 
 
+_PROSE = f"pr AS (SELECT doc_id, prose FROM ({TEXT_ORACLES['prose_gate']}))"
+
+
 @query(
-    f"""WITH {ENTRIES}, s AS (SELECT *, lead(rel) OVER (PARTITION BY size, md5 ORDER BY rel) AS next, {_says('license')} AS lic, size <= 1024 AND doc_id % 2 = 0 AS bin FROM e),
-k AS (SELECT max(rel) AS newest FROM s WHERE lic), j AS (SELECT s.*, o.rel AS keep, o.md5 = s.md5 AS same, o.lic AS newer FROM s CROSS JOIN k LEFT JOIN s o ON o.rel = coalesce(s.next, k.newest) AND NOT o.bin AND o.rel <> s.rel)
-SELECT rel, CASE WHEN (lic OR contains('/' || rel, '/src1')) AND NOT coalesce(same, false) AND NOT (lic AND coalesce(newer, false)) THEN 'refused' ELSE 'applied' END AS status FROM j WHERE bin"""
+    f"""WITH {ENTRIES}, {_PROSE}, s AS (SELECT e.*, pr.prose, {_says('license')} AS lic, first_value(rel) OVER (PARTITION BY size, md5 ORDER BY rel) AS head, count(*) OVER (PARTITION BY size, md5) AS copies FROM e JOIN pr USING (doc_id)),
+k AS (SELECT max(rel) AS newest FROM s WHERE lic)
+SELECT rel, CASE WHEN copies > 1 THEN 'applied' WHEN size > 1024 AND NOT prose THEN 'refused' WHEN contains('/' || rel, '/src1') AND NOT lic THEN 'refused' ELSE 'applied' END AS status
+FROM s CROSS JOIN k WHERE NOT (copies > 1 AND rel = head) AND rel IS DISTINCT FROM newest"""
 )
 def trash_guard(spark, sf):
-    f = files(spark, sf)
-    last = prepared(f).where(t.says(F.col("text_norm"), F.col("text_glued"), "license")).agg(F.max("rel").alias("newest"))
-    from pyspark.sql import Window as W
-
-    nxt = F.lead("rel").over(W.partitionBy("size", "md5").orderBy("rel"))
-    d = f.withColumn("next", nxt).join(F.broadcast(last)).where("size <= 1024 and doc_id % 2 = 0")
-    d = d.select("rel", "md5", F.lit("trash").alias("decision"), F.coalesce("next", "newest").alias("keeper"), F.lit(None).cast("string").alias("reviewed"), F.lit("").alias("why"))
-    return apply.trash_guard(d, f, TRASH_CONFIG).select("rel", "status")
-
-
-@query()
-def trash_guard_whole(spark, sf):
     """Every file against the guard but those that stay: the first copy of each repeated content and the newest license."""
     from pyspark.sql import Window as W
 
     f = files(spark, sf)
-    last = prepared(f).where(t.says(F.col("text_norm"), F.col("text_glued"), "license")).agg(F.max("rel").alias("newest"))
+    marked = prepared(f).select("rel", "size", "md5", t.says(F.col("text_norm"), F.col("text_glued"), "license").alias("lic"))
+    last = marked.where("lic").agg(F.max("rel").alias("newest"))
     same = W.partitionBy("size", "md5")
-    d = f.select("rel", "md5", F.min("rel").over(same).alias("first"), F.count(F.lit(1)).over(same).alias("copies")).join(F.broadcast(last))
+    d = marked.select("rel", "md5", "lic", F.min("rel").over(same).alias("first"), F.count(F.lit(1)).over(same).alias("copies")).join(F.broadcast(last))
     repeated = F.col("copies") > 1
     d = d.where(~(repeated & (F.col("rel") == F.col("first"))) & ~F.col("rel").eqNullSafe(F.col("newest")))
-    d = d.select("rel", "md5", F.lit("trash").alias("decision"), F.when(repeated, F.col("first")).otherwise(F.col("newest")).alias("keeper"), F.lit(None).cast("string").alias("reviewed"), F.lit("").alias("why"))
+    keeper = F.when(repeated, F.col("first")).when(F.col("lic"), F.col("newest"))
+    d = d.select("rel", "md5", F.lit("trash").alias("decision"), keeper.alias("keeper"), F.lit(None).cast("string").alias("reviewed"), F.lit("").alias("why"))
     return apply.trash_guard(d, f, TRASH_CONFIG).select("rel", "status")
 
 
@@ -369,62 +385,43 @@ def keeper_proof(spark, sf):
     return apply.keepers(d, f).select("rel", "keeper", "same")
 
 
-@query(f"""WITH {ENTRIES}, k AS (SELECT rel, {_says('license')} AS a, {_says('the')} AS b, lag(rel) OVER (ORDER BY doc_id) AS keep FROM e), j AS (SELECT k.rel, k.keep, k.a, k.b, o.a AS a2, o.b AS b2 FROM k JOIN k o ON k.keep = o.rel)
+@query(f"""WITH {ENTRIES}, k AS (SELECT rel, {_says('license')} AS a, {_says('the')} AS b, lag(rel) OVER (PARTITION BY source, lang ORDER BY doc_id) AS keep FROM e), j AS (SELECT k.rel, k.keep, k.a, k.b, o.a AS a2, o.b AS b2 FROM k JOIN k o ON k.keep = o.rel)
 SELECT rel, keep AS keeper, CASE WHEN a AND a2 THEN 'license' ELSE 'supersedable' END AS family FROM j WHERE (a AND a2) OR (b AND b2)""")
 def superseded(spark, sf):
     from pyspark.sql import Window as W
 
     f = files(spark, sf)
-    d = f.select("rel", "md5", F.lit("tag").alias("decision"), F.lag("rel").over(W.orderBy("doc_id")).alias("keeper"))
+    d = f.select("rel", "md5", F.lit("tag").alias("decision"), F.lag("rel").over(W.partitionBy("source", "lang").orderBy("doc_id")).alias("keeper"))
     return apply.superseded(d, f, [{"id": "license", "text_contains_any": ["license"]}, {"text_contains_any": ["the"]}])
 
 
 PLAN_CONFIG = {"root": ROOT, "sensitive": {"text_contains_any": ["license"], "path_under": ["src1/"]}, "workspace_rel": "src19"}
-_PLAN = f"""{ENTRIES}, {_DECIDED}, k AS (SELECT d.*, row_number() OVER (PARTITION BY CASE WHEN dst = 'Filed/' THEN dst || doc_id || '.txt' ELSE dst END ORDER BY ord) AS n FROM d),
-s AS (SELECT *, CASE WHEN decision = 'unanswered' THEN 'undecided' WHEN decision = 'burn' OR source = 'src19' OR (decision = 'rename' AND (dst IS NULL OR starts_with(dst, '/') OR n > 2)) THEN 'failed'
-  WHEN decision = 'trash' AND ({_says('license')} OR contains('/' || rel, '/src1')) THEN 'refused' ELSE 'applied' END AS st FROM k WHERE size <= 1024 OR decision <> 'trash')"""
+_PLAN = f"""{ENTRIES}, {_PROSE}, {_DECIDED}, k AS (SELECT d.*, size > 1024 AND NOT prose AS unread, {_says('license')} AS lic, contains('/' || rel, '/src1') AS protected,
+  row_number() OVER (PARTITION BY CASE WHEN dst = 'Filed/' THEN dst || doc_id || '.txt' ELSE dst END ORDER BY ord) AS n FROM d JOIN pr USING (doc_id)),
+s AS (SELECT *, CASE WHEN decision = 'unanswered' THEN 'undecided' WHEN decision = 'burn' OR source = 'src19' THEN 'failed' WHEN decision = 'trash' AND (unread OR lic OR protected) THEN 'refused'
+  WHEN decision = 'rename' AND (dst IS NULL OR starts_with(dst, '/') OR n > 2) THEN 'failed' ELSE 'applied' END AS st FROM k)"""
 
 
 def planned(spark, sf):
-    return apply.plan(decided(spark, sf).where("size <= 1024 or decision <> 'trash'"), files(spark, sf), PLAN_CONFIG, "2025-01-01-1")
-
-
-def planned_whole(spark, sf):
-    """The plan of every decided row; ``planned`` has the rows that its SQL covers, which lacks the prose test."""
     return apply.plan(decided(spark, sf), files(spark, sf), PLAN_CONFIG, "2025-01-01-1")
 
 
-@query()
-def apply_plan_whole(spark, sf):
-    return planned_whole(spark, sf).select("rel", "decision", "status", "final")
-
-
-@query()
-def apply_summary_whole(spark, sf):
-    return apply.summary(planned_whole(spark, sf))
-
-
-@query()
-def refused_rows_whole(spark, sf):
-    return apply.refused_rows(planned_whole(spark, sf)).select("path", "pass", "decision", "reason")
-
-
 @query(
-    f"""WITH {_PLAN} SELECT rel, decision, CASE WHEN st = 'failed' AND source = 'src19' AND decision = 'trash' THEN 'refused' ELSE st END AS status,
+    f"""WITH {_PLAN} SELECT rel, decision, st AS status,
   CASE WHEN st = 'applied' THEN CASE decision WHEN 'move' THEN 'Filed/' || doc_id || '.txt' WHEN 'rename' THEN CASE n WHEN 1 THEN dst ELSE replace(dst, '.txt', ' (2).txt') END WHEN 'trash' THEN 'bin' ELSE rel END END AS final FROM s"""
 )
 def apply_plan(spark, sf):
     return planned(spark, sf).select("rel", "decision", "status", "final")
 
 
-@query(f"WITH {_PLAN}, f AS (SELECT *, CASE WHEN st = 'failed' AND source = 'src19' AND decision = 'trash' THEN 'refused' ELSE st END AS st2 FROM s) SELECT CASE WHEN st2 = 'applied' THEN 'applied:' || decision ELSE st2 END AS kind, count(*) AS n FROM f GROUP BY 1")
+@query(f"WITH {_PLAN} SELECT CASE WHEN st = 'applied' THEN 'applied:' || decision ELSE st END AS kind, count(*) AS n FROM s GROUP BY 1 UNION ALL SELECT 'memory_lines', count(*) FILTER (st IN ('applied', 'refused')) FROM s")
 def apply_summary(spark, sf):
     return apply.summary(planned(spark, sf))
 
 
 @query(
-    f"""WITH {_PLAN} SELECT rel AS path, '2025-01-01-1' AS pass, 'refused' AS decision, 'trash refused: sensitive (' || CASE WHEN {_says('license')} THEN 'text_contains_any: license' ELSE 'path_under: src1/' END || ') — kept' AS reason
-FROM s WHERE decision = 'trash' AND ({_says('license')} OR contains('/' || rel, '/src1'))"""
+    f"""WITH {_PLAN} SELECT rel AS path, '2025-01-01-1' AS pass, 'refused' AS decision, 'trash refused: ' || CASE WHEN unread THEN '{apply.UNREADABLE}' ELSE 'sensitive (' || CASE WHEN lic THEN 'text_contains_any: license' ELSE 'path_under: src1/' END || ') — kept' END AS reason
+FROM s WHERE st = 'refused'"""
 )
 def refused_rows(spark, sf):
     return apply.refused_rows(planned(spark, sf)).select("path", "pass", "decision", "reason")
@@ -488,22 +485,19 @@ def rule_ripe(spark, sf):
     return learn.report(rules, deltas).drop("cycle")
 
 
-def moved(spark, sf, whole=False):
-    """Files that move by language and last digit; the moves of a folder share a phrase, a name or an identifier.
-
-    Their texts are whole or, as in the SQL, their first 80 characters."""
+def moved(spark, sf):
+    """Files that move by language and last digit; the moves of a folder share a phrase, a name or an identifier."""
     e = files(spark, sf)
     k = F.col("doc_id")
     memo = (k % 5 == 1) & ~F.col("source").isin("src0", "src3")
     dest = F.when(k % 5 == 0, F.concat(F.lit("Archive/2024 "), "lang")).when(memo, F.concat(F.lit("Second/"), "lang"))
-    said = F.col("text") if whole else F.substring("text", 1, 80)
-    marked = F.when(k % 5 == 0, F.concat(F.lit("dossier de "), "lang", F.lit(" archive "), said)).otherwise(said)
+    marked = F.when(k % 5 == 0, F.concat(F.lit("dossier de "), "lang", F.lit(" archive "), "text")).otherwise(F.col("text"))
     ids = F.when(k % 5 == 1, F.create_map(F.lit("no"), F.array(F.concat(F.when(memo, "A").otherwise("C"), "lang"), F.lit("B"))))
     return e.select("doc_id", F.when(k % 5 == 1, F.concat_ws("/", F.lit("in"), "lang", F.concat(F.when(memo, "mémo-").otherwise("note-"), "lang", F.lit("-"), k.cast("string"), F.lit(".md")))).otherwise(F.col("rel")).alias("rel"), F.when(k % 5 == 1, ".md").otherwise(".txt").alias("ext"), marked.alias("text"), ids.alias("ids"), F.when(dest.isNotNull(), "moved").alias("result"), F.concat(dest, F.lit("/"), k.cast("string"), F.lit(".txt")).alias("final"), F.lit(2024).alias("doc_year"))
 
 
 _MOVED = r"""v AS (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 'Archive/2024 ' || lang WHEN doc_id % 5 = 1 AND source NOT IN ('src0', 'src3') THEN 'Second/' || lang END AS dest,
-  CASE WHEN doc_id % 5 = 0 THEN 'dossier de ' || lang || ' archive ' || text[1:80] ELSE text[1:80] END AS text, doc_id % 5 = 1 AS memo FROM documents), g AS (SELECT dest, count(*) AS n FROM v WHERE dest IS NOT NULL GROUP BY 1 HAVING count(*) >= 3), vg AS (SELECT v.*, g.n FROM v JOIN g USING (dest))"""
+  CASE WHEN doc_id % 5 = 0 THEN 'dossier de ' || lang || ' archive ' || text ELSE text END AS text, doc_id % 5 = 1 AS memo FROM documents), g AS (SELECT dest, count(*) AS n FROM v WHERE dest IS NOT NULL GROUP BY 1 HAVING count(*) >= 3), vg AS (SELECT v.*, g.n FROM v JOIN g USING (dest))"""
 
 
 @query(
@@ -517,12 +511,6 @@ def mine_phrase(spark, sf):
     return learn.by_phrase(e, learn.moves(e))
 
 
-@query()
-def mine_phrase_whole(spark, sf):
-    e = moved(spark, sf, whole=True)
-    return learn.by_phrase(e, learn.moves(e))
-
-
 @query(
     f"""WITH {_MOVED}, i AS (SELECT doc_id, dest, unnest([CASE WHEN dest IS NOT NULL THEN 'A' ELSE 'C' END || lang, 'B']) AS value FROM v WHERE memo), c AS (SELECT i.dest, value, count(*) AS have FROM i JOIN g USING (dest) GROUP BY 1, 2, g.n HAVING count(*) = g.n),
 t AS (SELECT value, count(*) AS total FROM i GROUP BY 1) SELECT dest, min(value) AS value FROM c JOIN t USING (value) WHERE total = have GROUP BY 1"""
@@ -549,7 +537,7 @@ def mine_rule_ids(spark, sf):
 
 @query()
 def mine_rules(spark, sf):
-    return learn.mined_rules(moved(spark, sf, whole=True), ledger(spark, sf), "2025-01-01-1", ["fr"])
+    return learn.mined_rules(moved(spark, sf), ledger(spark, sf), "2025-01-01-1", ["fr"])
 
 
 @query(f"WITH {_FINAL} SELECT rel, CASE WHEN {_says('license')} THEN 'rule license (evidence strength 2)' WHEN contains('/' || rel, '/src1') THEN 'rule src1 matched on the path or filename alone' WHEN trim(text) = '' THEN 'no text to reason on' ELSE 'no rule matched' END AS reason FROM s WHERE result IS NULL OR doc_id % 11 = 0")
@@ -562,16 +550,32 @@ def learn_report(spark, sf):
     return learn.learn_report(settled_entries(spark, sf))
 
 
-AUDITED = {"id": "x", "when": {"text_contains_any": ["purchase"]}, "destination": "u{doc_year}/"}
+AUDITED = {"id": "x", "when": {"any": [{"text_contains_any": ["purchase"]}, {"size_gt": 500}]}, "destination": "u1"}
 
 
 @query(
-    f"""WITH {LEDGER} SELECT count(*) AS matched, 0 AS agreed, count(*) AS disagreed, 0 AS unjudged FROM now WHERE decision NOT IN ('unanswered', 'refused') AND contains(lower(coalesce(descr, '')), 'purchase')"""
+    f"""WITH {LEDGER}, m AS (SELECT * FROM now WHERE decision NOT IN ('unanswered', 'refused') AND (contains(lower(coalesce(descr, '')), 'purchase') OR size > 500))
+SELECT count(*) AS matched, count(*) FILTER (starts_with(path, 'u1/')) AS agreed, count(*) FILTER (NOT starts_with(path, 'u1/')) AS disagreed, count(*) FILTER (path IS NULL) AS unjudged FROM m"""
 )
 def audit_rule(spark, sf):
     return learn.audit(ledger(spark, sf), AUDITED)
 
 
+AUDITED_NAMES = {"id": "z", "when": {"size_gt": 500}, "destination": "u{stem}"}
+AUDITED_YEARS = {"id": "w", "when": {"size_gt": 500}, "destination": "u{entity}"}
+
+
+@query(
+    f"""WITH {LEDGER}, m AS (SELECT * FROM now WHERE decision NOT IN ('unanswered', 'refused') AND size > 500)
+SELECT 'z' AS rule, count(*) AS matched, count(*) FILTER (starts_with(path, 'u' || regexp_extract(path, '/([0-9]+)', 1))) AS agreed, count(*) FILTER (NOT starts_with(path, 'u' || regexp_extract(path, '/([0-9]+)', 1))) AS disagreed, 0 AS unjudged FROM m
+UNION ALL SELECT 'w', count(*), 0, 0, count(*) FROM m"""
+)
+def audit_rule_judged(spark, sf):
+    """A rule whose destination each row fills, and one that no row can fill."""
+    rows = ledger(spark, sf)
+    return learn.audit(rows, AUDITED_NAMES).select(F.lit("z").alias("rule"), "*").unionByName(learn.audit(rows, AUDITED_YEARS).select(F.lit("w").alias("rule"), "*"))
+
+
 FULL = {"id": "y", "when": {"text_contains_any": ["license"], "path_under": ["src1"], "size_gt": 200}, "destination": "Out/{doc_year}"}
 
 
@@ -580,9 +584,28 @@ def full_audit_candidates(spark, sf):
     return learn.cheap_candidates(entries(spark, sf), FULL).select("doc_id")
 
 
-@query(f"WITH {ENTRIES}, c AS (SELECT * FROM e WHERE contains('/' || rel, '/src1') AND size > 200 ORDER BY rel LIMIT 500) SELECT rel, 2 AS strength, 'unresolved: doc_year' AS destination FROM c WHERE {_says('license')}")
+_YEARS = f"list_max(list_filter(list_transform(regexp_extract_all(array_to_string((list_distinct(regexp_extract_all({flat_sql('text')}, '(?i){DATES_SQL}')))[1:5], ' '), '\\b(?:19|20)\\d{{2}}\\b'), lambda y: y::INT), lambda y: y BETWEEN 1900 AND {YEAR + 1}))"
+#: Candidates of a full audit; a third of the texts get a date, some of them two.
+_FULL = f"""{ENTRIES}, c AS (SELECT * REPLACE (CASE doc_id % 3 WHEN 0 THEN 'Signed 12/03/' || (2000 + doc_id % 20) || CASE WHEN doc_id % 2 = 0 THEN ', due 2024-01-0' || (doc_id % 9 + 1) ELSE '' END || '. ' || text ELSE text END AS text) FROM e
+  WHERE contains('/' || rel, '/src1') AND size > 200 ORDER BY rel LIMIT 500)"""
+
+
+def dated_entries(spark, sf):
+    k = F.col("doc_id")
+    due = F.when(k % 2 == 0, F.concat(F.lit(", due 2024-01-0"), (k % 9 + 1).cast("string"))).otherwise("")
+    signed = F.concat(F.lit("Signed 12/03/"), (k % 20 + 2000).cast("string"), due, F.lit(". "), "text")
+    return entries(spark, sf).withColumn("text", F.when(k % 3 == 0, signed).otherwise(F.col("text")))
+
+
+@query(f"WITH {_FULL} SELECT rel, 2 AS strength, coalesce('Out/' || {_YEARS} || '/', 'unresolved: doc_year') AS destination FROM c WHERE {_says('license')}")
 def full_audit_rule(spark, sf):
-    return learn.full_audit(entries(spark, sf), FULL)
+    return learn.full_audit(dated_entries(spark, sf), FULL, YEAR)
+
+
+@query(f"WITH {ENTRIES}, c AS (SELECT *, row_number() OVER (ORDER BY rel) AS n FROM e WHERE contains('/' || rel, '/src1') AND size > 200) SELECT count(*) AS candidates, count(*) FILTER (n <= 500) AS audited, count(*) FILTER (n <= 500 AND doc_id % 4 = 0) AS unreadable FROM c")
+def full_audit_counts(spark, sf):
+    unread = entries(spark, sf).withColumn("text", F.when(F.col("doc_id") % 4 != 0, F.col("text")))
+    return learn.full_audit_counts(unread, FULL)
 
 
 @query(

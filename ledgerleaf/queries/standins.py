@@ -58,6 +58,7 @@ def flat_sql(x: str) -> str:
     return rf"trim(regexp_replace({x},'\s+',' ','g'))"
 
 
+# Forms of a date, as in functions/identifiers, in SQL.
 DATES_SQL = (
     r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\b|\b\d{1,2}(?:er|st|nd|rd|th)?\s+(?:jan(?:vier|uary)?|f[eé]v(?:rier)?|feb(?:ruary)?|mar(?:s|ch)?|avr(?:il)?|apr(?:il)?|mai|may|juin|june?|juil(?:let)?|july?|"
     r"ao[uû]t|aug(?:ust)?|sep(?:t(?:embre|ember)?)?|oct(?:obre|ober)?|nov(?:embre|ember)?|d[eé]c(?:embre|ember)?)\s+\d{4}\b|\b(?:0[1-9]|1[0-2])/\d{4}\b"

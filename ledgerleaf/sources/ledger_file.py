@@ -2,23 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RECORD = (
     "type string, path string, pass string, triage string, level string, decision string, reason string, size long, mtime long, md5 string, provenance string, "
     "desc string, ids map<string,array<string>>, tags array<string>, date_doc string, count long, total_size long, max_mtime long, tree_md5 string, stat struct<size:long,mtime:long>"
 )
+#: Places of a batch, or of a part of a foreign file, within seq; and of one task's rows within a batch.
+_PLACES, _OF_TASK = 1 << 40, 1 << 26
+_LINE = "_line"
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop's."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``prefix``-N below a path, sorted; one listing, no file is read."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+    return sorted(int(n[len(prefix) + 1 :]) for n in names if n.startswith(f"{prefix}-") and n[len(prefix) + 1 :].isdigit())
+
+
+def _committed(rows: DataFrame, path: str, prefix: str) -> int:
+    """Write ``rows`` under a hidden name, then rename it to the next ``prefix``-N: readers see all of it or nothing.
+
+    A rename onto a name that another writer has just taken fails, and the next number is tried.
+    """
+    spark = rows.sparkSession
+    hidden = f"{path.rstrip('/')}/.pending-{uuid.uuid4().hex}"
+    rows.write.json(hidden)
+    fs, source = _files(spark, hidden)
+    while True:
+        number = max(_numbered(spark, path, prefix), default=0) + 1
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{prefix}-{number:012d}")
+        if not fs.exists(target) and fs.rename(source, target):
+            return number
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """A ledger of JSON lines with seq, its lines' order. Blank and broken lines are left out; ``level`` is an older
     name of triage; size and time may lie in ``stat``.
 
-    seq orders lines by file and by place in it; a ledger of several files should have names that sort by age.
+    Lines that ``append`` wrote follow their batch's number and their line in it, wherever they lie. Other files come
+    before all batches, by time of their last change, then name, then place in the file.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
-    return parsed(raw)
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_block_start").alias("block"), place.alias("place"))
+    batch = F.regexp_extract("file", r"/batch-(\d{12})/[^/]*$", 1)
+    raw = raw.withColumn("batch", F.when(batch != "", batch.cast("long")))
+    # Parts of foreign files, a row each; one task may order them.
+    parts = raw.where("batch is null").select("file", "changed", "block").distinct().withColumn("part", F.row_number().over(W.orderBy("changed", "file", "block")))
+    parts = parts.select(F.col("file").alias("_f"), F.col("block").alias("_b"), "part")
+    ordered = raw.join(F.broadcast(parts), (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")) & F.col("batch").isNull(), "left")
+    before = parts.agg(F.count(F.lit(1)).alias("foreign"))
+    ordered = ordered.join(F.broadcast(before))  # one row
+    line = F.coalesce(F.get_json_object("value", f"$.{_LINE}").cast("long"), F.col("place"))
+    seq = F.when(F.col("batch").isNull(), F.col("part") * _PLACES + F.col("place")).otherwise((F.col("foreign") + F.col("batch")) * _PLACES + line)
+    return parsed(ordered.select("value", seq.alias("seq")))
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -29,18 +79,35 @@ def parsed(raw: DataFrame) -> DataFrame:
     return out.withColumns({"triage": F.coalesce("triage", "level"), "size": F.coalesce("size", "stat.size"), "mtime": F.coalesce("mtime", "stat.mtime")}).drop("level", "stat")
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Add lines; Spark's committer makes a batch visible as a whole or not at all."""
-    rows.drop("seq").write.mode("append").json(path)
+def append(rows: DataFrame, path: str, *order: str | Column) -> int:
+    """Add lines as one batch, in the order of ``order`` (seq, where it is not given and there is one; else as they
+    lie); the number of the batch. The batch becomes visible as a whole or not at all."""
+    by = order or (("seq",) if "seq" in rows.columns else ())
+    lines = rows.orderBy(*by) if by else rows
+    # Sorted partitions follow each other, so task and place give the order.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (place < _OF_TASK) & (F.spark_partition_id() < _PLACES // _OF_TASK)
+    number = F.when(fits, F.spark_partition_id().cast("long") * _OF_TASK + place).otherwise(F.raise_error(F.lit("too many lines for one batch")).cast("long"))
+    return _committed(lines.select(*(c for c in rows.columns if c != "seq"), number.alias(_LINE)), path, "batch")
 
 
 def load_entries(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A working file: a JSON list of entries, or an object that holds one under ``entries``."""
+    """A working file: a JSON list of entries, or an object that holds one under ``entries``; of a table that
+    ``write_entries`` wrote, the newest version."""
+    versions = _numbered(spark, path, "version")
+    if versions:
+        return spark.read.schema(schema).json(f"{path.rstrip('/')}/version-{versions[-1]:012d}")
     both = spark.read.schema(f"{schema}, entries array<struct<{schema}>>").json(path, multiLine=True)
     plain = both.where("entries is null").drop("entries")
     return plain.unionByName(both.where("entries is not null").select(F.explode("entries").alias("e")).select("e.*"))
 
 
-def write_entries(rows: DataFrame, path: str) -> None:
-    """Replace a working table; readers see the old one until the new one is committed under its own name."""
-    rows.write.mode("overwrite").json(path)
+def write_entries(rows: DataFrame, path: str) -> int:
+    """Replace a working table by a new version; ``rows`` may come from the one before. Readers have the old version
+    until the new one is whole. The last two versions stay, so that a reader in progress ends."""
+    spark = rows.sparkSession
+    number = _committed(rows, path, "version")
+    for old in _numbered(spark, path, "version")[:-2]:
+        fs, at = _files(spark, f"{path.rstrip('/')}/version-{old:012d}")
+        fs.delete(at, True)
+    return number

@@ -274,17 +274,47 @@ def test_candidates(spark, ledger):
 
 
 def test_append_and_entries(spark, ledger, tmp_path):
-    rows = ledger.where("seq = 0").drop("seq").withColumn("path", F.lit("new"))
+    rows = ledger.where("path = 'a/x.txt'").orderBy("seq").limit(1).drop("seq").withColumn("path", F.lit("new"))
     more = log.appended(ledger, rows, ["path"])
     assert more.first().seq > ledger.agg(F.max("seq")).first()[0]
-    ledger_file.append(more, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).first().path == "new"
+    assert ledger_file.append(more, str(tmp_path / "out")) == 1
+    assert ledger_file.load(spark, str(tmp_path / "out")).first().path == "new"
     for data in ([{"rel": "a", "n": 1}, {"rel": "b"}], {"entries": [{"rel": "a", "n": 1}, {"rel": "b"}]}):
         p = tmp_path / f"w{isinstance(data, dict)}.json"
         p.write_text(json.dumps(data, indent=1))
         assert sorted((r.rel, r.n) for r in ledger_file.load_entries(spark, str(p), "rel string, n int").collect()) == [("a", 1), ("b", None)]
 
 
+def test_last_line_wins_across_appends(spark, tmp_path):
+    """One line, then a larger batch, then one line: what is written last holds, whatever the sizes of the files."""
+    path = tmp_path / "ledger"
+    schema = "path string, reason string, seq long"
+    ledger_file.append(spark.createDataFrame([("a", "old", 0), ("b", "old", 1)], schema).coalesce(1), str(path))
+    big = [("x%d" % k, "pad " * 50, k) for k in range(2000)] + [("a", "new", 5000), ("a", "newer", 5001), ("a", "middle", 2500)]
+    ledger_file.append(spark.createDataFrame(big, schema).repartition(5), str(path))
+    last = lambda: {r.path: r.reason for r in log.latest(ledger_file.load(spark, str(path))).where("path in ('a', 'b')").collect()}
+    assert last() == {"a": "newer", "b": "old"}
+    ledger_file.append(spark.createDataFrame([("b", "last", 0)], schema), str(path))
+    assert last() == {"a": "newer", "b": "last"}
+    # A foreign file comes before the batches; foreign files follow their age.
+    for name, age, reason in (("z.jsonl", 100, "oldest"), ("a.jsonl", 200, "older")):
+        (path / name).write_text(json.dumps({"path": "f", "reason": reason}) + "\n" + json.dumps({"path": "b", "reason": reason}) + "\n")
+        os.utime(path / name, (age, age))
+    got = {r.path: r.reason for r in log.latest(ledger_file.load(spark, str(path))).where("path in ('b', 'f')").collect()}
+    assert got == {"f": "older", "b": "last"}
+    assert not [p for p in path.iterdir() if p.name.startswith(".pending")]
+
+
+def test_working_table_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "w")
+    ledger_file.write_entries(spark.createDataFrame([("a", 1), ("b", 2)], "rel string, n int"), path)
+    for _ in range(3):  # from what it replaces
+        now = ledger_file.load_entries(spark, path, "rel string, n int")
+        ledger_file.write_entries(now.withColumn("n", F.col("n") + 1), path)
+    assert sorted((r.rel, r.n) for r in ledger_file.load_entries(spark, path, "rel string, n int").collect()) == [("a", 4), ("b", 5)]
+    assert len([p for p in (tmp_path / "w").iterdir() if p.name.startswith("version-")]) == 2
+
+
 # ---------------------------------------------------------------- plan
 
 FILES = "rel string, size long, md5 string, text string, ext string, ids map<string,array<string>>"
@@ -292,6 +322,26 @@ DECIDED = "rel string, decision string, dst string, keeper string, reviewed stri
 GUARDED = {"root": "/r", "sensitive": {"text_contains_any": ["passeport"], "supersedable": [{"id": "copy", "text_contains_any": ["attestation"]}]}}
 
 
+def test_order_of_the_plan(spark):
+    """General failures come before the guard, the guard before what a decision needs; inboxes are sources."""
+    files = [(".triage/x.txt", 5, "a", "passeport"), ("~/in/p.txt", 5, "b", "passeport"), ("~/else/p.txt", 5, "c", "x"), ("ok.txt", 5, "d", "fine words")]
+    decided = [(".triage/x.txt", "trash", "a", {}), ("~/in/p.txt", "trash", "b", {}), ("~/else/p.txt", "tag", "c", {}), ("ok.txt", "tag", "d", {}), ("gone.txt", "trash", "e", {})]
+    got = plan_of(spark, files, decided, {**GUARDED, "inboxes": [{"path": "~/in"}]})
+    assert {k: v.status for k, v in got.items()} == {".triage/x.txt": "failed", "~/in/p.txt": "refused", "~/else/p.txt": "failed", "ok.txt": "applied", "gone.txt": "failed"}
+    assert got["~/else/p.txt"].why == apply.OUTSIDE and got[".triage/x.txt"].why == apply.OWN and got["gone.txt"].why == "not found"
+
+
+def test_resumed_plan(spark):
+    """Rows with a result are done; a gesture that the interrupted run recorded is not done again."""
+    f = spark.createDataFrame([("F/a.txt", 5, "a", "x", ".txt", None), ("b.txt", 5, "b", "x", ".txt", None)], FILES)
+    d = spark.createDataFrame([("a.txt", "move", "F/", None, None, "w", None, "a", 0, None), ("b.txt", "tag", None, None, None, "w", None, "b", 1, "tagged"), ("c.txt", "tag", None, None, None, "w", None, None, 2, None)], DECIDED + ", result string")
+    ledger = spark.createDataFrame([(0, "F/a.txt", "p", "move", "a")], "seq long, path string, pass string, decision string, md5 string")
+    got = {r.rel: (r.status, r.kind, r.final) for r in apply.plan(d, f, GUARDED, "p", ledger, resume=True).collect()}
+    assert got == {"a.txt": ("applied", "reconcile", "F/a.txt"), "b.txt": ("done", None, None), "c.txt": ("failed", None, None)}
+    plain = {r.rel: r.status for r in apply.plan(d, f, GUARDED, "p").collect()}
+    assert plain == {"a.txt": "failed", "b.txt": "applied", "c.txt": "failed"}
+
+
 def plan_of(spark, files, decided, cfg=GUARDED):
     f = spark.createDataFrame([(r, s, m, t, ".txt", None) for r, s, m, t in files], FILES)
     d = spark.createDataFrame([(r, a, o.get("dst"), o.get("keeper"), o.get("reviewed"), "w", o.get("desc"), m, i) for i, (r, a, m, o) in enumerate(decided)], DECIDED)
@@ -407,7 +457,7 @@ def test_stream_of_passes(spark, tmp_path):
     spark.createDataFrame([("a.txt", "une facture", ".txt", 10, "1"), ("b.txt", "rien", ".txt", 9, "2")], schema).coalesce(1).write.json(str(source / "1"))
     cfg = {"root": "/r", "rules": [{"id": "f", "status": "active", "when": {"text_contains_any": ["facture"]}, "destination": "F"}]}
     read = lambda: ledger_file.load(spark, str(out)) if out.exists() else None
-    write = lambda df: df.write.mode("append").json(str(out))
+    write = lambda df: ledger_file.append(df, str(out))
 
     def run():
         stream = spark.readStream.schema(schema).json(str(source / "*"))

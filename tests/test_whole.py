@@ -1,4 +1,4 @@
-"""Queries that SQL covers in part only, over every row against brute force."""
+"""Queries of the plan, the guard and the miner, over every row against brute force."""
 
 import json
 import re
@@ -51,15 +51,17 @@ def test_plan(spark, sf):
             final = dst and dst.replace(".txt", " (2).txt")
         bad = decision == "burn" or f["source"] == "src19" or (decision == "rename" and (not dst or places[dst] > 2))
         why = decision == "trash" and (UNREAD if f["unread"] else f"sensitive ({'text_contains_any: license' if f['lic'] else 'path_under: src1/'}) — kept" if f["lic"] or f["src1"] else None)
-        status = "undecided" if decision == "unanswered" else "refused" if why else "failed" if bad else "applied"
+        general = decision == "burn" or f["source"] == "src19"
+        status = "undecided" if decision == "unanswered" else "failed" if general else "refused" if why else "failed" if bad else "applied"
         want.append((f["rel"], decision, status, final if status == "applied" else None))
-        if why:
+        if status == "refused":
             refused.append((f["rel"], "2025-01-01-1", "refused", f"trash refused: {why}"))
     rows = lambda name: sorted((tuple(r) for r in registry.QUERIES[name](spark, sf).collect()), key=repr)
-    assert rows("apply_plan_whole") == sorted(want, key=repr)
-    assert rows("refused_rows_whole") == sorted(refused, key=repr)
+    assert rows("apply_plan") == sorted(want, key=repr)
+    assert rows("refused_rows") == sorted(refused, key=repr)
     counts = Counter(f"applied:{d}" if st == "applied" else st for _, d, st, _ in want)
-    assert dict(rows("apply_summary_whole")) == counts
+    counts["memory_lines"] = sum(r[2] in ("applied", "refused") for r in want)
+    assert dict(rows("apply_summary")) == counts
     assert sum(d == "trash" for _, d, _, _ in want) == sum(f["id"] % 8 in (2, 7) for f in judged_files(sf))
     if not sf.startswith("/root/testdata"):
         assert sum(UNREAD in r[3] for r in refused) >= 8
@@ -82,7 +84,7 @@ def test_guard(spark, sf):
         refused = not first and (f["unread"] or ((f["lic"] or f["src1"]) and not newer))
         branches["twin" if first else "unread" if f["unread"] else "newer" if newer else "protected" if refused else "free"] += 1
         want.append((f["rel"], "refused" if refused else "applied"))
-    assert sorted(map(tuple, registry.QUERIES["trash_guard_whole"](spark, sf).collect())) == sorted(want)
+    assert sorted(map(tuple, registry.QUERIES["trash_guard"](spark, sf).collect())) == sorted(want)
     if not sf.startswith("/root/testdata"):
         assert set(branches) == {"twin", "unread", "newer", "protected", "free"}
 
@@ -113,7 +115,7 @@ def test_phrases_of_whole_texts(spark, tmp_path):
             unique = set.intersection(*(grams(ids[i][1]) for i in members)) - set().union(*(grams(said) for i, (_, said, _) in ids.items() if i not in members))
             if unique:
                 want[dest] = min(unique, key=lambda g: (len(g), g))
-    got = {r.dest: r.phrase for r in registry.QUERIES["mine_phrase_whole"](spark, str(tmp_path)).collect()}
+    got = {r.dest: r.phrase for r in registry.QUERIES["mine_phrase"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) >= 2
     pd.DataFrame({"event_id": [1], "user_id": [1], "event_type": ["click"], "ts": [pd.Timestamp("2024-01-01")]}).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
     rules = [json.loads(r.condition) for r in registry.QUERIES["mine_rules"](spark, str(tmp_path)).collect() if r.form == 3]
