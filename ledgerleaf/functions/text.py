@@ -114,13 +114,28 @@ def ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(words), runs))))
 
 
-def _plausible(word: Column) -> Column:
-    low = F.lower(word)
+# A letter, or a mark or joiner within a word; most are told by the first part of the class, which is the quick one.
+_LETTER = r"[a-zA-Z[^\W\d_]]"
+# Vowels of either case; the last one is a dotted capital, whose small form has an i.
+_VOWEL = f"[{VOWELS}{VOWELS.upper()}\u0130]"
+_OTHER = rf"(?:(?!{_VOWEL}){_LETTER})"
+_WORD = rf"(?U){_LETTER}{{3,}}"
+# A word with a vowel and without five other letters in a row: up to four of them before each vowel and at the end.
+_SPOKEN = rf"(?U)(?<!{_LETTER})(?={_LETTER}{{3}})(?:{_OTHER}{{0,4}}+{_VOWEL})++{_OTHER}{{0,4}}+(?!{_LETTER})"
+
+
+def _sprayed(word: Column) -> Column:
     body = F.substring(word, 2, sys.maxsize >> 33)
     capitals = F.length(F.regexp_replace(body, r"(?U)\P{Lu}", ""))
-    # Most words have no capital after their first letter, and none of the rest is looked at.
-    sprayed = word.rlike(r"(?U).\p{Lu}") & (word != F.upper(word)) & (capitals > F.length(body) * SPRAYED_SHARE)
-    return low.rlike(f"[{VOWELS}]") & ~low.rlike(rf"(?U)(?:(?![{VOWELS}\d_])\w){{5}}") & ~sprayed
+    return (word != F.upper(word)) & (capitals > F.length(body) * SPRAYED_SHARE)
+
+
+def _plausible(joined: Column) -> Column:
+    """How many words of a text look like a language's: spoken, and without capitals sprayed over them."""
+    inside = rf"(?U)(?<={_LETTER})\p{{Lu}}"
+    # Most texts have no capital within a word, and their words are not looked at one by one.
+    sprayed = F.size(F.filter(F.regexp_extract_all(joined, F.lit(_SPOKEN), F.lit(0)), lambda w: w.rlike(r"(?U).\p{Lu}") & _sprayed(w)))
+    return F.regexp_count(joined, F.lit(_SPOKEN)) - F.when(joined.rlike(inside), sprayed).otherwise(0)
 
 
 def _named(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -131,19 +146,21 @@ def _named(value: Column, use: Callable[[Column], Column]) -> Column:
 def is_prose(text: Column) -> Column:
     """Whether a text is language and not an extractor's debris; null and empty texts are not."""
 
-    def by_words(words: Column) -> Column:
-        good = F.size(F.filter(words, _plausible))
-        return (F.size(words) > 0) & (good >= F.size(words) * PLAUSIBLE_SHARE)
+    def by_joined(joined: Column) -> Column:
+        return _named(F.regexp_count(joined, F.lit(_WORD)), lambda n: (n > 0) & (_plausible(joined) >= n * PLAUSIBLE_SHARE))
 
     def by_rest(rest: Column) -> Column:
-        parts = F.split(rest, " ", -1)
-        single = lambda p: F.size(F.filter(p, lambda x: F.length(x) == 1))
-        spaced = _named(parts, lambda p: (F.size(p) >= SPACED_TOKENS) & (single(p) > F.size(p) * SPACED_SHARE))
-        joined = F.when(spaced, F.replace(rest, F.lit(" "), F.lit(""))).otherwise(rest)
-        return _named(F.regexp_extract_all(joined, F.lit(r"(?U)[^\W\d_]{3,}"), F.lit(0)), by_words)
+        without = F.replace(rest, F.lit(" "), F.lit(""))
+        parts = F.length(rest) - F.length(without) + 1
+        single = F.regexp_count(rest, F.lit(r"(?<![^ ])[^ ](?![^ ])"))
+        spaced = (parts >= SPACED_TOKENS) & (single > parts * SPACED_SHARE)
+        return _named(F.when(spaced, without).otherwise(rest), by_joined)
 
     def by_flat(flat: Column) -> Column:
-        marks = F.length(flat) - F.length(F.regexp_replace(flat, GLYPH, ""))
-        return (F.length(flat) > 0) & (marks <= F.length(flat) * GLYPH_SHARE) & _named(F.regexp_replace(flat, GLYPH, " "), by_rest)
+        # Every mark has one of the two.
+        marked = F.contains(flat, F.lit("/")) | F.contains(flat, F.lit("cid:"))
+        marks = F.when(marked, F.length(flat) - F.length(F.regexp_replace(flat, GLYPH, ""))).otherwise(0)
+        rest = F.when(marked, F.regexp_replace(flat, GLYPH, " ")).otherwise(flat)
+        return (F.length(flat) > 0) & (marks <= F.length(flat) * GLYPH_SHARE) & _named(rest, by_rest)
 
     return _named(flatten(F.coalesce(text, F.lit(""))), by_flat)

@@ -123,3 +123,10 @@ def test_readers(tmp_path):
     assert readers.looks_textual("texte élémentaire".encode()) and not readers.looks_textual(b"a\0b") and not readers.looks_textual(b"")
     assert readers.read(b"x" * 9000, ".txt") == "x" * 8000
     assert readers.read(b"\0\1", ".bin") == "" and readers.read(b"", ".pdf", with_pdf=False) is None
+
+
+def test_prose_of_long_words(spark):
+    """One word of a million letters, letters set apart, capitals sprayed over words, a dotted capital."""
+    cases = {"ba" * 500_000: True, "bcdfgh" * 200_000: False, " ".join("bonjour" * 50_000): True, "bOnJoUr sAlUtAtIoNs": False, "BONJOUR LES AMIS": True, "cdfİfgh": True, "cdfxİ bcd fgh": False}
+    rows = spark.createDataFrame(list(cases.items()), "t string, want boolean")
+    assert rows.where(~text.is_prose(F.col("t")).eqNullSafe(F.col("want"))).selectExpr("left(t, 40)").collect() == []
