@@ -608,6 +608,18 @@ def full_audit_counts(spark, sf):
     return learn.full_audit_counts(unread, FULL)
 
 
+@query(f"""WITH {_FULL}, t AS (SELECT rel, coalesce('Out/' || {_YEARS} || '/', 'unresolved: doc_year') AS destination FROM c WHERE {_says('license')}), n AS (SELECT count(*) AS candidates, least(count(*), 500) AS audited FROM e WHERE contains('/' || rel, '/src1') AND size > 200)
+SELECT 'y' AS rule, candidates, audited, 0 AS unreadable, rel AS path, 2 AS strength, destination FROM n, t""")
+def full_audit_log(spark, sf):
+    """The record of a full audit, as it is read back from the log."""
+    from ledgerleaf.sources import ledger_file
+    from ledgerleaf.sources.scratch import scratch
+
+    rows = dated_entries(spark, sf)
+    kept = ledger_file.write_audit("y", learn.full_audit(rows, FULL, YEAR), learn.full_audit_counts(rows, FULL), scratch(spark, "logs"))
+    return kept.select("rule", "candidates", "audited", "unreadable", F.explode("touched").alias("t")).select("rule", "candidates", "audited", "unreadable", "t.*")
+
+
 @query(
     """WITH a AS (SELECT item_id, unnest(['src1', 'no/where', '/run', 'wiki/state.md', 'a b/c', '~/x/' || item_id]) AS pointer FROM benchmark)
 SELECT item_id::VARCHAR AS anchor, pointer FROM a WHERE pointer NOT IN ('/run', 'wiki/state.md', 'a b/c') AND NOT (pointer = 'src1' AND EXISTS (SELECT 1 FROM documents WHERE source = 'src1'))"""
@@ -628,15 +640,42 @@ def compact_blockers(spark, sf):
     return compact.blockers(walk(spark, sf).select("rel").unionByName(extra), ledger(spark, sf), "u3")
 
 
+_COMPACT = f"""{LEDGER}, {_WALK.replace(chr(92) * 2, chr(92))}, d AS (SELECT * REPLACE (CASE WHEN starts_with(path, 'u3/') AND decision IN ('unanswered', 'refused') THEN 'none' ELSE decision END AS decision) FROM l),
+c AS (SELECT * FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1) WHERE starts_with(path, 'u3/') AND NOT regexp_matches(path, '/[^/]*1[.]txt$')),
+f AS (SELECT count(*) AS count, sum(size)::BIGINT AS total_size, max(mtime) AS max_mtime, md5(string_agg(rel || ':' || md5 || chr(10), '' ORDER BY rel, md5)) AS tree_md5 FROM w WHERE starts_with(rel, 'u3/')),
+line AS (SELECT (SELECT triage FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS triage, (SELECT decision FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS decision, (SELECT provenance FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS provenance,
+  (SELECT descr FROM c WHERE descr IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS descr, (SELECT reason FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS tags, (SELECT date_doc FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS date_doc)"""
+
+
+def all_decided(spark, sf):
+    """The ledger in which every file of one folder is decided."""
+    open_ = F.col("path").startswith("u3/") & F.col("decision").isin("unanswered", "refused")
+    return ledger(spark, sf).withColumn("decision", F.when(open_, "none").otherwise(F.col("decision")))
+
+
+@query(f"WITH {_COMPACT} SELECT 'dir' AS type, 'u3' AS path, '2025-01-01-compact' AS pass, line.*, 'old' AS reason, f.* FROM line, f")
+def compact_dir(spark, sf):
+    made = compact.folder_line(walk(spark, sf), all_decided(spark, sf), "u3", "2025-01-01-compact", "old", keep=["*1.txt"])
+    return made.withColumn("tags", F.array_join("tags", ",")).withColumnRenamed("desc", "descr")
+
+
 @query(
-    f"""WITH {LEDGER}, {_WALK.replace(chr(92) * 2, chr(92))}, c AS (SELECT * FROM now WHERE starts_with(path, 'u3/') AND NOT regexp_matches(path, '/[^/]*1[.]txt$')),
-f AS (SELECT count(*) AS count, sum(size)::BIGINT AS total_size, max(mtime) AS max_mtime, md5(string_agg(rel || ':' || md5 || chr(10), '' ORDER BY rel, md5)) AS tree_md5 FROM w WHERE starts_with(rel, 'u3/'))
-SELECT 'dir' AS type, 'u3' AS path, '2025-01-01-compact' AS pass, (SELECT triage FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS triage, (SELECT decision FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS decision,
-  (SELECT provenance FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS provenance, f.* FROM f"""
+    f"""WITH {_COMPACT} SELECT 'file' AS type, path, seq, decision, reason, 1 AS count, NULL AS tree_md5 FROM d WHERE NOT starts_with(path, 'u3/') OR regexp_matches(path, '/[^/]*1[.]txt$')
+UNION ALL SELECT 'dir', 'u3', (SELECT max(seq) + 1 FROM l), line.decision, 'old', f.count, f.tree_md5 FROM line, f"""
 )
-def compact_dir(spark, sf):
-    made = compact.folder_line(walk(spark, sf), ledger(spark, sf), "u3", "2025-01-01-compact", "old", keep=["*1.txt"])
-    return made.drop("reason", "desc")
+def compact_ledger(spark, sf):
+    left = compact.compacted(walk(spark, sf), all_decided(spark, sf), "u3", "2025-01-01-compact", "old", keep=["*1.txt"])
+    return left.select(F.coalesce("type", F.lit("file")).alias("type"), "path", "seq", "decision", "reason", F.coalesce("count", F.lit(1)).alias("count"), "tree_md5")
+
+
+@query("SELECT 'u' || k AS path, CASE WHEN k % 4 = 0 THEN 'touched' WHEN k % 4 = 1 THEN 'diverged' ELSE 'same' END AS state FROM (SELECT DISTINCT user_id % 20 AS k FROM events) UNION ALL SELECT 'away', 'gone'")
+def folder_states(spark, sf):
+    """Folders as they were recorded, after some files were touched, some changed and one folder went."""
+    there, k = walk(spark, sf), F.regexp_extract("rel", r"^u(\d+)/", 1).try_cast("int")
+    before = there.where(k.isNotNull()).unionByName(spark.createDataFrame([("away/1.txt", 1, 1, "x", None)], there.select("rel", "size", "mtime", "md5", "inbox").schema))
+    lines = collect.folder_fingerprint(before, F.regexp_extract("rel", "^[^/]+", 0)).withColumnRenamed("dir", "path")
+    now = there.withColumns({"mtime": F.when(k % 4 < 2, F.col("mtime") + 1).otherwise(F.col("mtime")), "md5": F.when(k % 4 == 1, F.md5("md5")).otherwise(F.col("md5"))})
+    return compact.folder_states(now, lines.withColumns({"type": F.lit("dir"), "seq": F.lit(1)}))
 
 
 @query()

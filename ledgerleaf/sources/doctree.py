@@ -1,4 +1,4 @@
-"""A Spark data source over folder trees: one partition per top-level entry.
+"""A Spark data source over folder trees, dealt by parts of about equal numbers of entries.
 
 Unlike Spark's binary file reader it keeps dot files, empty files and links (as links, never followed), and reports
 what it was refused: rows of kind ``ignored`` carry the path and the reason.
@@ -11,6 +11,7 @@ import hashlib
 import os
 import stat as st
 import unicodedata
+from collections import deque
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -23,9 +24,15 @@ SCHEMA = "kind string, root string, path string, rel string, size long, mtime lo
 HASHED, BLOCK = 1 << 30, 1 << 20
 
 
-class Top(InputPartition):
-    def __init__(self, root: str, path: str):
-        self.root, self.path = root, path
+#: Parts that a tree is dealt into, when it has as many entries; folders are opened for it on the driver, names only.
+PARTS = 256
+
+
+class Part(InputPartition):
+    """Paths below a root, each visited with what lies below it."""
+
+    def __init__(self, entries: list[tuple[str, str]]):
+        self.entries = entries
 
 
 def digest(path: str, size: int) -> str | None:
@@ -55,18 +62,39 @@ class TreeReader(DataSourceReader):
         self.pdf = flag("pdf", "true")
 
     def partitions(self):
-        tops = []
-        for root in self.roots:
-            try:
-                names = sorted(os.listdir(root))
-            except OSError:
-                names = None
-            tops += [Top(root, root)] if names is None else [Top(root, os.path.join(root, n)) for n in names]
-        return tops or [Top("", "")]
+        """Folders are opened, those nearest to a root first, until there are enough entries to deal."""
+        open_, entries = deque((root, root) for root in self.roots), []
+        while open_ and len(open_) + len(entries) < PARTS:
+            root, path = open_.popleft()
+            below = self.listed(root, path)
+            if below is None:
+                entries.append((root, path))
+            else:
+                open_ += [(root, os.path.join(path, n)) for n in below]
+        entries += open_
+        return [Part(entries[i::PARTS]) for i in range(min(PARTS, len(entries)))] or [Part([])]
+
+    def listed(self, root: str, path: str) -> list[str] | None:
+        """Names in a folder that is walked through; null where a visit has something to say of the path itself."""
+        name = os.path.basename(path)
+        if os.path.islink(path) and path != root or not os.path.isdir(path) or self.is_guarded(path) or path != root and self.skipped(self.relative(root, path), name, True):
+            return None
+        try:
+            return sorted(os.listdir(path))
+        except OSError:
+            return None
 
-    def read(self, part: Top) -> Iterator[tuple]:
-        if part.path:
-            yield from self.visit(part.root, part.path)
+    def read(self, part: Part) -> Iterator[tuple]:
+        for root, path in part.entries:
+            yield from self.visit(root, path)
+
+    @staticmethod
+    def relative(root: str, path: str) -> str:
+        return unicodedata.normalize("NFC", os.path.relpath(path, root))
+
+    def is_guarded(self, path: str) -> bool:
+        full = unicodedata.normalize("NFC", path)
+        return any(full == g or full.startswith(g + "/") for g in self.guarded)
 
     def skipped(self, rel: str, name: str, folder: bool) -> bool:
         if self.audit:
@@ -77,11 +105,10 @@ class TreeReader(DataSourceReader):
         return any(fnmatch.fnmatchcase("/" + rel, g if g.startswith(("/", "*")) else "*/" + g) for g in self.exclude)
 
     def visit(self, root: str, path: str) -> Iterator[tuple]:
-        rel = unicodedata.normalize("NFC", os.path.relpath(path, root))
-        full = unicodedata.normalize("NFC", path)
+        rel = self.relative(root, path)
         blank = dict.fromkeys(("size", "mtime", "ext", "md5", "text", "link_to", "why"))
         row = lambda kind, **kw: tuple({"kind": kind, "root": root, "path": path, "rel": rel, **blank, **kw}.values())
-        if any(full == g or full.startswith(g + "/") for g in self.guarded):
+        if self.is_guarded(path):
             return
         try:
             info = os.lstat(path)
@@ -109,7 +136,7 @@ class TreeReader(DataSourceReader):
             if self.content:
                 try:
                     with open(path, "rb") as f:
-                        text = readers.read(f.read(), ext, "audit" if self.audit else "collect", self.pdf)
+                        text = readers.read(f, ext, "audit" if self.audit else "collect", self.pdf)
                 except OSError:
                     text = None
             yield row("file", size=size, mtime=int(info.st_mtime), ext=ext, md5=digest(path, size) if self.md5 else None, text=text)

@@ -111,3 +111,32 @@ def write_entries(rows: DataFrame, path: str) -> int:
         fs, at = _files(spark, f"{path.rstrip('/')}/version-{old:012d}")
         fs.delete(at, True)
     return number
+
+
+AUDIT = "rule string, candidates long, audited long, unreadable long, touched array<struct<path:string,strength:int,destination:string>>"
+
+
+def write_audit(rule: str, touched: DataFrame, counts: DataFrame, logs: str) -> DataFrame:
+    """Keep what a full audit found (``learn.full_audit``, ``learn.full_audit_counts``) as one record, for a person to
+    judge; an audit reads a bounded number of files, so the record is bounded. The record, as it lies in the log."""
+    row = F.struct(F.col("rel").alias("path"), F.col("strength").cast("int").alias("strength"), "destination")
+    found = touched.agg(F.sort_array(F.collect_list(row)).alias("touched"))
+    one = counts.join(F.broadcast(found)).select(F.lit(rule).alias("rule"), "candidates", "audited", "unreadable", "touched")  # one row each
+    path = f"{logs.rstrip('/')}/full-audit-{rule}"
+    write_entries(one, path)
+    return load_entries(one.sparkSession, path, AUDIT)
+
+
+def archive(spark: SparkSession, bench: str, logs: str, pass_id: str) -> str:
+    """Move the working folder of a closed pass whole to the first free of ``logs``/pass, pass-2, pass-3; its path."""
+    fs, source = _files(spark, bench)
+    if not fs.exists(source):
+        raise FileNotFoundError(bench)
+    fs.mkdirs(_files(spark, logs)[1])
+    number = 1
+    while True:
+        path = f"{logs.rstrip('/')}/{pass_id}" + (f"-{number}" if number > 1 else "")
+        target = _files(spark, path)[1]
+        if not fs.exists(target) and fs.rename(source, target):
+            return path
+        number += 1

@@ -440,6 +440,55 @@ def test_reconcile_and_blockers(spark, ledger):
     assert left == {"a/y.txt", "b/z.txt", "b/w.txt", "c", "~/in/q.txt"}
 
 
+def test_compaction(spark, ledger):
+    there = spark.createDataFrame([("a/x.txt", 3, 5, "q"), ("a/y.txt", 4, 9, None), ("b/z.txt", 1, 1, "m3"), ("a/.DS_Store", 1, 99, "f")], "rel string, size long, mtime long, md5 string")
+    with pytest.raises(ValueError, match="1 undecided files in b: b/z.txt: decision=unanswered"):
+        compact.compacted(there, ledger, "b", "p", "why")
+    with pytest.raises(ValueError, match="no line in a"):
+        compact.compacted(there, ledger, "a", "p", "why", keep=["*.txt"])
+    once = compact.compacted(there, ledger, "a/", "p", "why", tags=["t"], date_doc="2024-01-02")
+    line = once.where("path = 'a'").collect()
+    assert len(line) == 1 and (line[0].type, line[0]["count"], line[0].total_size, line[0].max_mtime, line[0].tags, line[0].date_doc) == ("dir", 2, 7, 9, ["t"], "2024-01-02")
+    assert line[0].seq > ledger.agg(F.max("seq")).first()[0] and once.where("path like 'a/%'").count() == 0
+    states = lambda files: {r.path: r.state for r in compact.folder_states(files, once.where("path = 'a'")).collect()}
+    assert states(there) == {"a": "same"} and states(there.where("rel = 'b/z.txt'")) == {"a": "gone"}
+    assert states(there.withColumn("mtime", F.col("mtime") + 1)) == {"a": "touched"}
+    assert states(there.withColumns({"mtime": F.col("mtime") + 1, "md5": F.lit("new")})) == {"a": "diverged"}
+
+
+def test_logs(spark, tmp_path):
+    bench, logs = tmp_path / "bench", tmp_path / "logs"
+    for i, name in enumerate(["2025-01-01-1", "2025-01-01-1-2", "2025-01-01-1-3"]):
+        bench.mkdir()
+        (bench / "entries.json").write_text(str(i))
+        assert ledger_file.archive(spark, str(bench), str(logs), "2025-01-01-1") == str(logs / name)
+        assert (logs / name / "entries.json").read_text() == str(i) and not bench.exists()
+    with pytest.raises(FileNotFoundError):
+        ledger_file.archive(spark, str(bench), str(logs), "2025-01-01-1")
+    none = spark.createDataFrame([], "rel string, strength int, destination string")
+    counts = spark.createDataFrame([(0, 0, 0)], "candidates long, audited long, unreadable long")
+    assert [tuple(r) for r in ledger_file.write_audit("r", none, counts, str(logs)).collect()] == [("r", 0, 0, 0, [])]
+
+
+def test_scan_deals_evenly(spark, tmp_path):
+    """More entries than parts, nested folders, a long text: every file once, texts as before."""
+    from ledgerleaf.sources import doctree, readers
+
+    for i in range(20):
+        for j in range(20):
+            d = tmp_path / f"d{i}" / f"e{j}"
+            d.mkdir(parents=True)
+            (d / "f.txt").write_text(f"{i} {j}")
+    (tmp_path / "long.txt").write_text("é\r\n" * 50_000, newline="")
+    (tmp_path / "d0" / ".triage").mkdir()
+    (tmp_path / "d0" / ".triage" / "own.txt").write_text("own")
+    found = scan(spark, [str(tmp_path)], guarded=str(tmp_path / "d0" / ".triage"), exclude="d1/*").cache()
+    names = [r.rel for r in found.where("kind = 'file'").collect()]
+    assert sorted(names) == sorted([f"d{i}/e{j}/f.txt" for i in range(20) for j in range(20) if i != 1] + ["long.txt"])
+    assert found.rdd.getNumPartitions() == doctree.PARTS
+    assert found.where("rel = 'long.txt'").first().text == readers.clean("é\n" * (readers.CHARS // 2))
+
+
 def test_barrier(spark):
     rows = [("a", True, " ", None, None), ("b", True, "lu", None, None), ("c", False, "", None, None)]
     df = spark.createDataFrame(rows, "rel string, needs_vision boolean, text string, decision string, known_as string")
