@@ -74,22 +74,21 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
     # The head joins the first span; where it is alone, it is that span.
     opens = F.when(F.col("idx") == 1, F.lit(True)).when(lag(F.col("head")), F.lit(False)).otherwise(opens)
     t = t.withColumn("window", F.sum(opens.cast("int")).over(ordered) - 1)
-    t = t.select("conv_id", "idx", "role", "body", "text_len", "tokens", "head", "start", "window")
-
-    spans = t.groupBy("conv_id", "window").agg(F.min(F.when(~F.col("head"), F.col("start"))).alias("span_start"))
-    new = t.select("conv_id", "window", F.when(F.col("head"), 0).otherwise(2).alias("part"), "idx", "role", "body", "text_len", "tokens")
-    # History by an equality on the cell of `history` tokens in which a turn starts, then by the exact bounds.
-    old = t.where(~F.col("head")).withColumn("near", F.explode(F.array(F.expr(f"start div {history}"), F.expr(f"start div {history} + 1")))) if history else None
-    out = new
-    if history:
-        later = spans.where("span_start > 0").withColumn("near", F.expr(f"span_start div {history}"))
-        o, s = old.alias("o"), later.alias("s")
-        same = F.col("o.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("o.near") == F.col("s.near"))
-        close = (F.col("o.start") < F.col("s.span_start")) & (F.col("s.span_start") - F.col("o.start") <= history)
-        out = out.unionByName(o.join(s, same & close).select("o.conv_id", "s.window", F.lit(1).alias("part"), "o.idx", "o.role", "o.body", "o.text_len", "o.tokens"))
-    heads = t.where("head").select("conv_id", F.lit(0).alias("part"), "idx", "role", "body", "text_len", "tokens").alias("h")
-    after = spans.where("window > 0").alias("s")
-    out = out.unionByName(heads.join(after, F.col("h.conv_id").eqNullSafe(F.col("s.conv_id"))).select("h.conv_id", "s.window", "h.part", "h.idx", "h.role", "h.body", "h.text_len", "h.tokens"))
+    first = opens & (F.col("window") > 0)
+    t = t.withColumn("first", first).withColumn("turn", F.struct("idx", "role", "body", "text_len", "tokens")).select("conv_id", "head", "start", "window", "first", "turn")
+
+    # A turn goes into its own window and, as history, into those that begin up to `history` tokens after it (every
+    # turn has some, so they are few); the system turn goes with the first turn of each later window. All of it is
+    # known where a conversation lies, so texts are dealt out once and joined with nothing.
+    placed = lambda window, part, turn: F.struct(window.cast("long").alias("window"), F.lit(part).alias("part"), turn.alias("turn"))
+    own = F.array(F.when(F.col("head"), placed(F.col("window"), 0, F.col("turn"))).otherwise(placed(F.col("window"), 2, F.col("turn"))))
+    none = F.slice(own, 1, 0)
+    ahead = conv.orderBy(F.when(~F.col("head"), F.col("start")).asc_nulls_first()).rangeBetween(1, history)
+    later = F.collect_list(F.when(F.col("first"), F.col("window"))).over(ahead) if history else F.array().cast("array<long>")
+    t = t.withColumns({"later": later, "system": F.max(F.when(F.col("head"), F.col("turn"))).over(conv)})
+    repeated = F.when(~F.col("head"), F.transform("later", lambda w: placed(w, 1, F.col("turn")))).otherwise(none)
+    lead = F.when(F.col("first") & F.col("system").isNotNull(), F.array(placed(F.col("window"), 0, F.col("system")))).otherwise(none)
+    out = t.select("conv_id", F.inline(F.concat(own, repeated, lead))).select("conv_id", "window", "part", "turn.*")
 
     # A window holds at most its budget of tokens, and every turn has some, so these arrays are bounded.
     parts = out.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("part", "idx", "role", "body", "text_len", "tokens"))).alias("turns"))
