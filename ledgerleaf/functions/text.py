@@ -108,10 +108,17 @@ def tokens(text: Column) -> Column:
 def ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     """Distinct runs of ``low`` to ``high`` words."""
     words = F.regexp_extract_all(text, F.lit(r"(?U)[\w'’-]+"), F.lit(0))
-    lengths = lambda w: F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: n <= F.size(w))
-    runs = lambda w: F.transform(lengths(w), lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
-    # The words are a variable of a lambda: as an expression they would be extracted anew for every run.
-    return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(words), runs))))
+
+    def longer(w: Column, runs: Column, n: int) -> Column:
+        """Runs of ``n`` words, from those of one word less."""
+        left = F.greatest(F.size(w) - n + 1, F.lit(0))
+        return F.slice(F.zip_with(runs, F.slice(w, n, left), lambda a, b: F.concat(a, F.lit(" "), b)), F.lit(1), left)
+
+    def from_(w: Column, runs: Column, n: int) -> Column:
+        more = [] if n == high else [_named(longer(w, runs, n + 1), lambda r: from_(w, r, n + 1))]
+        return F.concat(*([runs] if n >= low else []), *more)
+
+    return F.array_distinct(_named(words, lambda w: from_(w, w, 1)))
 
 
 # A letter, or a mark or joiner within a word; most are told by the first part of the class, which is the quick one.
