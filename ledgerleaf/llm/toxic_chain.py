@@ -6,6 +6,12 @@ that has not seen it, so later models learn how far earlier ones can be trusted
 The labels mark a text as toxic or not. The categories are toxicity in each of the chosen languages, learnt from the
 label and the language of labelled rows, and toxicity in any language, the last. A score reads the text alone. The
 pull on weights and the threshold are chosen by out-of-fold predictions of the fitted rows, never by held-out ones.
+
+``train`` fits on every labelled row that is not held out. The rows' features lie in the shared folder, in shards; in
+each epoch every shard's task streams through its rows once, from the same weights, and the driver takes the mean of what
+the tasks made of them. All models of the chain (one per category from all rows, one per category and fold) take a step
+together: a batch's out-of-fold probabilities, category by category, are what its later categories see. ``fit_chain`` is
+the same chain on rows in memory, one model after the other.
 """
 
 from __future__ import annotations
@@ -13,18 +19,20 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain as joined
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, with_arrow
+from .common import dropped, small_batches, stored, table, with_arrow
 from .quality_fm import held_out
 
-#: At most this many toxic and twice as many other labelled documents are used to fit, those of the least hashes.
-SAMPLE = 3000
+#: Shards that are fitted side by side at most (a task streams through its shard, however long), and rows to one at least.
+SHARDS, SHARD_ROWS = 16, 1 << 13
 BUCKETS = 1 << 17
 FOLDS, EPOCHS = 3, 8
 #: Rows to a step: a sixteenth of those fitted, between these.
@@ -67,6 +75,11 @@ class Rows:
     def __len__(self) -> int:
         return len(self.sizes)
 
+    @cached_property
+    def of(self) -> np.ndarray:
+        """Which row each index belongs to."""
+        return np.repeat(np.arange(len(self)), self.sizes)
+
     def take(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the picked rows, and which pick each belongs to."""
         n = self.sizes[pick]
@@ -82,9 +95,8 @@ class Linear:
 
     def scores(self, x: Rows, earlier: np.ndarray, pick: np.ndarray | None = None) -> np.ndarray:
         """A probability for each row (or each picked one); ``earlier`` has a row for each of those."""
-        pick = np.arange(len(x)) if pick is None else pick
-        idx, of = x.take(pick)
-        z = self.bias + np.bincount(of, self.w[idx], len(pick)) + earlier @ self.of_earlier
+        idx, of = (x.idx, x.of) if pick is None else x.take(pick)
+        z = self.bias + np.bincount(of, self.w[idx], len(earlier)) + earlier @ self.of_earlier
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -171,39 +183,219 @@ def categories(languages: tuple[str, ...] = LANGUAGES) -> list[str]:
     return [*(f"toxic_{x}" for x in languages), "toxic"]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, languages: tuple[str, ...] = LANGUAGES) -> Chain:
-    """Null labels and labels without a document are left out; of several labels of a document the largest holds, of
+class Together:
+    """Models that take their steps together: model k learns category ``of[k]`` from the rows outside fold
+    ``without[k]`` (-1: from all). A category's probability for a row, as later categories see it, is that of the model
+    which left the row's fold out. Models without rows of both classes stay constants, as in ``fit_linear``."""
+
+    def __init__(self, of: list[int], without: list[int], decay: list[float], chained: bool, n: np.ndarray, toxic: np.ndarray):
+        """``n``: rows by fold; ``toxic``: by fold and category, those that it marks."""
+        self.of, self.without, self.decay, self.chained = np.array(of), np.array(without), np.array(decay, dtype=np.float32), chained
+        taken = self.without != np.arange(len(n))[:, None]
+        rows, marked = (n[:, None] * taken).sum(axis=0), (toxic[:, self.of] * taken).sum(axis=0)
+        self.open = (marked > 0) & (marked < rows)
+        share = (marked + 0.5) / (rows + 1)
+        k, c = len(of), max(of) + 1
+        self.w, self.gw = np.zeros((k, BUCKETS), dtype=np.float32), np.full((k, BUCKETS), 1e-2, dtype=np.float32)
+        # Bias and its squares, weights of earlier probabilities and theirs.
+        self.rest = np.vstack([np.where(self.open, 0.0, np.log(share / (1 - share))), np.full(k, 1e-2), np.zeros((c, k)), np.full((c, k), 1e-2)])
+
+    def thin(self) -> tuple:
+        """What a task needs, weights of used buckets only; of squares three digits are enough."""
+        used = np.flatnonzero((self.gw != np.float32(1e-2)).any(axis=0))
+        return {k: v for k, v in vars(self).items() if k not in ("w", "gw")}, used.astype(np.int32), self.w[:, used], self.gw[:, used].astype(np.float16)
+
+    @classmethod
+    def whole(cls, thin: tuple) -> Together:
+        facts, used, w, gw = thin
+        self = cls.__new__(cls)
+        vars(self).update(facts, rest=facts["rest"].copy())
+        self.w, self.gw = np.zeros((len(w), BUCKETS), dtype=np.float32), np.full((len(w), BUCKETS), 1e-2, dtype=np.float32)
+        self.w[:, used], self.gw[:, used] = w, gw
+        return self
+
+    def predicted(self, idx: np.ndarray, of: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows as ``Rows.take`` gives them a column of probabilities for each model, and one for each category by
+        the models that have not seen the rows."""
+        c = (len(self.rest) - 2) // 2
+        p, unseen = np.empty((len(fold), len(self.of))), np.zeros((len(fold), c))
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        for j in range(c):
+            for k in np.flatnonzero(self.of == j):
+                z = self.rest[0, k] + unseen[:, :j] @ self.rest[2 : 2 + j, k]
+                z[of[starts]] += np.add.reduceat(self.w[k].take(idx), starts) if len(idx) else 0
+                p[:, k] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            for k in np.flatnonzero((self.of == j) & (self.without >= 0)):
+                mine = fold == self.without[k]
+                unseen[mine, j] = p[mine, k]
+        return p, unseen
+
+    def step(self, idx: np.ndarray, of: np.ndarray, y: np.ndarray, fold: np.ndarray, rate: float = 0.3) -> None:
+        """One step of ``fit_linear`` for every model, on rows as ``Rows.take`` gives them."""
+        p, unseen = self.predicted(idx, of, fold)
+        taken = self.without != fold[:, None]
+        g = np.where(taken & self.open, p - y[:, self.of], 0) / np.maximum(taken.sum(axis=0), 1)
+        place = np.zeros(BUCKETS, dtype=np.int64)
+        place[idx] = 1
+        used = np.flatnonzero(place)
+        place[used] = np.arange(len(used))
+        place = place[idx]
+        for f in np.unique(self.without):
+            held = fold[of] != f
+            places, rows = place[held], of[held]
+            for k in np.flatnonzero(self.open & (self.without == f)):
+                dw = np.bincount(places, g[:, k].take(rows), len(used))
+                mine = np.flatnonzero(dw)
+                at, w, gw = used[mine], self.w[k], self.gw[k]
+                old = w.take(at)
+                dw = dw.take(mine).astype(np.float32) + self.decay[k] * old
+                square = gw.take(at) + dw * dw
+                gw[at] = square
+                w[at] = old - np.float32(rate) * dw / np.sqrt(square)
+        c = unseen.shape[1]
+        earlier = (np.arange(c)[:, None] < self.of) & self.chained
+        d = np.vstack([g.sum(axis=0), np.where(earlier, unseen.T @ g, 0)])
+        at, squares = [0, *range(2, 2 + c)], [1, *range(2 + c, 2 + 2 * c)]
+        self.rest[squares] += d * d
+        self.rest[at] -= rate * d / np.sqrt(self.rest[squares])
+
+    def mix(self, made, total: int) -> None:
+        """Take the mean, by rows, of what shards made, a row for each model of a shard; of a bucket's weights, that of
+        the shards which used it."""
+        share, w, gw, rest = np.zeros(self.w.shape, dtype=np.float32), np.zeros_like(self.w), np.zeros_like(self.gw), np.zeros_like(self.rest)
+        for r in made:
+            k, at, part = r["model"], np.frombuffer(r["at"], "<i4"), np.float32(r["n"] / total)
+            share[k, at] += part
+            w[k, at] += part * np.frombuffer(r["w"], "<f4")
+            gw[k, at] += part * np.frombuffer(r["gw"], "<f2").astype(np.float32)
+            rest[:, k] += r["n"] / total * np.frombuffer(r["rest"], "<f8")
+        for k in range(len(w)):
+            at = np.flatnonzero(share[k])
+            self.w[k, at], self.gw[k, at] = w[k, at] / share[k, at], gw[k, at] / share[k, at]
+        self.rest = rest
+
+
+def _read(batch: pa.RecordBatch, names: list[str]) -> tuple[Rows, np.ndarray, np.ndarray]:
+    """Features, marks and folds of a batch of stored rows."""
+    x = Rows([np.frombuffer(i, "<i4") for i in batch.column("idx").to_pylist()])
+    return x, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names]).astype(float), batch.column("fold").to_numpy()
+
+
+def fit_together(models: Together, rows: DataFrame, names: list[str], n: int, epochs: int = EPOCHS) -> Together:
+    """``models`` after ``epochs`` passes over all ``rows`` (fold, idx, a boolean for each name); ``n`` is their number."""
+    size, context = int(np.clip(n // 16, *BATCH)), rows.sparkSession.sparkContext
+    shards = rows.coalesce(int(np.clip(-(-n // SHARD_ROWS), 1, SHARDS)))
+    for epoch in range(epochs if n else 0):
+        shared = context.broadcast(models.thin())
+
+        def run(batches, shared=shared, epoch=epoch):
+            own, rng = Together.whole(shared.value), np.random.default_rng([SEED, epoch, TaskContext.get().partitionId()])
+            met, used = 0, np.zeros(BUCKETS, dtype=bool)
+            for b in batches:
+                x, y, fold = _read(b, names)
+                order = rng.permutation(len(x))
+                for at in range(0, len(order), size):
+                    some = order[at : at + size]
+                    own.step(*x.take(some), y[some], fold[some])
+                met += len(x)
+                used[x.idx] = True
+            at = np.flatnonzero(used)
+            for k in range(len(own.w)) if met else ():
+                yield pa.RecordBatch.from_pylist([{"model": k, "n": met, "at": at.astype("<i4").tobytes(), "w": own.w[k, at].tobytes(), "gw": own.gw[k, at].astype("<f2").tobytes(), "rest": own.rest[:, k].tobytes()}])
+
+        # Up to 1.3 MB for a model of a shard, whatever its rows: the driver takes one part of them after the other.
+        made = stored(shards.mapInArrow(run, "model long, n long, at binary, w binary, gw binary, rest binary"), "toxic-models")
+        models.mix(made.toLocalIterator(), n)
+        shared.destroy()
+        dropped(made)
+    return models
+
+
+def unseen_rows(models: Together, rows: DataFrame, names: list[str]) -> DataFrame:
+    """toxic, p: each row's mark and its probabilities, one for each category, by the models that left its fold out.
+    The table is stored."""
+    shared = rows.sparkSession.sparkContext.broadcast(models.thin())
+
+    def run(batches):
+        own = Together.whole(shared.value)
+        for b in batches:
+            x, _, fold = _read(b, names)
+            for at in range(0, len(x), BATCH[1]):
+                some = np.arange(at, min(at + BATCH[1], len(x)))
+                p = own.predicted(*x.take(some), fold[some])[1]
+                yield pa.RecordBatch.from_arrays([b.column("toxic").slice(at, len(some)), pa.array(list(p), pa.list_(pa.float64()))], names=["toxic", "p"])
+
+    out = stored(rows.mapInArrow(run, "toxic boolean, p array<double>"), "toxic-unseen")
+    shared.destroy()
+    return out
+
+
+def lowest_threshold_of(rows: DataFrame, wrong: float) -> float:
+    """``lowest_threshold`` of a table of any size (p, toxic); of it only the place of the threshold comes back."""
+    clean = rows.where("not toxic")
+    n, marked = rows.agg(F.count_if(~F.col("toxic")), F.count_if("toxic")).first()
+    if not n or not marked:
+        return 0.5
+    cut = clean.orderBy(F.desc("p")).offset(int(wrong * n)).limit(1).first()["p"]
+    above = rows.where(F.col("p") > cut).agg(F.min("p")).first()[0]
+    return float(np.nextafter(cut, 2)) if above is None else float((cut + above) / 2)
+
+
+def train(docs: DataFrame, labels: DataFrame, languages: tuple[str, ...] = LANGUAGES, decays: tuple[float, ...] = DECAYS, wrong: float = WRONG) -> Chain:
+    """The chain fitted on all labelled rows that are not held out, and its threshold from all of them.
+
+    Null labels and labels without a document are left out; of several labels of a document the largest holds, of
     several rows of a document the one of the least text. Without a column lang only the last category has toxic rows.
     """
     small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = (F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")
-    chosen = known.where("toxic > 0").orderBy(*order).limit(sample).unionByName(known.where("toxic <= 0").orderBy(*order).limit(2 * sample))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-
-    def run(batches):
-        for b in batches:
-            b["idx"] = [features(t).astype("<i4").tobytes() for t in b["text"]]
-            yield b.drop(columns="text")
-
-    # `chosen` has at most three times `sample` rows of two numbers; as many rows of features come back.
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text"), lang.alias("lang")).join(known, "doc_id")
     some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text", "lang")).alias("row"))
-    marks = [F.coalesce((F.col("toxic") > 0) & (F.col("row.lang") == x), F.lit(False)).alias(f"toxic_{x}") for x in languages]
-    some = some.select("doc_id", F.col("row.text").alias("text"), *marks, (F.col("toxic") > 0).alias("toxic"))
     names = categories(languages)
-    rows = some.mapInPandas(run, "doc_id long, " + ", ".join(f"{c} boolean" for c in names) + ", idx binary").toPandas().sort_values(["doc_id"], kind="stable")
-    return fit_chain([np.frombuffer(i, "<i4").astype(np.int64) for i in rows["idx"]], rows[names].to_numpy(dtype=bool).reshape(-1, len(names)))
-
+    marks = [F.coalesce((F.col("toxic") > 0) & (F.col("row.lang") == x), F.lit(False)).alias(f"toxic_{x}") for x in languages]
+    place = F.xxhash64(F.lit(SEED), "doc_id")
+    some = some.select(place.alias("place"), F.pmod(place, F.lit(FOLDS)).cast("int").alias("fold"), F.col("row.text").alias("text"), *marks, (F.col("toxic") > 0).alias("toxic"))
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None, sample: int = SAMPLE, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            idx = pa.array([features(t).astype("<i4").tobytes() for t in b.column("text").to_pylist()], pa.binary())
+            yield with_arrow(b.drop_columns(["text"]), idx=idx)
+
+    rows = some.mapInArrow(run, "place long, fold int, " + ", ".join(f"{c} boolean" for c in names) + ", idx binary")
+    rows = stored(rows.sortWithinPartitions("place"), "toxic-rows")
+    n, toxic = np.zeros(FOLDS), np.zeros((FOLDS, len(names)))
+    for r in rows.groupBy("fold").agg(F.count(F.lit(1)), *(F.count_if(c) for c in names)).collect():
+        n[r[0]], toxic[r[0]] = r[1], r[2:]
+    total = int(n.sum())
+
+    decay = decays[0]
+    if len(decays) > 1 and total:
+        # The last category alone, once for each pull.
+        pairs, last = [(d, f) for d in range(len(decays)) for f in range(FOLDS)], [names[-1]] * len(decays)
+        tried = Together([d for d, _ in pairs], [f for _, f in pairs], [decays[d] for d, _ in pairs], False, n, np.tile(toxic[:, -1:], len(decays)))
+        told = unseen_rows(fit_together(tried, rows, last, total), rows, last)
+        sure = [F.greatest(F.least(F.col("p")[d], F.lit(1 - 1e-9)), F.lit(1e-9)) for d in range(len(decays))]
+        loss = told.agg(*(F.sum(-F.log(F.when(F.col("toxic"), p).otherwise(1 - p))) for p in sure)).first()
+        decay = decays[int(np.argmin(loss))]
+        dropped(told)
+    pairs = [(c, f) for c in range(len(names)) for f in (-1, *range(FOLDS))]
+    models = fit_together(Together([c for c, _ in pairs], [f for _, f in pairs], [decay] * len(pairs), True, n, toxic), rows, names, total)
+    told = unseen_rows(models, rows, names)
+    threshold = lowest_threshold_of(told.select("toxic", F.col("p")[len(names) - 1].alias("p")), wrong)
+    dropped(rows, told)
+    whole = [pairs.index((c, -1)) for c in range(len(names))]
+    return Chain([Linear(float(models.rest[0, k]), models.w[k].astype(float), models.rest[2 : 2 + c, k]) for c, k in enumerate(whole)], threshold)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """doc_id, held_out, p_<category> for each category, toxic (1 where the last reaches the threshold).
 
     One row per row of ``docs``; whole texts count, null texts as empty. Equal texts get equal probabilities. Without
     usable labels of both classes the probability is their smoothed share. Empty table: no rows. The threshold is the
     fitted one unless given.
     """
-    made = train(docs, labels, sample, languages)
+    made = train(docs, labels, languages)
     threshold = made.threshold if threshold is None else threshold
     shared = docs.sparkSession.sparkContext.broadcast([(m.bias, m.w.astype("f4"), m.of_earlier) for m in made.models])  # of fixed size
     names = [f"p_{c}" for c in categories(languages)]

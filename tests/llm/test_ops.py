@@ -431,6 +431,56 @@ def test_earlier_probabilities_are_out_of_fold(monkeypatch):
     assert np.allclose(last, toxic_chain.out_of_fold(rows, none, y.astype(float), fold, 1e-3))
 
 
+def test_chain_is_fitted_on_all_labelled_rows(spark):
+    """10,000 labelled documents: what tells the 30 toxic ones of the greatest hashes is learnt as well as the rest."""
+    ids = [i for i in range(14_000) if zlib.crc32(str(i).encode()) % 4 != 2][:10_000]
+    place = {r.doc_id: r.place for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", F.xxhash64(F.lit(toxic_chain.SEED), "doc_id").alias("place")).collect()}
+    ids.sort(key=place.get)
+    bad = {i: ("vile" if k < 3200 else "rotten") for k, i in enumerate(ids[:3200] + ids[-30:])}
+    docs = documents(spark, [f"plain words {i % 7} " + bad.get(i, "kind") for i in ids], ids)
+    got = toxic_chain.toxicity(docs, spark.createDataFrame([(i, 1, int(i in bad)) for i in ids], LABEL)).toPandas().set_index("doc_id").toxic
+    assert all(got[i] == 1 for i in bad) and got.sum() == len(bad)
+
+
+def test_models_together_are_the_chain_by_hand():
+    """One batch: the step of each model, on its own rows and the out-of-fold probabilities, by the formulas."""
+    rng = np.random.default_rng(8)
+    x = toxic_chain.Rows([np.unique(rng.integers(0, 40, 6)) if i else np.zeros(0, dtype=np.int64) for i in range(60)])
+    y, fold = (rng.random((60, 2)) < 0.4).astype(float), np.arange(60) % 3
+    n, marked = np.bincount(fold), np.array([y[fold == f].sum(axis=0) for f in range(3)])
+    pairs = [(c, f) for c in range(2) for f in (-1, 0, 1, 2)]
+    made = toxic_chain.Together([c for c, _ in pairs], [f for _, f in pairs], [1e-3] * 8, True, n, marked)
+    made.step(*x.take(np.arange(60)), y, fold)
+    again = toxic_chain.Together.whole(made.thin())
+    assert (again.w == made.w).all() and np.allclose(again.gw, made.gw, rtol=1e-3) and (again.rest == made.rest).all()
+    full = np.zeros((60, 40))
+    for i in range(60):
+        full[i, x.take(np.array([i]))[0]] = 1
+    for k, (c, f) in enumerate(pairs):
+        mine = fold != f
+        g = (0.5 - y[mine, c]) / mine.sum()  # all weights begin at zero
+        d = full[mine].T @ g
+        assert np.allclose(made.w[k, :40], -0.3 * d / np.sqrt(1e-2 + d * d), atol=1e-5)
+        assert np.isclose(made.rest[0, k], -0.3 * g.sum() / np.sqrt(1e-2 + g.sum() ** 2))
+        assert (made.rest[2, k] != 0) == (c == 1) and made.rest[3, k] == 0
+    p, unseen = made.predicted(*x.take(np.arange(60)), fold)
+    for f in range(3):  # of a row's fold the model without it speaks
+        assert np.allclose(unseen[fold == f], p[fold == f][:, [pairs.index((0, f)), pairs.index((1, f))]])
+    before, rest = made.w[:, 3].copy(), made.rest.copy()
+    parts = [(45, [1, 2], [1, 2]), (15, [2], [6])]
+    made.mix([{"model": k, "n": m, "at": np.array(at, "<i4").tobytes(), "w": np.array(w, "<f4").tobytes(), "gw": np.ones(len(at), "<f2").tobytes(), "rest": rest[:, k].tobytes()} for m, at, w in parts for k in range(8)], 60)
+    assert np.allclose(made.w[:, 1], 1) and np.allclose(made.w[:, 2], 3) and (made.w[:, 3] == before).all() and np.allclose(made.rest, rest)
+
+
+def test_lowest_threshold_of_a_table(spark):
+    rng = np.random.default_rng(6)
+    for n, share in ((1, 0.5), (7, 0.5), (200, 0.1), (200, 0.0), (50, 1.0)):
+        p, y = rng.integers(0, 60, n) / 60, (rng.random(n) < share).astype(int)
+        rows = spark.createDataFrame([(float(a), bool(b)) for a, b in zip(p, y)], "p double, toxic boolean")
+        for wrong in (0.0, 0.02, 0.3):
+            assert toxic_chain.lowest_threshold_of(rows, wrong) == toxic_chain.lowest_threshold(p, y, wrong)
+
+
 def test_lowest_threshold():
     p, y = np.array([0.9, 0.8, 0.4, 0.3, 0.2, 0.1]), np.array([1, 1, 0, 1, 0, 0])
     assert 0.4 < toxic_chain.lowest_threshold(p, y, 0.0) < 0.8 and 0.2 < toxic_chain.lowest_threshold(p, y, 0.34) <= 0.3
