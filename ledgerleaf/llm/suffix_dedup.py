@@ -20,6 +20,7 @@ in a document with a smaller id.
 from __future__ import annotations
 
 import hashlib
+import time
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bayes_minhash import starts_of, stream_groups
-from .common import dropped, freed, small_batches, stored, table
+from .common import freed, removed, small_batches, stored, table
 
 LENGTH = 50
 ANCHOR, ROUTER = 24, 12
@@ -120,6 +121,15 @@ def _as_bytes(text) -> bytes:
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 
+def let_go(*tables: DataFrame) -> None:
+    """Remove tables out of use and free shuffles. Garbage collected right after a job was seen to leave that job's
+    shuffle on disk through the next step; so this waits and collects twice."""
+    removed(*tables)
+    for _ in range(2):
+        time.sleep(0.5)
+        freed(tables[0].sparkSession)
+
+
 def dealt(rows: DataFrame, size: int, key: str) -> DataFrame:
     """Rows dealt out by ``key``: over the session's number of partitions, or more where so many bytes need them."""
     tasks = -(-size // TASK_BYTES)
@@ -183,13 +193,12 @@ def integers(part: bytes) -> np.ndarray:
     return np.frombuffer(part, dtype="<i8")
 
 
-FRAGMENTS = "kind int, batch long, shard long, row long, text string, bytes long, blob binary"
+FRAGMENTS = "kind int, batch long, shard long, row long, bytes long, blob binary"
 
 
 def fragments(texts: DataFrame, flags: DataFrame, copies: DataFrame, buckets: int, shards: int, length: int, size: int) -> DataFrame:
-    """Rows of three kinds. 0: a document with windows that can repeat (row, text). 1: a batch's different fragments
-    for a shard: numbers, sizes, least and greatest documents, bytes. 2: where a batch's documents have them: numbers,
-    rows, documents, places."""
+    """Rows of two kinds, without texts. 1: a batch's different fragments for a shard: numbers, sizes, least and greatest
+    documents, bytes. 2: where a batch's documents have them: numbers, rows, documents, places."""
     none = lambda kind: F.lit(None).cast(kind)
     asked = flags.select("batch", F.lit(0).alias("side"), F.col("piece").alias("row"), none("long").alias("doc"), none("string").alias("text"), "bucket", "flags")
     lesser = copies.select("batch", F.lit(1).alias("side"), "row", none("long").alias("doc"), none("string").alias("text"), none("long").alias("bucket"), none("binary").alias("flags"))
@@ -223,8 +232,6 @@ def fragments(texts: DataFrame, flags: DataFrame, copies: DataFrame, buckets: in
         np.maximum.at(last, which, ids[docs])
         shard = np.empty(len(pieces), dtype=np.int64)
         shard[which] = (route[starts] >> np.uint64(20)) % np.uint64(shards)
-        held = np.unique(docs)
-        yield pd.DataFrame({"kind": 0, "batch": batch, "row": rows[held], "text": part["text"].to_numpy(dtype=object)[held]})
         made = []
         by = np.argsort(shard, kind="stable")
         for group in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
@@ -246,12 +253,7 @@ def fragments(texts: DataFrame, flags: DataFrame, copies: DataFrame, buckets: in
                 for k, piece in enumerate(pieces):
                     part = docs[which == k + 1]
                     for made in cut(int(frame["batch"].iloc[s]), part, known[known["row"] == piece], lesser) if len(part) else ():
-                        made = made.reindex(columns=columns)
-                        for c in ("shard", "row", "bytes"):
-                            made[c] = made[c].astype("Int64")
-                        for c in ("text", "blob"):
-                            made[c] = made[c].astype(object).where(made[c].notna(), None)
-                        yield made
+                        yield made[columns]
 
     both = dealt(asked.unionByName(lesser).unionByName(told), size, "batch").sortWithinPartitions("batch", "side", "row")
     return stored(both.mapInPandas(run, FRAGMENTS), "fragments")
@@ -379,8 +381,8 @@ def boundaries(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarra
     return found[:n]
 
 
-def repeats(sent: DataFrame, large_bytes: int, length: int) -> DataFrame:
-    """batch, piece, blob (numbers, places, counts, least documents): windows at .. at + n - 1 of a batch's fragment
+def repeats(sent: DataFrame, large_bytes: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """The shards' parts, and batch, piece, blob (numbers, places, counts, least documents): windows at .. at + n - 1 of a batch's fragment
     also start in document ``least``, which is less than some document of the batch that has the fragment.
 
     ``sent``: batch, row, shard, bytes, blob. Shards with more than ``large_bytes`` of fragments are dealt out by
@@ -388,7 +390,8 @@ def repeats(sent: DataFrame, large_bytes: int, length: int) -> DataFrame:
     """
     sizes = sent.groupBy("shard").agg(F.sum("bytes").alias("total"))
     parts = F.when(F.col("total") > large_bytes, F.ceil(F.col("total") * length / 8 / large_bytes)).otherwise(1)
-    dealt = sent.join(stored(sizes.select("shard", parts.cast("long").alias("parts")), "shard-sizes"), "shard")
+    sizes = stored(sizes.select("shard", parts.cast("long").alias("parts")), "shard-sizes")
+    dealt = sent.join(sizes, "shard")
 
     def deal(batches):
         """Rows of shards that are whole as they are; those of large ones as windows, one row for each part."""
@@ -465,7 +468,7 @@ def repeats(sent: DataFrame, large_bytes: int, length: int) -> DataFrame:
         return pd.DataFrame(out, columns=["batch", "row", "blob"])
 
     rows = dealt.select("batch", "row", "shard", "parts", "blob").mapInPandas(deal, "batch long, row long, shard long, part long, base binary, blob binary")
-    return stored(rows.groupBy("shard", "part").applyInPandas(run, "batch long, row long, blob binary"), "repeats")
+    return sizes, stored(rows.groupBy("shard", "part").applyInPandas(run, "batch long, row long, blob binary"), "repeats")
 
 
 def cut_out(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, list[tuple[int, int]], str]:
@@ -486,10 +489,11 @@ def cut_out(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, lis
 SPANS = "array<struct<start:long,end:long>>"
 
 
-def marked(made: DataFrame, found: DataFrame, length: int, with_spans: bool, size: int) -> DataFrame:
+def marked(texts: DataFrame, made: DataFrame, found: DataFrame, length: int, with_spans: bool, size: int) -> DataFrame:
     """row, n_removed, n_spans, kept_sha256, spans of the documents that lose bytes; batch by batch."""
-    given = made.where("kind <> 1").select("batch", F.when(F.col("kind") == 0, 2).otherwise(0).alias("side"), "row", "text", "blob")
+    places = made.where("kind = 2").select("batch", F.lit(0).alias("side"), "row", F.lit(None).cast("string").alias("text"), "blob")
     told = found.select("batch", F.lit(1).alias("side"), "row", F.lit(None).cast("string").alias("text"), "blob")
+    long = texts.where(F.octet_length("text") >= length).select("batch", F.lit(2).alias("side"), "row", "text", F.lit(None).cast("binary").alias("blob"))
 
     def run(batches):
         for frame, _ in stream_groups(batches, ["batch"]):
@@ -521,7 +525,7 @@ def marked(made: DataFrame, found: DataFrame, length: int, with_spans: bool, siz
                 if out:
                     yield pd.DataFrame(out, columns=["row", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    both = dealt(given.unionByName(told), size, "batch").sortWithinPartitions("batch")
+    both = dealt(places.unionByName(told).unionByName(long), size, "batch").sortWithinPartitions("batch")
     return stored(both.mapInPandas(run, f"row long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS}"), "marked")
 
 
@@ -544,12 +548,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = int(facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
     buckets, shards = max(16, -(-total // bucket_bytes)), max(16, -(-total // shard_bytes))
     flags = stored(counted_anchors(texts, buckets, length), "flags")
-    freed(docs.sparkSession)
+    let_go(copies)
     made = fragments(texts.select("batch", "row", "doc", "text"), flags, facts.where("not first").select("batch", "row"), buckets, shards, length, total)
-    dropped(texts, flags, copies)
-    found = repeats(made.where("kind = 1").select("batch", "row", "shard", "bytes", "blob"), large_bytes, length)
-    some = marked(made, found, length, with_spans, total)
-    dropped(made, found)
+    let_go(flags)
+    sizes, found = repeats(made.where("kind = 1").select("batch", "row", "shard", "bytes", "blob"), large_bytes, length)
+    let_go(sizes)
+    some = marked(texts, made, found, length, with_spans, total)
+    let_go(texts, made, found)
 
     whole = ~F.col("first") & (F.col("n_bytes") >= length)
     all_ = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))).otherwise(F.coalesce("spans", F.lit([]).cast(SPANS)))

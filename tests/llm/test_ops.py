@@ -431,6 +431,20 @@ def test_earlier_probabilities_are_out_of_fold(monkeypatch):
     assert np.allclose(last, toxic_chain.out_of_fold(rows, none, y.astype(float), fold, 1e-3))
 
 
+def test_repeats_keep_texts_once(spark, monkeypatch):
+    """On disk texts lie in one table only, and what a step dealt out goes before the next step deals out its own."""
+    kept, real, freed = [], suffix_dedup.stored, suffix_dedup.freed
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: kept.append((name, "text" in df.columns)) or real(df, name))
+    monkeypatch.setattr(suffix_dedup, "freed", lambda spark: kept.append(("freed", False)) or freed(spark))
+    passage = "a passage of more than fifty bytes that two of the documents have"
+    got = suffix_dedup.remove_repeats(documents(spark, ["x" + passage, passage + "y", "z" * 60, "short"])).toPandas().set_index("doc_id")
+    assert got.n_removed.tolist() == [0, len(passage), 0, 0]
+    assert [name for name, text in kept if text] == ["texts"]
+    names = [name for name, _ in kept]
+    for a, b in (("flags", "fragments"), ("fragments", "repeats"), ("repeats", "marked")):
+        assert "freed" in names[names.index(a) : names.index(b)]
+
+
 def test_chain_is_fitted_on_all_labelled_rows(spark):
     """10,000 labelled documents: what tells the 30 toxic ones of the greatest hashes is learnt as well as the rest."""
     ids = [i for i in range(14_000) if zlib.crc32(str(i).encode()) % 4 != 2][:10_000]
