@@ -37,6 +37,9 @@ ANCHOR, ROUTER = 24, 12
 BATCH_BITS, PIECE_BYTES = 10, 4 << 20
 #: Text bytes to a bucket of anchors and to a shard on average; fragment bytes of a shard beyond which it is dealt out.
 BUCKET_BYTES, SHARD_BYTES, LARGE_BYTES = 32 << 20, 4 << 20, 24 << 20
+#: Bytes whose windows lie in memory side by side, and those of a shard's different fragments that are sorted together:
+#: a worker keeps what it once took, and two of them share an executor with the JVM.
+STRETCH_BYTES, LOT_BYTES = 1 << 18, 1 << 20
 #: Text bytes to a task where batches are dealt out.
 TASK_BYTES = 64 << 20
 LAST = (1 << 63) - 1
@@ -84,37 +87,67 @@ class Hashes:
 
 
 class Batch:
-    """Documents laid end to end, and their windows: where each starts, its document, its anchor."""
+    """Documents laid end to end. Their windows are hashed a stretch at a time; what is kept of them are runs."""
 
     def __init__(self, texts: list[bytes], length: int):
         self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        ends = np.cumsum(self.sizes)
-        self.begins = ends - self.sizes
-        doc = np.repeat(np.arange(len(texts)), self.sizes)
-        self.at = np.flatnonzero(np.arange(len(self.data)) + length <= ends[doc]) if len(self.data) else np.zeros(0, dtype=np.int64)
-        self.doc = doc[self.at]
+        self.ends = np.cumsum(self.sizes)
+        self.begins = self.ends - self.sizes
         self.length = length
 
-        self.hashes = Hashes(self.data) if len(self.at) else None
-
-    def least(self, size: int) -> np.ndarray:
-        return self.hashes.least(size, self.length)[self.at] if self.hashes else np.zeros(0, dtype=np.uint64)
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The batch's distinct anchors, sorted; whether two of its documents have it; the index of each window's."""
-        a = self.least(ANCHOR)
-        if not len(a):
-            return a, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
-        new = np.ones(len(a), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (self.doc[1:] != self.doc[:-1])
-        run = np.cumsum(new) - 1
-        values, docs = a[new], self.doc[new]
-        names, index = np.unique(values, return_inverse=True)
+    def stretches(self, size: int):
+        """Where windows start, their documents, and the least hash of a string of ``size`` bytes in each."""
+        for s in range(0, len(self.data) - self.length + 1, STRETCH_BYTES):
+            data = self.data[s : s + STRETCH_BYTES + self.length - 1]
+            n = len(data) - self.length + 1
+            lo, hi = np.searchsorted(self.ends, [s, s + n - 1], side="right")
+            here = slice(lo, hi + 1)
+            doc = np.repeat(np.arange(lo, hi + 1), np.minimum(self.ends[here], s + n) - np.maximum(self.begins[here], s))
+            at = np.flatnonzero(np.arange(s, s + n) + self.length <= self.ends[doc])
+            yield at + s, doc[at], Hashes(data).least(size, self.length)[at] if len(at) else np.zeros(0, dtype=np.uint64)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The batch's distinct anchors, sorted; whether two of its documents have it. Of each run of windows with one
+        anchor the index of that and the document; for each stretch the numbers of windows of its runs."""
+        values, docs, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], []
+        for at, doc, a in self.stretches(ANCHOR):
+            new = np.flatnonzero(_turns(a, doc))
+            values.append(a[new])
+            docs.append(doc[new])
+            counts.append(np.diff(np.append(new, len(at))))
+        names, index = np.unique(np.concatenate(values), return_inverse=True)
+        docs = np.concatenate(docs)
         first, last = np.full(len(names), 1 << 60), np.full(len(names), -1)
         np.minimum.at(first, index, docs)
         np.maximum.at(last, index, docs)
-        return names, first != last, index[run]
+        return names, first != last, index, docs, counts
+
+    def routed(self, open_: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last window, document and router of each run of windows with one router, of those in ``open_`` runs
+        (as ``anchors`` gives them)."""
+        found, done = [], 0
+        for (at, doc, route), n in zip(self.stretches(ROUTER), counts, strict=True):
+            some = np.flatnonzero(np.repeat(open_[done : done + len(n)], n))
+            done += len(n)
+            at, doc, route = at[some], doc[some], route[some]
+            new = np.flatnonzero(_turns(route, doc, at - np.arange(len(at))))
+            found.append((at[new], at[np.append(new[1:], len(at))[: len(new)] - 1], doc[new], route[new]))
+        first, last, doc, route = map(np.concatenate, zip(*found, strict=True))
+        # A run may go on in the next stretch.
+        new = np.ones(len(first), dtype=bool)
+        new[1:] = (first[1:] != last[:-1] + 1) | (doc[1:] != doc[:-1]) | (route[1:] != route[:-1])
+        new = np.flatnonzero(new)
+        return first[new], last[np.append(new[1:], len(first))[: len(new)] - 1], doc[new], route[new]
+
+
+def _turns(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
 
 def _as_bytes(text) -> bytes:
@@ -148,7 +181,7 @@ def counted_anchors(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                 texts = [_as_bytes(t) for t in frame["text"].iloc[s:e]]
                 cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // PIECE_BYTES)) + 1
                 for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
-                    names, multi, _ = Batch(texts[i:j], length).anchors()
+                    names, multi, *_ = Batch(texts[i:j], length).anchors()
                     bucket = bucket_of(names, buckets)
                     keys = ((names & np.uint64((1 << 39) - 1)) << np.uint64(1)) | multi.astype(np.uint64)
                     keys = keys.view(np.uint8).reshape(-1, 8)[:, :5]
@@ -207,7 +240,7 @@ def fragments(texts: DataFrame, flags: DataFrame, copies: DataFrame, buckets: in
 
     def cut(batch: int, part: pd.DataFrame, known: pd.DataFrame, lesser: np.ndarray):
         b = Batch([_as_bytes(t) for t in part["text"]], length)
-        names, _, index = b.anchors()
+        names, _, index, docs, counts = b.anchors()
         if not len(names):
             return
         shared, bucket = np.zeros(len(names), dtype=bool), bucket_of(names, buckets)
@@ -215,30 +248,24 @@ def fragments(texts: DataFrame, flags: DataFrame, copies: DataFrame, buckets: in
             shared[bucket == int(k)] = np.frombuffer(f, dtype=np.uint8) > 0
         rows, ids = part["row"].to_numpy(np.int64), part["doc"].to_numpy(np.int64)
         # Only the least copy of a text lends fragments.
-        open_ = shared[index] & ~np.isin(rows, lesser)[b.doc]
-        at, doc = b.at[open_], b.doc[open_]
-        if not len(at):
+        starts, last, docs, route = b.routed(shared[index] & ~np.isin(rows, lesser)[docs], counts)
+        if not len(starts):
             return
-        route = b.least(ROUTER)[open_]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (route[1:] != route[:-1])
-        starts = np.flatnonzero(new)
-        ends = at[np.append(starts[1:], len(at)) - 1] + length
         data, number = b.data.tobytes(), {}
-        which = np.array([number.setdefault(data[s:e], len(number)) for s, e in zip(at[starts].tolist(), ends.tolist(), strict=True)])
-        docs, pieces = doc[starts], list(number)
+        which = np.array([number.setdefault(data[s:e], len(number)) for s, e in zip(starts.tolist(), (last + length).tolist(), strict=True)])
+        pieces = list(number)
         least, last = np.full(len(pieces), LAST), np.full(len(pieces), -LAST)
         np.minimum.at(least, which, ids[docs])
         np.maximum.at(last, which, ids[docs])
         shard = np.empty(len(pieces), dtype=np.int64)
-        shard[which] = (route[starts] >> np.uint64(20)) % np.uint64(shards)
+        shard[which] = (route >> np.uint64(20)) % np.uint64(shards)
         made = []
         by = np.argsort(shard, kind="stable")
         for group in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
             mine = [pieces[i] for i in group.tolist()]
             sizes = np.array([len(p) for p in mine], dtype="<i8")
             made.append((1, batch, int(shard[group[0]]), int(rows[0]), int(sizes.sum()), packed(group.astype("<i8"), sizes, least[group], last[group], b"".join(mine))))
-        made.append((2, batch, -1, int(rows[0]), 0, packed(which.astype("<i8"), rows[docs], ids[docs], (at[starts] - b.begins[docs]).astype("<i8"))))
+        made.append((2, batch, -1, int(rows[0]), 0, packed(which.astype("<i8"), rows[docs], ids[docs], (starts - b.begins[docs]).astype("<i8"))))
         yield pd.DataFrame(made, columns=["kind", "batch", "shard", "row", "bytes", "blob"])
 
     def run(batches):
@@ -294,6 +321,47 @@ def can_repeat(pieces: list[bytes], alone: np.ndarray, length: int) -> np.ndarra
     return out
 
 
+def lots(pieces: list[bytes], length: int) -> list[np.ndarray]:
+    """The pieces in lots of about LOT_BYTES. Equal windows have equal routers, and a piece has one, that of its first
+    window; so they lie in one lot. Pieces that are single windows are told apart by their own hashes."""
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+    n = -(-int(sizes.sum()) // LOT_BYTES)
+    if n < 2:
+        return [np.arange(len(pieces))]
+    size, lot = ROUTER if sizes.max() > length else length, np.empty(len(pieces), dtype=np.int64)
+    step = STRETCH_BYTES // length
+    for i in range(0, len(pieces), step):
+        some = np.frombuffer(b"".join(p[:length] for p in pieces[i : i + step]), dtype=np.uint8)
+        lot[i : i + step] = (Hashes(some).least(size, length)[::length] >> np.uint64(44)) % np.uint64(n)
+    by = np.argsort(lot, kind="stable")
+    return np.split(by, np.flatnonzero(np.diff(lot[by])) + 1)
+
+
+def least_runs(pieces: list[bytes], first: np.ndarray, final: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """piece, at, n, least, by piece and place: the windows at .. at + n - 1 of a piece start in document ``least`` first.
+
+    ``first``, ``final``: the least and greatest documents of each piece, which is there once. Pieces that no other place
+    can repeat need no sorting; nothing of them is found.
+    """
+    some = np.flatnonzero(can_repeat(pieces, first == final, length))
+    if not len(some):
+        return (np.zeros(0, dtype=np.int64),) * 4
+    group, piece, at = common_windows([pieces[i] for i in some.tolist()], length)
+    starts = np.flatnonzero(np.append(True, np.diff(group) != 0))
+    window = np.repeat(np.minimum.reduceat(first[some[piece]], starts), np.diff(np.append(starts, len(group))))
+    # Back to the order of the text, by place; the separators keep pieces apart.
+    sizes = np.array([len(pieces[i]) for i in some.tolist()], dtype=np.int64)
+    begins = np.cumsum(sizes + 1) - sizes
+    spot, room = begins[piece] + at, int(sizes.sum()) + len(sizes) + 1
+    there, value, owner = np.zeros(room, dtype=bool), np.empty(room, dtype=np.int64), np.empty(room, dtype=np.int32)
+    there[spot], value[spot], owner[spot] = True, window, piece
+    spot = np.flatnonzero(there)
+    value = value[spot]
+    begin = np.flatnonzero(_turns(value, spot - np.arange(len(spot))))
+    piece = owner[spot[begin]]
+    return some[piece], spot[begin] - begins[piece], np.diff(np.append(begin, len(spot))), value[begin]
+
+
 def prefix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Rotations of the text sorted by at least their first ``depth`` symbols, by prefix doubling."""
     n = len(symbols)
@@ -431,28 +499,14 @@ def repeats(sent: DataFrame, large_bytes: int, length: int) -> tuple[DataFrame,
         first, final = np.full(len(names), LAST), np.full(len(names), -LAST - 1)
         np.minimum.at(first, name, least)
         np.maximum.at(final, name, last)
-        # Fragments that no other place can repeat need no sorting; nothing of them is found.
         pieces = list(names)
-        some = np.flatnonzero(can_repeat(pieces, first == final, length))
-        if not len(some):
-            return pd.DataFrame({"batch": pd.Series(dtype="int64"), "row": pd.Series(dtype="int64"), "blob": pd.Series(dtype=object)})
-        group, piece, at = common_windows([pieces[i] for i in some.tolist()], length)
-        piece = some[piece]
-        starts = np.flatnonzero(np.append(True, np.diff(group) != 0))
-        window = np.repeat(np.minimum.reduceat(first[piece], starts), np.diff(np.append(starts, len(group))))
-        # Back to the order of the text, by place; the separators keep pieces apart.
-        sizes = np.array([len(x) for x in names], dtype=np.int64)
-        begins = np.cumsum(sizes + 1) - sizes
-        spot = begins[piece] + at
-        there, value, owner = np.zeros(sizes.sum() + len(sizes) + 1, dtype=bool), np.empty(sizes.sum() + len(sizes) + 1, dtype=np.int64), np.empty(sizes.sum() + len(sizes) + 1, dtype=np.int32)
-        there[spot], value[spot], owner[spot] = True, window, piece
-        spot = np.flatnonzero(there)
-        value = value[spot]
-        new = np.ones(len(spot), dtype=bool)
-        new[1:] = (spot[1:] != spot[:-1] + 1) | (value[1:] != value[:-1])
-        begin = np.flatnonzero(new)
-        n, window, piece = np.diff(np.append(begin, len(spot))), value[begin], owner[spot[begin]]
-        at = spot[begin] - begins[piece]
+        runs = []
+        for lot in lots(pieces, length):
+            piece, *rest = least_runs([pieces[i] for i in lot.tolist()], first[lot], final[lot], length)
+            runs.append((lot[piece], *rest))
+        piece, at, n, window = map(np.concatenate, zip(*runs, strict=True))
+        by = np.argsort(piece, kind="stable")
+        piece, at, n, window = piece[by], at[by], n[by], window[by]
         # Every sent fragment takes the runs of its name.
         lo = np.searchsorted(piece, name, side="left")
         many = np.searchsorted(piece, name, side="right") - lo

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -213,6 +214,52 @@ def test_intervals(length):
         assert len(group) == len(windows) and all(len(v) == 1 for v in held.values()) and len(held) == len(set(windows))
 
 
+def test_repeats_hash_a_stretch_at_a_time():
+    """4 MB of windows in a worker take a bounded part of an executor's memory."""
+    data = np.random.default_rng(5).integers(97, 123, 4 << 20, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    try:
+        names = suffix_dedup.Batch([data[i : i + 4000] for i in range(0, len(data), 4000)], 50).anchors()[0]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(names) and most < 25 * len(data)
+
+
+def test_stretches_and_lots_change_nothing(monkeypatch):
+    rng = random.Random(8)
+    passages = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (50, 70, 300)]
+    texts = [b"".join(rng.choice([b"", b"e" * 70, *passages, bytes(rng.choice(b"fgh") for _ in range(40))]) for _ in range(rng.randint(0, 4))) for _ in range(60)]
+    pieces = sorted({t for t in texts if len(t) >= 50})
+
+    def seen():
+        b = suffix_dedup.Batch(texts, 50)
+        names, multi, index, docs, counts = b.anchors()
+        return names, multi, *b.routed(multi[index], counts)
+
+    def held(pieces):
+        lots = suffix_dedup.lots(pieces, 50)
+        held = [{pieces[i][:50] if len(pieces[i]) == 50 else suffix_dedup.Hashes(np.frombuffer(pieces[i][:50], np.uint8)).least(suffix_dedup.ROUTER, 50)[0] for i in lot.tolist()} for lot in lots]
+        assert sorted(np.concatenate(lots).tolist()) == list(range(len(pieces))) and sum(map(len, held)) == len(set().union(*held))
+        return len(lots)
+
+    whole = seen()
+    windows = sorted({p[k : k + 50] for p in pieces for k in range(len(p) - 49)})
+    assert held(pieces) == held(windows) == 1
+    first = np.array([rng.randint(0, 9) for _ in pieces])
+    least = {}
+    for p, d in zip(pieces, first.tolist()):
+        for k in range(len(p) - 49):
+            least[p[k : k + 50]] = min(d, least.get(p[k : k + 50], 99))
+    for piece, at, n, window in zip(*suffix_dedup.least_runs(pieces, first, first, 50)):
+        assert all(least[pieces[piece][k : k + 50]] == window for k in range(at, at + n))
+    monkeypatch.setattr(suffix_dedup, "LOT_BYTES", 400)
+    assert held(pieces) > 1 and held(windows) > 1
+    for size in (50, 64, 333):
+        monkeypatch.setattr(suffix_dedup, "STRETCH_BYTES", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, seen(), strict=True))
+
+
 # ---------------------------------------------------------------- packing
 
 
