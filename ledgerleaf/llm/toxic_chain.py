@@ -44,23 +44,55 @@ WRONG = 0.001
 LANGUAGES = ("en", "de", "es", "fr")
 SEED = 13
 _WORD = re.compile(r"[^\W\d_]+")
-_IDS: dict[str, tuple[int, ...]] = {}
+#: What of a lower-case text's bytes can be in a word: letters, and all that is not ASCII.
+_PARTS = bytes(i if 97 <= i <= 122 or i > 127 else 32 for i in range(256))
+#: Places of known words, of which there are at most so many, in the table of their features.
+KNOWN = 100_000
+_PLACE: dict[str, int] = {}
+_TABLE = np.zeros((KNOWN, 4), dtype=np.int32)
+_SEEN = np.zeros(BUCKETS, dtype=bool)
 
 
 def _ids(word: str) -> tuple[int, ...]:
-    keys = [word, *(f"{word[:k]}*" for k in (3, 4, 5) if len(word) > k)]
-    found = tuple(zlib.crc32(k.encode("utf-8", "surrogatepass")) % BUCKETS for k in keys)
-    if len(_IDS) < 100_000:  # bounded memory in a worker that lives long; frequent words come early
-        _IDS[word] = found
-    return found
+    """The hashed word and its beginnings, four numbers; a short word's own stands in for those that it does not have."""
+    crc, raw, n = zlib.crc32, word.encode("utf-8", "surrogatepass"), len(word)
+    own = crc(raw) % BUCKETS
+    if len(raw) > n:
+        return (own, *(crc(f"{word[:k]}*".encode("utf-8", "surrogatepass")) % BUCKETS if n > k else own for k in (3, 4, 5)))
+    if n > 5:
+        return own, crc(raw[:3] + b"*") % BUCKETS, crc(raw[:4] + b"*") % BUCKETS, crc(raw[:5] + b"*") % BUCKETS
+    return own, crc(raw[:3] + b"*") % BUCKETS if n > 3 else own, crc(raw[:4] + b"*") % BUCKETS if n > 4 else own, own
+
+
+def words_of(text: str) -> set[str]:
+    """The distinct words of the lower-case text. ASCII parts them by one pass over bytes; only what has other signs than
+    letters beyond ASCII is matched."""
+    parts = set(text.lower().encode("utf-8", "surrogatepass").translate(_PARTS).decode("utf-8", "surrogatepass").split())
+    odd = [p for p in parts if not p.isalpha()]
+    parts.difference_update(odd)
+    parts.update(joined.from_iterable(map(_WORD.findall, odd)))
+    return parts
 
 
 def features(text: str | None) -> np.ndarray:
     """Which hashed words and beginnings of words the whole text has, sorted."""
-    words = set(_WORD.findall(text.lower())) if isinstance(text, str) else ()
-    get = _IDS.get
-    out = np.fromiter(set(joined.from_iterable(get(w) or _ids(w) for w in words)), dtype=np.int64)
-    out.sort()
+    words = words_of(text) if isinstance(text, str) else set()
+    places, new = [], []
+    get = _PLACE.get
+    for w in words:
+        at = get(w)
+        if at is not None:
+            places.append(at)
+            continue
+        found = _ids(w)
+        new += found
+        if len(_PLACE) < KNOWN:  # bounded memory in a worker that lives long; frequent words come early
+            _TABLE[len(_PLACE)] = found
+            _PLACE[w] = len(_PLACE)
+    _SEEN[_TABLE[places].ravel()] = True
+    _SEEN[new] = True
+    out = np.flatnonzero(_SEEN)
+    _SEEN[out] = False
     return out
 
 

@@ -492,6 +492,33 @@ def test_repeats_keep_texts_once(spark, monkeypatch):
         assert "freed" in names[names.index(a) : names.index(b)]
 
 
+def test_features_match_only_odd_parts(monkeypatch):
+    """Features are those of the definition; the pattern is matched only where signs beyond ASCII are no letters."""
+    rng, word = np.random.default_rng(9), toxic_chain._WORD
+
+    def defined(text):
+        words = set(word.findall(text.lower()))
+        keys = words | {f"{w[:k]}*" for w in words for k in (3, 4, 5) if len(w) > k}
+        return sorted({zlib.crc32(k.encode("utf-8", "surrogatepass")) % toxic_chain.BUCKETS for k in keys})
+
+    texts = [x or "" for x in ODD] + ["ab abc abcd abcde abcdef éé ééé éééé ééééé éééééé", "a_b c1d ÀÉ² ½x İI ŉ ǆ 中文3字 Ⅷ ー٣x́e\u200db", "\ud800x y\udfff"]
+    texts += ["".join(map(chr, rng.integers(1, top, 300).tolist())) for top in (0x80, 0x250, 0x3000, 0x110000) for _ in range(20)]
+    for _ in range(2):  # words that are new, and those that are known
+        assert all(toxic_chain.features(t).tolist() == defined(t) for t in texts)
+    monkeypatch.setattr(toxic_chain, "KNOWN", 0, raising=False)
+    assert toxic_chain.features("words that nobody knows, zyxwv").tolist() == defined("words that nobody knows, zyxwv")
+    seen = []
+
+    class Watched:
+        def findall(self, text):
+            seen.append(text)
+            return word.findall(text)
+
+    monkeypatch.setattr(toxic_chain, "_WORD", Watched())
+    assert len(toxic_chain.features("Plain words, 12 of them; straße_élan and x²y"))
+    assert seen == ["x²y"]
+
+
 def test_chain_is_fitted_on_all_labelled_rows(spark):
     """10,000 labelled documents: what tells the 30 toxic ones of the greatest hashes is learnt as well as the rest."""
     ids = [i for i in range(14_000) if zlib.crc32(str(i).encode()) % 4 != 2][:10_000]
