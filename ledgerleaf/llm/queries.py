@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bayes_minhash, best_fit, block_naming, chat_format, filter_audit, multi_index, quality_fm, source_mixing, suffix_dedup, toxic_chain, warc_derivatives
+from . import bayes_minhash, best_fit, block_naming, chat_format, collocations, filter_audit, label_shards, multi_index, quality_fm, source_mixing, suffix_dedup, toxic_chain, warc_derivatives
 
 QUERIES = {
     "op1_quality_fm": quality_fm.op1_quality_fm,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_source_mixing": source_mixing.op9_source_mixing,
     "op10_block_naming": block_naming.op10_block_naming,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_label_shards": label_shards.op13_label_shards,
 }
 ORACLES = {
     "op2_chat_format": chat_format.ORACLE,
     "op4_bayes_minhash": bayes_minhash.ORACLE,
     "op10_block_naming": block_naming.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
