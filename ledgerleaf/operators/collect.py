@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import identifiers, paths, text
+from ledgerleaf.sources.scratch import scratch
 
 from . import ledger as log
 
@@ -39,6 +42,30 @@ def candidates(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return bands(files, ledger).where("band is not null")
 
 
+def lazy_bands(listed: DataFrame, ledger: DataFrame, digests: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``bands`` of files whose contents are not known yet (``listed``: rel, size, mtime, inbox and what ``digests``
+    needs). ``digests`` adds md5; it gets the recorded files whose size or time has changed, and no others."""
+    last = log.latest(ledger).select(F.col("path").alias("rel"), *(F.col(c).alias(f"old_{c}") for c in ("decision", "size", "mtime")))
+    told = listed.drop("md5").join(last.withColumn("known", F.lit(True)), "rel", "left")
+    same = (F.col("size") == F.col("old_size")) & (F.col("mtime") == F.col("old_mtime"))
+    drifted = F.col("known") & ~F.coalesce(F.col("old_decision").isin(*OPEN_DECISIONS), F.lit(False)) & ~F.coalesce(same, F.lit(False))
+    told = told.withColumn("drifted", F.coalesce(drifted, F.lit(False))).drop("known", *(c for c in last.columns if c != "rel"))
+    checked = digests(told.where("drifted")).unionByName(told.where("not drifted").withColumn("md5", F.lit(None).cast("string")))
+    # A file that is recorded, settled and unchanged has the recorded size and time, so no digest is asked for it.
+    return bands(checked.drop("drifted"), ledger)
+
+
+def lazy_twins(chosen: DataFrame, listed: DataFrame, digests: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Files of ``listed`` with md5 that could have the bytes of one that is ``chosen``: of a chosen file's size, where
+    at least two files have it. No other file is opened, and none twice: the digests are written before they are used
+    (``first_twin`` and ``duplicates`` take the result, and look at it several times)."""
+    real = listed.where("size > 0 and link_to is null").drop("md5")
+    sizes = chosen.where("size > 0").select("size").distinct().join(real.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "size")
+    found, path = digests(real.join(sizes.select("size"), "size", "left_semi")), scratch(listed.sparkSession, "digests")
+    found.write.parquet(path)
+    return listed.sparkSession.read.schema(found.schema).parquet(path)
+
+
 def batch(found: DataFrame, limit: int) -> DataFrame:
     """The first candidates by band, then in the order of a walk."""
     return found.orderBy("band", paths.walk_key(F.col("rel"))).limit(limit)

@@ -678,13 +678,73 @@ def folder_states(spark, sf):
     return compact.folder_states(now, lines.withColumns({"type": F.lit("dir"), "seq": F.lit(1)}))
 
 
-@query()
-def scan_files(spark, sf):
-    """A walk of this package's own folder: the only tree that is sure to be there on the driver and its workers."""
-    from pathlib import Path
+# ---------------------------------------------------------------- trees
+
+# What a reader keeps of a text, as in sources/readers.
+_CLEAN = r"trim(regexp_replace(regexp_replace(substr(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), 1, 8000), '\n{2,}', chr(10), 'g'), '[ \t\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ' || chr(10))"
+_TREE = f"""tree AS (
+  SELECT 'documents/' || source || '/' || doc_id || '.txt' AS rel, '.txt' AS ext, doc_id AS k, coalesce(text, '') AS text FROM documents UNION ALL
+  SELECT 'pages/' || page_id || '.html', '.html', page_id, coalesce(html, '') FROM pages), said AS (SELECT rel, ext, k, strlen(text) AS size, md5(text) AS md5, {_CLEAN} AS text FROM tree)"""
+
+
+def written_tree(spark, sf):
+    """Every document and page as a file of its own below the shared folder; the root and rel, ext, k, size, md5 of each."""
+    from ledgerleaf.sources.doctree import local_folder, written
+    from ledgerleaf.sources.scratch import scratch
 
-    import ledgerleaf
+    d = table(spark, sf, "documents").select(F.concat(F.lit("documents/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    p = table(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("rel"), F.col("page_id").alias("k"), F.coalesce("html", F.lit("")).alias("text"))
+    both = d.unionByName(p)
+    root = local_folder(scratch(spark, "tree"))
+    written(both.select("rel", F.col("text").cast("binary").alias("body"), (F.lit(1_700_000_000) + F.col("k")).alias("mtime")), root)
+    return root, both.select("rel", "k", F.octet_length("text").cast("long").alias("size"), F.md5("text").alias("md5"))
+
+
+@query(f"WITH {_TREE} SELECT rel, ext, size, 1700000000 + k AS mtime, md5, length(text) AS chars, md5(text) AS text_md5 FROM said")
+def scan_files(spark, sf):
+    """Documents and pages written as files, then scanned with content and digests."""
     from ledgerleaf.sources.doctree import scan
 
-    found = scan(spark, [str(Path(ledgerleaf.__file__).parent)], exclude="*.pyc|*/__pycache__", content=False)
-    return found.where("kind = 'file'").groupBy("ext").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    root, _ = written_tree(spark, sf)
+    return scan(spark, [root]).where("kind = 'file'").select("rel", "ext", "size", "mtime", "md5", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH {_TREE}, r AS (SELECT *, CASE WHEN k % 9 = 0 THEN 'new' WHEN k % 9 = 1 THEN 'open' WHEN k % 9 = 2 THEN 'touched' WHEN k % 9 = 3 THEN 'changed' ELSE 'same' END AS state FROM said)
+SELECT rel, CASE WHEN state = 'open' THEN 0 WHEN starts_with(rel, 'pages/') THEN 1 ELSE 2 END AS band, CASE WHEN state = 'changed' THEN md5 END AS md5, md5(text) AS text_md5
+FROM r WHERE state IN ('new', 'open', 'changed')""")
+def scan_lazy(spark, sf):
+    """What a pass selects of that tree beside a ledger in which some files are new, open, touched or changed: listed
+    without opening one, digests of touched and changed files only, texts of what is selected."""
+    from ledgerleaf.sources import doctree
+
+    root, rows = written_tree(spark, sf)
+    k = F.col("k") % 9
+    recorded = rows.where(k > 0).select(
+        F.col("k").alias("seq"),
+        F.col("rel").alias("path"),
+        F.when(k == 1, "unanswered").otherwise("none").alias("decision"),
+        "size",
+        (F.lit(1_700_000_000) + F.col("k") - F.when(k.isin(2, 3), 7).otherwise(0)).alias("mtime"),
+        F.when(k == 3, F.md5("md5")).otherwise(F.col("md5")).alias("md5"),
+    )
+    listed = doctree.listing(spark, [root]).where("kind = 'file'").withColumn("inbox", F.when(F.col("rel").startswith("pages/"), "pages"))
+    chosen = collect.lazy_bands(listed, recorded, doctree.digested).where("band is not null")
+    return doctree.opened(chosen).select("rel", "band", "md5", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {LEDGER} SELECT 'latest' AS view, path AS key, seq AS size, decision, md5 FROM now UNION ALL SELECT 'content', md5, seq, decision, md5 FROM l QUALIFY row_number() OVER (PARTITION BY md5 ORDER BY seq DESC) = 1")
+def ledger_snapshot(spark, sf):
+    """A ledger written in three batches, with a snapshot after the second; last lines of its snapshot merged with the
+    third. A line's size is its event."""
+    from ledgerleaf.sources import ledger_file
+    from ledgerleaf.sources.scratch import scratch
+
+    rows, path = ledger(spark, sf).withColumn("size", F.col("seq")), scratch(spark, "ledger")
+    ends = rows.agg(F.expr("cast(max(seq) * 0.5 as long)").alias("a"), F.expr("cast(max(seq) * 0.9 as long)").alias("b")).first()
+    ledger_file.append(rows.where(F.col("seq") <= ends.a), path)
+    ledger_file.append(rows.where((F.col("seq") > ends.a) & (F.col("seq") <= ends.b)), path)
+    ledger_file.snapshot(spark, path)
+    ledger_file.append(rows.where(F.col("seq") > ends.b), path)
+    now = ledger_file.current(spark, path)
+    view = lambda name, df, key: df.select(F.lit(name).alias("view"), F.col(key).alias("key"), "size", "decision", "md5")
+    return view("latest", log.latest(now), "path").unionByName(view("content", log.by_content(now), "md5"))
