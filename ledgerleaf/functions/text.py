@@ -115,10 +115,10 @@ def ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
         return F.slice(F.zip_with(runs, F.slice(w, n, left), lambda a, b: F.concat(a, F.lit(" "), b)), F.lit(1), left)
 
     def from_(w: Column, runs: Column, n: int) -> Column:
-        more = [] if n == high else [_named(longer(w, runs, n + 1), lambda r: from_(w, r, n + 1))]
+        more = [] if n == high else [named(longer(w, runs, n + 1), lambda r: from_(w, r, n + 1))]
         return F.concat(*([runs] if n >= low else []), *more)
 
-    return F.array_distinct(_named(words, lambda w: from_(w, w, 1)))
+    return F.array_distinct(named(words, lambda w: from_(w, w, 1)))
 
 
 # A letter, or a mark or joiner within a word; most are told by the first part of the class, which is the quick one.
@@ -145,7 +145,7 @@ def _plausible(joined: Column) -> Column:
     return F.regexp_count(joined, F.lit(_SPOKEN)) - F.when(joined.rlike(inside), sprayed).otherwise(0)
 
 
-def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once, as the variable of a lambda; null stays null."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -154,20 +154,20 @@ def is_prose(text: Column) -> Column:
     """Whether a text is language and not an extractor's debris; null and empty texts are not."""
 
     def by_joined(joined: Column) -> Column:
-        return _named(F.regexp_count(joined, F.lit(_WORD)), lambda n: (n > 0) & (_plausible(joined) >= n * PLAUSIBLE_SHARE))
+        return named(F.regexp_count(joined, F.lit(_WORD)), lambda n: (n > 0) & (_plausible(joined) >= n * PLAUSIBLE_SHARE))
 
     def by_rest(rest: Column) -> Column:
         without = F.replace(rest, F.lit(" "), F.lit(""))
         parts = F.length(rest) - F.length(without) + 1
         single = F.regexp_count(rest, F.lit(r"(?<![^ ])[^ ](?![^ ])"))
         spaced = (parts >= SPACED_TOKENS) & (single > parts * SPACED_SHARE)
-        return _named(F.when(spaced, without).otherwise(rest), by_joined)
+        return named(F.when(spaced, without).otherwise(rest), by_joined)
 
     def by_flat(flat: Column) -> Column:
         # Every mark has one of the two.
         marked = F.contains(flat, F.lit("/")) | F.contains(flat, F.lit("cid:"))
         marks = F.when(marked, F.length(flat) - F.length(F.regexp_replace(flat, GLYPH, ""))).otherwise(0)
         rest = F.when(marked, F.regexp_replace(flat, GLYPH, " ")).otherwise(flat)
-        return (F.length(flat) > 0) & (marks <= F.length(flat) * GLYPH_SHARE) & _named(rest, by_rest)
+        return (F.length(flat) > 0) & (marks <= F.length(flat) * GLYPH_SHARE) & named(rest, by_rest)
 
-    return _named(flatten(F.coalesce(text, F.lit(""))), by_flat)
+    return named(flatten(F.coalesce(text, F.lit(""))), by_flat)
