@@ -83,8 +83,12 @@ def free_name(base: str, *frames: DataFrame) -> str:
 
 
 def row_key(seed: int, id_: Column, text: Column) -> Column:
-    """What finds a row of a table again: a hash of id and text. Rows that repeat have one key."""
-    return F.xxhash64(F.lit(seed), id_, text.cast("string"))
+    """What finds a row of a table again: 256 bits (SHA-2) of seed, id and text, so that no two different rows of any
+    corpus have one key. Rows that repeat do."""
+    null = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(F.lit("said"))
+    id_, text = id_.cast("string"), text.cast("string")
+    said = F.concat(F.lit(f"{seed} "), null(id_), null(text), F.sha2(F.coalesce(id_, F.lit("")), 256), F.coalesce(text, F.lit("")))
+    return F.unhex(F.sha2(said, 256))
 
 
 def rows_of(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ label and the language of labelled rows, and toxicity in any language, the last.
 pull on weights and the threshold are chosen by out-of-fold predictions of the fitted rows, never by held-out ones.
 
 ``train`` fits on every labelled row that is not held out. The rows' features lie in the shared folder, in shards; in
-each epoch every shard's task streams through its rows once, from the same weights, and the driver takes the mean of what
-the tasks made of them. All models of the chain (one per category from all rows, one per category and fold) take a step
+each epoch a task streams through each shard's rows once, from the same weights, and the driver takes the mean of what
+the shards made of them. The number of shards, the rows of each and their order depend on the rows alone, and the mean is
+taken in whole numbers, so the result does not depend on files, partitions or the order of tasks. All models of the chain (one per category from all rows, one per category and fold) take a step
 together: a batch's out-of-fold probabilities, category by category, are what its later categories see. ``fit_chain`` is
 the same chain on rows in memory, one model after the other.
 """
@@ -24,15 +25,18 @@ from itertools import chain as joined
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, small_batches, stored, table, with_arrow
 from .quality_fm import held_out
 
-#: Shards that are fitted side by side at most (a task streams through its shard, however long), and rows to one at least.
-SHARDS, SHARD_ROWS = 16, 1 << 13
+#: Shards that are fitted side by side (a task streams through its shard, however long), and rows that are shuffled together.
+SHARDS, SHUFFLED = 8, 1000
+#: Weights are added up in whole numbers of this part of one.
+UNIT = 1 << 24
+#: Parts that a range of values is counted in, to find the value at a place.
+BINS = 1024
 BUCKETS = 1 << 17
 FOLDS, EPOCHS = 3, 8
 #: Rows to a step: a sixteenth of those fitted, between these.
@@ -293,18 +297,19 @@ class Together:
 
     def mix(self, made, total: int) -> None:
         """Take the mean, by rows, of what shards made, a row for each model of a shard; of a bucket's weights, that of
-        the shards which used it."""
-        share, w, gw, rest = np.zeros(self.w.shape, dtype=np.float32), np.zeros_like(self.w), np.zeros_like(self.gw), np.zeros_like(self.rest)
+        the shards which used it. Sums are of whole numbers, so the order of ``made`` does not matter."""
+        rows, w, gw, rest = (np.zeros(x.shape, dtype=np.int64) for x in (self.w, self.w, self.gw, self.rest))
+        whole = lambda x, n: np.rint(x.astype(float) * n * UNIT).astype(np.int64)
         for r in made:
-            k, at, part = r["model"], np.frombuffer(r["at"], "<i4"), np.float32(r["n"] / total)
-            share[k, at] += part
-            w[k, at] += part * np.frombuffer(r["w"], "<f4")
-            gw[k, at] += part * np.frombuffer(r["gw"], "<f2").astype(np.float32)
-            rest[:, k] += r["n"] / total * np.frombuffer(r["rest"], "<f8")
+            k, at, n = r["model"], np.frombuffer(r["at"], "<i4"), r["n"]
+            rows[k, at] += n
+            w[k, at] += whole(np.frombuffer(r["w"], "<f4"), n)
+            gw[k, at] += whole(np.frombuffer(r["gw"], "<f2"), n)
+            rest[:, k] += whole(np.frombuffer(r["rest"], "<f8"), n)
         for k in range(len(w)):
-            at = np.flatnonzero(share[k])
-            self.w[k, at], self.gw[k, at] = w[k, at] / share[k, at], gw[k, at] / share[k, at]
-        self.rest = rest
+            at = np.flatnonzero(rows[k])
+            self.w[k, at], self.gw[k, at] = w[k, at] / UNIT / rows[k, at], gw[k, at] / UNIT / rows[k, at]
+        self.rest = rest / UNIT / max(total, 1)
 
 
 def _read(batch: pa.RecordBatch, names: list[str]) -> tuple[Rows, np.ndarray, np.ndarray]:
@@ -313,17 +318,54 @@ def _read(batch: pa.RecordBatch, names: list[str]) -> tuple[Rows, np.ndarray, np
     return x, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names]).astype(float), batch.column("fold").to_numpy()
 
 
+def _by_shard(batches, size: int):
+    """(shard, its rows in groups of ``size`` and a last one), whatever batches they come in; shards are in order."""
+    held: list[pa.RecordBatch] = []
+    have = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.concat_batches(held)
+
+    for b in batches:
+        shards = b.column("shard").to_numpy()
+        at = 0
+        while at < len(shards):
+            if held and held[0].column("shard")[0].as_py() != shards[at]:
+                yield held[0].column("shard")[0].as_py(), out()
+                held, have = [], 0
+            same = int(np.searchsorted(shards[at:], shards[at], "right"))
+            part = b.slice(at, min(same, size - have))
+            held.append(part)
+            have, at = have + part.num_rows, at + part.num_rows
+            if have == size:
+                yield held[0].column("shard")[0].as_py(), out()
+                held, have = [], 0
+    if held:
+        yield held[0].column("shard")[0].as_py(), out()
+
+
 def fit_together(models: Together, rows: DataFrame, names: list[str], n: int, epochs: int = EPOCHS) -> Together:
-    """``models`` after ``epochs`` passes over all ``rows`` (fold, idx, a boolean for each name); ``n`` is their number."""
+    """``models`` after ``epochs`` passes over all ``rows`` (place, fold, idx, a boolean for each name); ``n`` is their
+    number. A row's place says which shard it is in and where."""
     size, context = int(np.clip(n // 16, *BATCH)), rows.sparkSession.sparkContext
-    shards = rows.coalesce(int(np.clip(-(-n // SHARD_ROWS), 1, SHARDS)))
+    shards = rows.withColumn("shard", F.pmod(F.shiftright("place", 8), F.lit(SHARDS)).cast("int"))
+    shards = shards.repartition(SHARDS, "shard").sortWithinPartitions("shard", "place", "idx")
     for epoch in range(epochs if n else 0):
         shared = context.broadcast(models.thin())
 
         def run(batches, shared=shared, epoch=epoch):
-            own, rng = Together.whole(shared.value), np.random.default_rng([SEED, epoch, TaskContext.get().partitionId()])
-            met, used = 0, np.zeros(BUCKETS, dtype=bool)
-            for b in batches:
+            def made(own, used, met):
+                at = np.flatnonzero(used)
+                for k in range(len(own.w)):
+                    yield {"model": k, "n": met, "at": at.astype("<i4").tobytes(), "w": own.w[k, at].tobytes(), "gw": own.gw[k, at].astype("<f2").tobytes(), "rest": own.rest[:, k].tobytes()}
+
+            now = None
+            for shard, b in _by_shard(batches, SHUFFLED):
+                if shard != now:
+                    for r in made(own, used, met) if now is not None else ():  # noqa: F821 set with the first shard
+                        yield pa.RecordBatch.from_pylist([r])
+                    own, rng, now = Together.whole(shared.value), np.random.default_rng([SEED, epoch, shard]), shard
+                    met, used = 0, np.zeros(BUCKETS, dtype=bool)
                 x, y, fold = _read(b, names)
                 order = rng.permutation(len(x))
                 for at in range(0, len(order), size):
@@ -331,9 +373,8 @@ def fit_together(models: Together, rows: DataFrame, names: list[str], n: int, ep
                     own.step(*x.take(some), y[some], fold[some])
                 met += len(x)
                 used[x.idx] = True
-            at = np.flatnonzero(used)
-            for k in range(len(own.w)) if met else ():
-                yield pa.RecordBatch.from_pylist([{"model": k, "n": met, "at": at.astype("<i4").tobytes(), "w": own.w[k, at].tobytes(), "gw": own.gw[k, at].astype("<f2").tobytes(), "rest": own.rest[:, k].tobytes()}])
+            for r in made(own, used, met) if now is not None else ():
+                yield pa.RecordBatch.from_pylist([r])
 
         # Up to 1.3 MB for a model of a shard, whatever its rows: the driver takes one part of them after the other.
         made = stored(shards.mapInArrow(run, "model long, n long, at binary, w binary, gw binary, rest binary"), "toxic-models")
@@ -362,13 +403,29 @@ def unseen_rows(models: Together, rows: DataFrame, names: list[str]) -> DataFram
     return out
 
 
+def from_top(values: DataFrame, place: int) -> float:
+    """The value at a place, from 0, of a table's one column in descending order: ranges are counted in parts, and the
+    part that holds the place is counted in parts again. Of each count ``BINS`` rows come back."""
+    p = values.columns[0]
+    low, high = values.agg(F.min(p), F.max(p)).first()
+    while low < high:
+        part = F.least(F.floor((F.col(p) - low) / (high - low) * BINS), F.lit(BINS - 1))
+        found = values.where(F.col(p).between(low, high)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("low"), F.max(p).alias("high"))
+        for r in sorted(found.collect(), key=lambda r: -r.part):
+            if place < r.n:
+                low, high = r.low, r.high
+                break
+            place -= r.n
+    return low
+
+
 def lowest_threshold_of(rows: DataFrame, wrong: float) -> float:
-    """``lowest_threshold`` of a table of any size (p, toxic); of it only the place of the threshold comes back."""
+    """``lowest_threshold`` of a table of any size (p, toxic)."""
     clean = rows.where("not toxic")
     n, marked = rows.agg(F.count_if(~F.col("toxic")), F.count_if("toxic")).first()
     if not n or not marked:
         return 0.5
-    cut = clean.orderBy(F.desc("p")).offset(int(wrong * n)).limit(1).first()["p"]
+    cut = from_top(clean.select("p"), int(wrong * n))
     above = rows.where(F.col("p") > cut).agg(F.min("p")).first()[0]
     return float(np.nextafter(cut, 2)) if above is None else float((cut + above) / 2)
 

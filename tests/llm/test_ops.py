@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import bayes_minhash, best_fit, block_naming, chat_format, multi_index, quality_fm, queries, source_mixing, suffix_dedup, toxic_chain, warc_derivatives
+from ledgerleaf.llm import bayes_minhash, best_fit, block_naming, chat_format, common, multi_index, quality_fm, queries, source_mixing, suffix_dedup, toxic_chain, warc_derivatives
 from ledgerleaf.llm.components import components
 from tests.oracle import assert_same, connection
 
@@ -70,6 +70,21 @@ def test_names_are_places_in_order(spark):
         assert {(r.a, r.b): r.name for r in got} == {v: k for k, v in enumerate(sorted(values))}
 
 
+def test_rows_of_one_short_hash_stay_apart(spark, monkeypatch):
+    """Row keys are of 256 bits of id and text: 64-bit hashes that are all equal lose no row."""
+    texts = ["a b c d e f", "a b c d e g h", "something else entirely here now", None, "", "x"]
+    docs = documents(spark, texts, [1, 2, 3, 4, None, 6])
+    keys = [r[0] for r in docs.select(common.row_key(1, docs.doc_id, docs.text)).collect()]
+    assert len({bytes(k) for k in keys}) == len(texts) and all(len(k) == 32 for k in keys)
+    monkeypatch.setattr(common.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    assert len({bytes(r[0]) for r in docs.select(common.row_key(1, docs.doc_id, docs.text)).collect()}) == len(texts)
+    kept = docs.select(common.row_key(1, docs.doc_id, docs.text))
+    assert common.rows_of(docs.unionByName(docs), common.row_key(1, F.col("doc_id"), F.col("text")), kept).count() == len(texts)
+    monkeypatch.undo()
+    same = spark.createDataFrame([("null", "x"), (None, "x"), ("1", "2x"), ("12", "x"), ("a", None), ("a", "")], "id string, text string")
+    assert same.select(common.row_key(1, same.id, same.text)).distinct().count() == 6
+
+
 def test_naming_of_repeated_rows_and_null_ids(spark):
     got = block_naming.exact_dedup(documents(spark, ["a", "a", "a", "b", "b"], [5, 5, None, None, None])).toPandas()
     assert got[got.group_size == 3].kept.sum() == 1 and set(got[got.group_size == 3].keep_id) == {5}
@@ -560,6 +575,34 @@ def test_models_together_are_the_chain_by_hand():
     assert np.allclose(made.w[:, 1], 1) and np.allclose(made.w[:, 2], 3) and (made.w[:, 3] == before).all() and np.allclose(made.rest, rest)
 
 
+def test_toxicity_does_not_depend_on_dealing(spark):
+    """The same scores and flags, to the bit, however rows are dealt, cut into files and batches."""
+    rng, rows = random.Random(12), 200
+    texts = [" ".join("w%d" % rng.randint(0, 200) for _ in range(rng.randint(3, 30))).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(rows)]
+    docs, labels = documents(spark, texts), spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(rows)], LABEL)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    seen = set()
+    try:
+        for values, parts in (("2", "1000", "true"), 1), (("16", "37", "false"), 7), (("211", "5", "true"), 3):
+            for n, v in zip(names, values):
+                spark.conf.set(n, v)
+            got = toxic_chain.toxicity(docs.repartition(parts), labels).collect()
+            seen.add(tuple(sorted(map(tuple, got))))
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert len(seen) == 1
+
+
+def test_value_at_a_place_from_the_top(spark):
+    rng = random.Random(3)
+    for values in ([0.5], [0.1, 0.1, 0.1], [5e-324, 0.0, 1.0, 1.0 - 2**-53], [rng.random() ** 20 for _ in range(3000)] + [0.25] * 500):
+        table = spark.createDataFrame([(v,) for v in values], "p double")
+        for place in {0, len(values) // 7, len(values) // 2, len(values) - 1}:
+            assert toxic_chain.from_top(table, place) == sorted(values, reverse=True)[place]
+
+
 def test_lowest_threshold_of_a_table(spark):
     rng = np.random.default_rng(6)
     for n, share in ((1, 0.5), (7, 0.5), (200, 0.1), (200, 0.0), (50, 1.0)):
