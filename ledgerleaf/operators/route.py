@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import identifiers, paths
+from ledgerleaf.functions import identifiers, needles, paths
 from ledgerleaf.plans.conditions import IDENTIFIER, UNPREPARED, compiled, prepared, sensitive_hit
 from ledgerleaf.plans.config import LANES
 
@@ -103,8 +103,14 @@ def triage(entries: DataFrame, config: dict, ledger: DataFrame | None = None) ->
 
     ``entries``: rel, path, ext, size, text, ids, doc_year, and known_as, duplicate_of, md5, error, opaque, link_to
     where there are any. All guards are named; the first of skip, settled, sensitive, duplicate, inbox, entity-tie
-    decides. Else the first active rule does, capped at a proposal where only the path speaks.
+    decides. Else the first active rule does, capped at a proposal where only the path speaks. A configuration with
+    many phrases is matched by one automaton (``needles``), with the same result.
     """
+    with needles.looked_up({k: config.get(k) for k in ("rules", "entities", "sensitive")}):
+        return _triaged(entries, config, ledger)
+
+
+def _triaged(entries: DataFrame, config: dict, ledger: DataFrame | None) -> DataFrame:
     optional = {"known_as": "string", "duplicate_of": "array<string>", "md5": "string", "error": "string", "opaque": "string", "link_to": "string", "path": "string", "ids": "map<string,array<string>>", "doc_year": "int"}
     for name, kind in optional.items():
         if name not in entries.columns:

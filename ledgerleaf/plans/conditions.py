@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import identifiers, paths, text
+from ledgerleaf.functions import identifiers, needles, paths, text
 
 # What a path alone shows, and what a validated identifier shows. All else grades as words.
 WEAK = ("name_matches", "path_under", "ext", "ext_in", "size_gt", "size_lt")
@@ -57,10 +57,22 @@ def _pattern(regex: str) -> str:
     return "(?iU)" + regex.replace("(?P<", "(?<")
 
 
+def _said(phrase) -> Column:
+    known = needles.used()
+    found = known.says(phrase) if known else None
+    return text.says(F.col("text_norm"), F.col("text_glued"), phrase) if found is None else found
+
+
+def _said_any(value) -> Column:
+    known = needles.used()
+    found = known.says_any(_list(value)) if known else None
+    return _any([_said(x) for x in _list(value)]) if found is None else found
+
+
 #: Leaf name -> Column over the columns that ``prepared`` gives. More may be added.
 LEAVES: dict[str, Callable] = {
-    "text_contains_any": lambda v: _any([text.says(F.col("text_norm"), F.col("text_glued"), x) for x in _list(v)]),
-    "text_contains_all": lambda v: _all([text.says(F.col("text_norm"), F.col("text_glued"), x) for x in _list(v)]),
+    "text_contains_any": _said_any,
+    "text_contains_all": lambda v: _all([_said(x) for x in _list(v)]),
     "text_matches": lambda v: F.col("text_norm").rlike(_pattern(v)),
     "ids_any": lambda v: F.arrays_overlap(identifiers.id_values(F.col("ids")), F.array(*(F.lit(str(x).replace(" ", "").replace(".", "")) for x in _list(v)))),
     "id_kind_present": lambda v: _any([F.map_contains_key("ids", F.lit(k)) for k in _list(v)]),
@@ -76,7 +88,8 @@ LEAVES: dict[str, Callable] = {
 
 
 def prepared(entries: DataFrame) -> DataFrame:
-    """``entries`` with the normal forms that leaves read, each computed once. Absent columns count as null."""
+    """``entries`` with the normal forms that leaves read, each computed once; within ``needles.looked_up`` also with
+    what the texts say of its phrases. Absent columns count as null."""
     have = entries.columns
     kinds = {"text": "string", "ids": "map<string,array<string>>", "doc_year": "int", "ext": "string", "size": "bigint"}
     for name, kind in kinds.items():
@@ -84,10 +97,12 @@ def prepared(entries: DataFrame) -> DataFrame:
             value = paths.ext_of(F.col("rel")) if name == "ext" else F.lit(None).cast(kind)
             entries = entries.withColumn(name, value)
     entries = entries.withColumn("text_norm", text.norm(F.coalesce("text", F.lit(""))))
+    if needles.used():
+        entries = entries.withColumn(needles.FOUND, needles.used().found(F.col("text_norm")))
     return entries.withColumns({"text_glued": text.glued(F.col("text_norm")), "name_norm": text.norm(paths.basename(F.col("rel"))), "rel_norm": text.norm(F.concat(F.lit("/"), F.col("rel")))})
 
 
-UNPREPARED = ("text_norm", "text_glued", "name_norm", "rel_norm")
+UNPREPARED = ("text_norm", "text_glued", "name_norm", "rel_norm", needles.FOUND)
 
 
 def leaf(name: str, value) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import identifiers, paths
+from ledgerleaf.functions import identifiers, needles, paths
 from ledgerleaf.functions import text as t
 from ledgerleaf.operators import tags
 from ledgerleaf.plans.conditions import compiled, prepared
@@ -324,3 +324,18 @@ def self_guard(spark, sf):
     from ledgerleaf.operators.collect import not_own
 
     return not_own(entries(spark, sf), ["src0", "SRC7"]).select("doc_id")
+
+
+# Syllables of which the many phrases are made, every pair of them one.
+SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve qu ai".split()
+_PAIRS = f"pairs AS (SELECT a.i * 32 + b.i AS place, a.s || b.s AS n FROM (SELECT unnest({SYLLABLES}) AS s, unnest(range(0, 32)) AS i) a, (SELECT unnest({SYLLABLES}) AS s, unnest(range(0, 32)) AS i) b)"
+
+
+@query(f"WITH {ENTRIES}, {_PAIRS}, d AS (SELECT n, min(place) AS place FROM pairs GROUP BY n), h AS (SELECT rel, n, place FROM e, d WHERE contains(tn, n) OR contains(tg, n)) SELECT e.rel, count(h.n) AS phrases, coalesce(min(h.place // 32), -1)::BIGINT AS first_rule FROM e LEFT JOIN h USING (rel) GROUP BY 1")
+def many_needles(spark, sf):
+    """1,024 phrases in 32 rules: how many of them each text has, and the first rule that matches it."""
+    rules = [{"text_contains_any": [a + b for b in SYLLABLES]} for a in SYLLABLES]
+    with needles.looked_up(rules):
+        e = prepared(entries(spark, sf))
+        first = F.coalesce(*(F.when(compiled(r).match, F.lit(k)) for k, r in enumerate(rules)))
+        return e.select("rel", F.size(needles.FOUND).cast("long").alias("phrases"), F.coalesce(first.cast("long"), F.lit(-1).cast("long")).alias("first_rule"))
