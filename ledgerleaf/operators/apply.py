@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import paths, text
 from ledgerleaf.plans.conditions import compiled, prepared, sensitive_hit
+from ledgerleaf.sources.scratch import scratch
 
 from . import collect
 from . import ledger as log
@@ -28,9 +29,10 @@ def _filled(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) != ""
 
 
-def destination(dst: Column, rel: Column) -> Column:
-    """Where a file would lie: a destination that ends in a slash is a folder to file into."""
-    return F.when(dst.endswith("/"), F.concat(dst, paths.basename(rel))).otherwise(dst)
+def destination(dst: Column, rel: Column, folder: Column | None = None) -> Column:
+    """Where a file would lie: a destination that ends in a slash, or is a folder (``folder``), is one to file into."""
+    into = F.when(dst.endswith("/"), F.concat(dst, paths.basename(rel)))
+    return into.otherwise(dst) if folder is None else into.when(folder, F.concat(dst, F.lit("/"), paths.basename(rel))).otherwise(dst)
 
 
 def second_name(path: Column) -> Column:
@@ -40,26 +42,85 @@ def second_name(path: Column) -> Column:
     return F.concat(folder, base, F.lit(" (2)"), F.substr(name, F.length(base) + 1, F.length(name)))
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """``rows``, written and read again: each round of a resolution starts from a table."""
+    path = scratch(rows.sparkSession, "moves")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _settled(moves: DataFrame, there: DataFrame, folders: DataFrame, before: DataFrame | None) -> DataFrame:
+    """rel, dst, ord, final, why of ``moves``, if those of ``before`` are where the earlier ones of them end."""
+    m = moves.join(folders.select(F.col("folder").alias("dst"), F.lit(True).alias("is_folder")), "dst", "left")
+    folder = F.coalesce("is_folder", F.lit(False))
+    done = None if before is None else before.where("final is not null and final <> rel")
+    if done is not None:
+        made = done.select(F.explode(paths.ancestors(F.col("final"))).alias("folder"), "ord").groupBy("folder").agg(F.min("ord").alias("since"))
+        made = _kept(made)
+        m = m.join(made.select(F.col("folder").alias("dst"), "since"), "dst", "left")
+        folder = folder | F.coalesce(F.col("since") < F.col("ord"), F.lit(False))
+    m = m.withColumn("want", destination(F.col("dst"), F.col("rel"), folder)).select("rel", "dst", "ord", "want")
+    m = _kept(m.withColumn("second", second_name(F.col("want"))))
+
+    # What comes to a name and leaves it, in the order of moves; a question sees what lies before it.
+    event = lambda df, name, kind, change: df.select(F.col(name).alias("name"), "ord", "rel", F.lit(kind).alias("kind"), F.lit(change).alias("change"))
+    asked = event(m, "want", 1, 0).unionByName(event(m, "second", 2, 0))
+    events = asked
+    if done is not None:
+        leaving = done.join(there.select(F.col("name").alias("rel")), "rel", "left_semi")
+        events = asked.unionByName(event(done, "final", 3, 1)).unionByName(event(leaving, "rel", 3, -1))
+    else:
+        # Nothing leaves; each name goes to the first that wants it, its second to the next one.
+        events = asked.unionByName(event(m.where("want <> rel"), "want", 3, 1))
+    so_far = F.coalesce(F.sum("change").over(W.partitionBy("name").orderBy("ord", "rel", "kind").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    told = events.withColumn("so_far", so_far).where("kind < 3").join(there.withColumn("n", F.lit(1)), "name", "left")
+    told = told.join(folders.select(F.col("folder").alias("name"), F.lit(True).alias("is_folder")), "name", "left")
+    there_now = (F.coalesce("n", F.lit(0)) + F.col("so_far") > 0) | F.coalesce("is_folder", F.lit(False))
+    if done is not None:
+        told = told.join(made.select(F.col("folder").alias("name"), "since"), "name", "left")
+        there_now = there_now | F.coalesce(F.col("since") < F.col("ord"), F.lit(False))
+    state = told.groupBy("rel", "ord").agg(F.max(F.when(F.col("kind") == 1, there_now)).alias("one"), F.max(F.when(F.col("kind") == 2, there_now)).alias("two"), F.max(F.when(F.col("kind") == 1, F.col("so_far") + F.coalesce("n", F.lit(0)))).alias("ahead"))
+    m = m.join(state, ["rel", "ord"])
+    inside_itself, stays = F.col("want").startswith(F.concat(F.col("rel"), F.lit("/"))), F.col("want") == F.col("rel")
+    second = ~F.col("two") & (F.col("ahead") <= 1) if done is None else ~F.col("two")
+    final = F.when(inside_itself, None).when(stays, F.col("rel")).when(~F.col("one"), F.col("want")).when(second, F.col("second"))
+    return m.select("rel", "dst", "ord", "want", "second", final.alias("final"), F.when(inside_itself, F.lit(IN_ITSELF)).when(final.isNull(), F.lit(TAKEN)).alias("why"))
+
+
+def _crossed(now: DataFrame) -> bool:
+    """Whether an end of the first guess may change: some move asks for a name that another leaves, for one that is
+    the first choice of one and the second of another, or files into a folder that a move makes."""
+    asked = now.select("rel", F.explode(F.array(F.struct(F.col("want").alias("name"), F.lit(1).alias("kind")), F.struct(F.col("second").alias("name"), F.lit(2).alias("kind")))).alias("a")).select("rel", "a.*")
+    left = now.select(F.col("rel").alias("name"), F.lit(0).alias("kind"))
+    made = now.where("final <> rel").select(F.explode(paths.ancestors(F.col("final"))).alias("name"), F.lit(3).alias("kind"))
+    into = now.where("want <> rel").select(F.explode(F.array("dst", "want", "second")).alias("name"), F.lit(4).alias("kind"))
+    kinds = asked.where("name <> rel").drop("rel").unionByName(left).unionByName(made).unionByName(into).groupBy("name").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds"))
+    # Asked for and left; first and second choice; made and filed into.
+    return bool(kinds.where("(kinds & 1 = 1 and kinds & 6 > 0) or (kinds & 6 = 6) or (kinds & 24 = 24)").take(1))
+
+
 def placed(moves: DataFrame, files: DataFrame) -> DataFrame:
     """Adds final, why: the free name of each move, or why there is none.
 
-    ``moves``: rel, dst, ord. A name that a file or an earlier move of the batch has is taken; then ``(2)`` is tried,
-    once. Moves are placed in the order of ``ord``; what one leaves free is not given to another.
+    ``moves``: rel, dst, ord. Moves are made one after the other, in the order of ``ord``: a name that a file or an
+    earlier move has is taken, unless an earlier move took that file away; then ``(2)`` is tried, once. A destination
+    that ends in a slash, or is a folder by then, is one to file into.
+
+    All moves are settled side by side, from where the moves before them end; the first guess is that none leaves a
+    name free. Where that changes an end, all are settled again from the new ones, until none changes: what a move
+    finds depends on earlier ones only, so the first moves of a chain are right after one round, those after them in
+    the next, and what does not change any more is what making them in order gives.
     """
-    m = moves.withColumn("want", destination(F.col("dst"), F.col("rel")))
-    m = m.withColumn("second", second_name(F.col("want")))
-    taken = files.select(F.col("rel").alias("want"), F.lit(True).alias("taken"))
-    taken2 = files.select(F.col("rel").alias("second"), F.lit(True).alias("taken2"))
-    m = m.join(taken, "want", "left").join(taken2, "second", "left")
-    free = F.coalesce(~F.col("taken"), F.lit(True)).cast("int")
-    free2 = F.coalesce(~F.col("taken2"), F.lit(True)).cast("int")
-    stays = F.col("want") == F.col("rel")
-    place = F.sum(F.when(stays, 0).otherwise(1)).over(W.partitionBy("want").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
-    m = m.withColumn("place", place)
-    inside_itself = F.col("want").startswith(F.concat(F.col("rel"), F.lit("/")))
-    final = F.when(inside_itself, None).when(stays, F.col("rel")).when(F.col("place") <= free, F.col("want")).when(F.col("place") <= free + free2, F.col("second"))
-    why = F.when(inside_itself, F.lit(IN_ITSELF)).when(final.isNull(), F.lit(TAKEN))
-    return m.withColumns({"final": final, "why": why}).drop("want", "second", "taken", "taken2", "place")
+    there = files.select(F.col("rel").alias("name")).distinct()
+    folders = files.select(F.explode(paths.ancestors(F.col("rel"))).alias("folder")).distinct()
+    asked = moves.select("rel", "dst", "ord")
+    now = _kept(_settled(asked, there, folders, None))
+    open_ = _crossed(now)
+    while open_:
+        then = _kept(_settled(asked, there, folders, now))
+        changed = then.alias("a").join(now.alias("b"), ["rel", "ord"]).where(~F.col("a.final").eqNullSafe(F.col("b.final")))
+        now, open_ = then, bool(changed.take(1))
+    return moves.join(now.select("rel", "ord", "final", "why"), ["rel", "ord"]).select(*moves.columns, "final", "why")
 
 
 def keepers(decided: DataFrame, files: DataFrame) -> DataFrame:
