@@ -138,7 +138,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
             yield with_arrow(b.drop_columns(["text"]), n=pa.array(n, pa.int64()), digest=pa.array(digest, pa.binary()), sig=pa.array(sig, pa.binary()), bands=pa.array(bands, pa.list_(pa.int64())))
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return stored(source.mapInArrow(run, f"row long, doc_id {kind}, key long, n long, digest binary, sig binary, bands array<long>"), "signed")
+    return stored(source.mapInArrow(run, f"row long, doc_id {kind}, key binary, n long, digest binary, sig binary, bands array<long>"), "signed")
 
 
 def text_key(id_col: str, text_col: str):

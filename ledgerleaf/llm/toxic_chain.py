@@ -296,19 +296,23 @@ class Together:
         self.rest[at] -= rate * d / np.sqrt(self.rest[squares])
 
     def mix(self, made, total: int) -> None:
-        """Take the mean, by rows, of what shards made, a row for each model of a shard; of a bucket's weights, that of
-        the shards which used it. Sums are of whole numbers, so the order of ``made`` does not matter."""
-        rows, w, gw, rest = (np.zeros(x.shape, dtype=np.int64) for x in (self.w, self.w, self.gw, self.rest))
+        """Take the mean, by rows, of what shards made, a row for each model of a shard, in order of models; of a
+        bucket's weights, that of the shards which used it. All models of a shard use the same buckets, which the first
+        one's row names. Sums are of whole numbers, so the order of shards does not matter."""
+        rows = np.zeros(BUCKETS, dtype=np.int64)
+        w, gw, rest = (np.zeros(x.shape, dtype=np.int64) for x in (self.w, self.gw, self.rest))
         whole = lambda x, n: np.rint(x.astype(float) * n * UNIT).astype(np.int64)
         for r in made:
-            k, at, n = r["model"], np.frombuffer(r["at"], "<i4"), r["n"]
-            rows[k, at] += n
+            k, n = r["model"], r["n"]
+            if k == 0:
+                at = np.frombuffer(r["at"], "<i4")
+                rows[at] += n
             w[k, at] += whole(np.frombuffer(r["w"], "<f4"), n)
             gw[k, at] += whole(np.frombuffer(r["gw"], "<f2"), n)
             rest[:, k] += whole(np.frombuffer(r["rest"], "<f8"), n)
+        at = np.flatnonzero(rows)
         for k in range(len(w)):
-            at = np.flatnonzero(rows[k])
-            self.w[k, at], self.gw[k, at] = w[k, at] / UNIT / rows[k, at], gw[k, at] / UNIT / rows[k, at]
+            self.w[k, at], self.gw[k, at] = w[k, at] / UNIT / rows[at], gw[k, at] / UNIT / rows[at]
         self.rest = rest / UNIT / max(total, 1)
 
 
@@ -349,7 +353,7 @@ def fit_together(models: Together, rows: DataFrame, names: list[str], n: int, ep
     number. A row's place says which shard it is in and where."""
     size, context = int(np.clip(n // 16, *BATCH)), rows.sparkSession.sparkContext
     shards = rows.withColumn("shard", F.pmod(F.shiftright("place", 8), F.lit(SHARDS)).cast("int"))
-    shards = shards.repartition(SHARDS, "shard").sortWithinPartitions("shard", "place", "idx")
+    shards = shards.repartitionById(SHARDS, F.col("shard")).sortWithinPartitions("shard", "place", "idx")
     for epoch in range(epochs if n else 0):
         shared = context.broadcast(models.thin())
 
@@ -357,7 +361,7 @@ def fit_together(models: Together, rows: DataFrame, names: list[str], n: int, ep
             def made(own, used, met):
                 at = np.flatnonzero(used)
                 for k in range(len(own.w)):
-                    yield {"model": k, "n": met, "at": at.astype("<i4").tobytes(), "w": own.w[k, at].tobytes(), "gw": own.gw[k, at].astype("<f2").tobytes(), "rest": own.rest[:, k].tobytes()}
+                    yield {"model": k, "n": met, "at": b"" if k else at.astype("<i4").tobytes(), "w": own.w[k, at].tobytes(), "gw": own.gw[k, at].astype("<f2").tobytes(), "rest": own.rest[:, k].tobytes()}
 
             now = None
             for shard, b in _by_shard(batches, SHUFFLED):
@@ -376,7 +380,7 @@ def fit_together(models: Together, rows: DataFrame, names: list[str], n: int, ep
             for r in made(own, used, met) if now is not None else ():
                 yield pa.RecordBatch.from_pylist([r])
 
-        # Up to 1.3 MB for a model of a shard, whatever its rows: the driver takes one part of them after the other.
+        # Up to 0.8 MB for a model of a shard, whatever its rows: the driver takes one part of them after the other.
         made = stored(shards.mapInArrow(run, "model long, n long, at binary, w binary, gw binary, rest binary"), "toxic-models")
         models.mix(made.toLocalIterator(), n)
         shared.destroy()
