@@ -31,34 +31,67 @@ def norm_python(s: str) -> str:
     return " ".join(s.split())
 
 
+#: Characters that become several and that texts have often, replaced one by one.
+OFTEN = "ßẞ"
+#: The block of composed Hangul, whose parts are numbers of a letter, a vowel and an end.
+HANGUL = (0xAC00, 0xD7A3)
+
+
 @lru_cache(maxsize=1)
-def fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(characters, their single replacements with deletions last, replacements of several characters)."""
-    single, dropped, several = {}, [], []
-    for code in range(1, 0x10000):
+def fold_table() -> tuple[str, str, dict[str, str]]:
+    """(characters, their single replacements with deletions last, replacements of several characters but for Hangul)."""
+    single, dropped, several = {}, [], {}
+    for code in range(1, 0x110000):
         c = chr(code)
-        if 0xD800 <= code < 0xE000 or 0xAC00 <= code <= 0xD7A3 or c.isspace():
+        if 0xD800 <= code < 0xE000 or HANGUL[0] <= code <= HANGUL[1] or c.isspace():
+            continue
+        if c not in TYPOGRAPHY and c.casefold() == c and not unicodedata.decomposition(c) and not unicodedata.combining(c):
             continue
-        to = TYPOGRAPHY.get(c) or "".join(x for x in unicodedata.normalize("NFD", c.casefold()) if not unicodedata.combining(x))
+        to = norm_python(f"a{c}a")[1:-1]
         if to == c:
             continue
         if len(to) == 1:
             single[c] = to
         elif not to:
             dropped.append(c)
-        elif c in "ßẞœæ":
-            several.append((c, to))
-    single[" "] = " "
-    return "".join(single) + "".join(dropped), "".join(single.values()), tuple(several)
+        else:
+            several[c] = to
+    single[" "] = " "
+    return "".join(single) + "".join(dropped), "".join(single.values()), several
+
+
+def _spelled_out(text: Column) -> Column:
+    """A text whose ligatures, Hangul and the like are replaced by the characters that they fold to."""
+    several = {c: to for c, to in fold_table()[2].items() if c not in OFTEN}
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    first, last = (chr(c) for c in HANGUL)
+    jamo = [F.array(*(F.lit(chr(c)) for c in range(at, at + n))) for at, n in ((0x1100, 19), (0x1161, 21))]
+    ends = F.array(F.lit(""), *(F.lit(chr(c)) for c in range(0x11A8, 0x11A8 + 27)))
+
+    def one(c: Column) -> Column:
+        place = F.ascii(c) - HANGUL[0]
+        parts = F.concat(F.get(jamo[0], (place / 588).cast("int")), F.get(jamo[1], (place % 588 / 28).cast("int")), F.get(ends, place % 28))
+        return F.when((c >= first) & (c <= last), parts).otherwise(F.coalesce(F.try_element_at(table, c), c))
+
+    # A few spans that hold them all; what else lies in a span costs time, no more.
+    spans: list[list[int]] = []
+    for code in sorted([*map(ord, several), *HANGUL]):
+        if spans and (code - spans[-1][1] < 64 or code == HANGUL[1]):
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    held = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]"
+    beyond = f"[{chr(spans[0][0])}-\U0010ffff]"
+    return F.when(text.rlike(beyond) & text.rlike(held), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
 
 
 def norm(text: Column) -> Column:
-    """Native normal form; exact but for rare characters that fold to several (ligatures, Hangul): see norm_exact."""
+    """The normal form by built-in functions; texts with characters that fold to several others take one step more."""
     matching, replace, several = fold_table()
     out = text
-    for c, to in several:
-        out = F.replace(out, F.lit(c), F.lit(to))
-    out = F.translate(out, matching, replace)
+    for c in OFTEN:
+        out = F.replace(out, F.lit(c), F.lit(several[c]))
+    out = _spelled_out(F.translate(out, matching, replace))
     return F.trim(F.regexp_replace(out, rf"(?U){WS}+", " "))
 
 

@@ -130,3 +130,10 @@ def test_prose_of_long_words(spark):
     cases = {"ba" * 500_000: True, "bcdfgh" * 200_000: False, " ".join("bonjour" * 50_000): True, "bOnJoUr sAlUtAtIoNs": False, "BONJOUR LES AMIS": True, "cdfİfgh": True, "cdfxİ bcd fgh": False}
     rows = spark.createDataFrame(list(cases.items()), "t string, want boolean")
     assert rows.where(~text.is_prose(F.col("t")).eqNullSafe(F.col("want"))).selectExpr("left(t, 40)").collect() == []
+
+
+def test_norm_is_the_definition_for_every_character(spark):
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" a|".join(every[i : i + 400]) for i in range(0, len(every), 400)] + ["ﬁn ŉ Œuvre İstanbul 한국어 ᾳ", "é 가́"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.norm(F.col("t")).alias("n")).collect()
+    assert [r.t for r in rows if r.n != text.norm_python(r.t)] == []
