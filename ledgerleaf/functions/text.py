@@ -138,20 +138,30 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(norm(text), "[^a-z0-9]+"), lambda x: F.length(x) > 2))
 
 
-def ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
-    """Distinct runs of ``low`` to ``high`` words."""
+def ngrams(text: Column, low: int = 2, high: int = 5, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Distinct runs of ``low`` to ``high`` words; with ``keep`` those that it says. Where it says a run, it must say
+    the run's beginnings: what it drops is not made longer."""
     words = F.regexp_extract_all(text, F.lit(r"(?U)[\w'’-]+"), F.lit(0))
+    there = lambda g: g.isNotNull()
 
     def longer(w: Column, runs: Column, n: int) -> Column:
         """Runs of ``n`` words, from those of one word less."""
         left = F.greatest(F.size(w) - n + 1, F.lit(0))
         return F.slice(F.zip_with(runs, F.slice(w, n, left), lambda a, b: F.concat(a, F.lit(" "), b)), F.lit(1), left)
 
-    def from_(w: Column, runs: Column, n: int) -> Column:
+    def all_(w: Column, runs: Column, n: int) -> Column:
         more = [] if n == high else [named(longer(w, runs, n + 1), lambda r: from_(w, r, n + 1))]
         return F.concat(*([runs] if n >= low else []), *more)
 
-    return F.array_distinct(named(words, lambda w: from_(w, w, 1)))
+    def from_(w: Column, runs: Column, n: int) -> Column:
+        if not keep or n < low:
+            return all_(w, runs, n)
+        # Dropped ones are null in their places, and stay null when made longer.
+        kept = F.transform(runs, lambda g: F.when(g.isNotNull() & keep(g), g))
+        return named(kept, lambda r: F.when(F.exists(r, there), all_(w, r, n)).otherwise(F.array().cast("array<string>")))
+
+    found = named(words, lambda w: from_(w, w, 1))
+    return F.array_distinct(F.filter(found, there) if keep else found)
 
 
 # A letter, or a mark or joiner within a word; most are told by the first part of the class, which is the quick one.

@@ -507,8 +507,7 @@ c AS (SELECT x.dest, gram, count(*) AS have FROM x JOIN g USING (dest) GROUP BY
 SELECT dest, gram AS phrase FROM c JOIN u USING (gram) WHERE total = have QUALIFY row_number() OVER (PARTITION BY dest ORDER BY length(gram), gram) = 1"""
 )
 def mine_phrase(spark, sf):
-    e = moved(spark, sf)
-    return learn.by_phrase(e, learn.moves(e))
+    return learn.by_phrase(moved(spark, sf))
 
 
 @query(
