@@ -7,6 +7,7 @@ from collections.abc import Callable
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -193,8 +194,8 @@ def named(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def is_prose(text: Column) -> Column:
-    """Whether a text is language and not an extractor's debris; null and empty texts are not."""
+def _by_expressions(text: Column) -> Column:
+    """The prose test by expressions alone, for texts with characters that ``_kinds`` does not tell."""
 
     def by_joined(joined: Column) -> Column:
         return named(F.regexp_count(joined, F.lit(_WORD)), lambda n: (n > 0) & (_plausible(joined) >= n * PLAUSIBLE_SHARE))
@@ -206,11 +207,95 @@ def is_prose(text: Column) -> Column:
         spaced = (parts >= SPACED_TOKENS) & (single > parts * SPACED_SHARE)
         return named(F.when(spaced, without).otherwise(rest), by_joined)
 
+    return F.coalesce(named(_without_marks(text), by_rest), F.lit(False))
+
+
+def _without_marks(text: Column) -> Column:
+    """The flat text with a space for each mark; null where it is empty or marks are too many."""
+
     def by_flat(flat: Column) -> Column:
         # Every mark has one of the two.
         marked = F.contains(flat, F.lit("/")) | F.contains(flat, F.lit("cid:"))
         marks = F.when(marked, F.length(flat) - F.length(F.regexp_replace(flat, GLYPH, ""))).otherwise(0)
         rest = F.when(marked, F.regexp_replace(flat, GLYPH, " ")).otherwise(flat)
-        return (F.length(flat) > 0) & (marks <= F.length(flat) * GLYPH_SHARE) & named(rest, by_rest)
+        return F.when((F.length(flat) > 0) & (marks <= F.length(flat) * GLYPH_SHARE), rest)
 
     return named(flatten(F.coalesce(text, F.lit(""))), by_flat)
+
+
+# What a character is to the prose test, and the characters whose kind is told.
+LETTER_KIND, VOWEL_KIND, CAPITAL_KIND, SMALL_KIND, OTHER_KIND = 1, 2, 4, 8, 16
+KNOWN_UP_TO, MARKS_FROM, MARKS_TO = 0x17F, 0x2010, 0x203E
+#: Characters that are judged at once.
+AT_ONCE = 1_000_000
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """By code: whether it is a letter as ``_LETTER`` says, a vowel, a capital, or has another upper case; or not known."""
+    kinds = np.full(MARKS_TO + 2, OTHER_KIND, np.uint8)
+    for code in (*range(KNOWN_UP_TO + 1), *range(MARKS_FROM, MARKS_TO + 1)):
+        c = chr(code)
+        letter = unicodedata.category(c)[0] == "L"
+        kinds[code] = letter * LETTER_KIND + (c in VOWELS + VOWELS.upper() + "\u0130") * VOWEL_KIND + (unicodedata.category(c) == "Lu") * CAPITAL_KIND + (c.upper() != c) * SMALL_KIND
+    return kinds
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of texts, each with a line end, which flat texts have none of; where each begins."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), "<u4")
+    return codes, np.r_[0, np.flatnonzero(codes == 10)[:-1] + 1]
+
+
+def prose_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each flat text is prose as ``_by_expressions`` says, and whether its characters are all known."""
+    codes, starts = _codes(texts)
+    edge = (codes == 32) | (codes == 10)
+    parts = np.add.reduceat(codes == 32, starts, dtype=np.int64) + 1
+    single = np.add.reduceat(~edge & np.r_[True, edge[:-1]] & np.r_[edge[1:], True], starts, dtype=np.int64)
+    spaced = (parts >= SPACED_TOKENS) & (single > parts * SPACED_SHARE)
+    if spaced.any():
+        codes, starts = _codes([t.replace(" ", "") if s else t for t, s in zip(texts, spaced, strict=True)])
+    kinds = _kinds()[np.minimum(codes, MARKS_TO + 1)]
+    upto = lambda flags: np.r_[0, np.cumsum(flags, dtype=np.int32)]
+    change = np.diff(np.r_[np.int8(0), (kinds & LETTER_KIND).view(np.int8), np.int8(0)])
+    first, last = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    long = last - first >= 3
+    first, last = first[long], last[long]
+    # Five other letters from here on.
+    five = (kinds & (LETTER_KIND | VOWEL_KIND)) == LETTER_KIND
+    for step in (1, 2, 1):
+        five = five & np.r_[five[step:], np.zeros(min(step, len(five)), bool)]
+    vowels, fives = upto(kinds & VOWEL_KIND > 0), upto(five)
+    good = (vowels[last] > vowels[first]) & (fives[last] == fives[first])
+    capitals, small = upto(kinds & CAPITAL_KIND > 0), upto(kinds & SMALL_KIND > 0)
+    sprayed = (small[last] > small[first]) & (capitals[last] - capitals[first + 1] > (last - first - 1) * SPRAYED_SHARE)
+    words, plausible = (np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(texts)) for at in (first, first[good & ~sprayed]))
+    return (words > 0) & (plausible >= words * PLAUSIBLE_SHARE), ~np.logical_or.reduceat(kinds == OTHER_KIND, starts)
+
+
+@F.pandas_udf(T.BooleanType())
+def _prose(flat: pd.Series) -> pd.Series:
+    """``prose_of``; null where a text has characters that it does not know, false for null."""
+    out, held, size = [None] * len(flat), [], 0
+    rows = [*enumerate(flat), (len(out), None)]
+    for i, t in rows:
+        if t is not None:
+            held.append((i, t))
+            size += len(t)
+        elif i < len(out):
+            out[i] = False
+        if held and (size >= AT_ONCE or i == len(out)):
+            for (k, _), prose, known in zip(held, *prose_of([t for _, t in held]), strict=True):
+                out[k] = bool(prose) if known else None
+            held, size = [], 0
+    return pd.Series(out, dtype=object)
+
+
+def is_prose(text: Column) -> Column:
+    """Whether a text is language and not an extractor's debris; null and empty texts are not.
+
+    Characters are judged in arrays, many texts at a time; texts with ones beyond Latin letters and common
+    punctuation by expressions.
+    """
+    return F.coalesce(_prose(_without_marks(text)), _by_expressions(text))

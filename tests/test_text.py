@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 from hypothesis import given, settings
@@ -137,3 +138,25 @@ def test_norm_is_the_definition_for_every_character(spark):
     texts = [" a|".join(every[i : i + 400]) for i in range(0, len(every), 400)] + ["ﬁn ŉ Œuvre İstanbul 한국어 ᾳ", "é 가́"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.norm(F.col("t")).alias("n")).collect()
     assert [r.t for r in rows if r.n != text.norm_python(r.t)] == []
+
+
+def test_prose_by_arrays_is_that_by_expressions(spark):
+    """Every known character's kind; made texts with odd ones, spaced letters, five others in a row and marks."""
+    known = [chr(c) for c in (*range(1, text.KNOWN_UP_TO + 1), *range(text.MARKS_FROM, text.MARKS_TO + 1))]
+    c = F.col("v")
+    said = [c.rlike(f"(?U)^{text._LETTER}$"), c.rlike(f"^{text._VOWEL}$"), c.rlike(r"(?U)^\p{Lu}$"), c != F.upper(c)]
+    kinds = column(spark, known, lambda _: sum((x.cast("int") * k for x, k in zip(said[1:], (2, 4, 8))), said[0].cast("int")))
+    assert kinds == [int(text._kinds()[ord(x)]) for x in known]
+    rng = random.Random(1)
+    alphabets = ("aeiouybc", "aebcdfgBCD ", "aebcdfghkABEZéÀßİ'’- _0 1\t\n/—cid:µª", "aeb bc日́ﬁ 한ǅ")
+    made = ["".join(rng.choice(a) for _ in range(rng.randint(0, 40))) for a in alphabets for _ in range(1500)]
+    made += [" ".join(rng.choice("aebcdE1é") * rng.choice((1, 1, 1, 3)) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    assert column(spark, [*made, None], text.is_prose) == column(spark, [*made, None], text._by_expressions)
+
+
+def test_prose_is_judged_many_texts_at_a_time(spark):
+    """The expressions, which take ten times as long, are left to texts with characters that arrays do not tell."""
+    flat = ["Quittance de loyer, payée à l’heure", "ÅÁgkIYIr GgIkZ BxQz", "", "日本語 text", "word " * 300_000]
+    prose, told = text.prose_of(flat)
+    assert told.tolist() == [True, True, True, False, True]
+    assert prose[told].tolist() == [True, False, False, True]
