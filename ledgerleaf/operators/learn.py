@@ -27,7 +27,9 @@ def judged_shadows(entries: DataFrame) -> DataFrame:
 
     Judged on where the file ended, not on whether it moved.
     """
-    p = entries.select("rel", "result", "final", "tags", F.explode("shadow").alias("s")).withColumn("at", F.coalesce("final", "rel"))
+    # Not explode, for which the optimizer asks beforehand whether there are any, and so reads the texts twice.
+    each = entries.select("rel", "result", "final", "tags", F.explode_outer("shadow").alias("s")).where("s is not null")
+    p = each.withColumn("at", F.coalesce("final", "rel"))
     open_ = ~(F.coalesce("result", F.lit("")) != "") | (F.col("result") == "failed")
     there = text.norm(F.col("at")).startswith(text.norm(F.col("s.destination")))
     agrees = F.when(open_, None).when(F.coalesce("s.destination", F.lit("")) != "", there).when(F.coalesce(F.size("s.tags"), F.lit(0)) > 0, tag.contained(F.col("s.tags"), F.coalesce("tags", F.array().cast("array<string>"))))
@@ -41,8 +43,11 @@ def scores(entries: DataFrame) -> DataFrame:
 
 
 def diverging(entries: DataFrame) -> DataFrame:
-    """rule, n, examples: the first three, by path; most divergent first."""
-    j = judged_shadows(entries).where(~F.col("agrees"))
+    """rule, n, examples: the first three, by path; most divergent first. Rules are tried once; what diverged is written
+    down and read for both."""
+    path = scratch(entries.sparkSession, "diverging")
+    judged_shadows(entries).where(~F.col("agrees")).select("rule", "final", "wanted").write.parquet(path)
+    j = entries.sparkSession.read.parquet(path)
     place = F.row_number().over(W.partitionBy("rule").orderBy("final", "wanted"))
     said = F.concat(F.col("final"), F.lit(" (rule wanted "), F.col("wanted"), F.lit(")"))
     few = j.withColumn("place", place).where(F.col("place") <= EXAMPLES)

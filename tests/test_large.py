@@ -1,10 +1,13 @@
 """What steps deal out and make anew, on tables made for it."""
 
+import re
+
 import pandas as pd
 import pytest
 
 from ledgerleaf import registry
 from ledgerleaf.operators import learn
+from ledgerleaf.queries import relational
 
 
 def shuffled(spark, run):
@@ -37,3 +40,11 @@ def test_a_full_map_changes_no_phrase(spark, monkeypatch):
     want = sorted(map(tuple, registry.QUERIES["mine_phrase"](spark, "/root/testdata/sf0.001").collect()))
     monkeypatch.setattr(learn, "MAP_BITS", 64)
     assert sorted(map(tuple, registry.QUERIES["mine_phrase"](spark, "/root/testdata/sf0.001").collect())) == want and want
+
+
+@pytest.mark.parametrize("name", ["diverging", "unanswered"])
+def test_texts_are_brought_into_normal_form_once(spark, name):
+    """No filter that the optimizer moves below the rules repeats them: the plans have one normal form of the texts."""
+    made = learn.judged_shadows(relational.settled_entries(spark, "/root/testdata/sf0.001")) if name == "diverging" else registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert sum(bool(re.search(r"translate\(replace\(replace\(coalesce\(text#\d+", line)) for line in plan.split("\n")) == 1
