@@ -245,9 +245,11 @@ def mined_rules(entries: DataFrame, ledger: DataFrame, pass_id: str, existing: l
 def unanswered(entries: DataFrame) -> DataFrame:
     """rel, reason of the entries that a pass leaves open."""
     settled = (F.coalesce("result", F.lit("")) != "") & (F.coalesce("decision", F.lit("")) != "unanswered")
-    open_ = entries.where((F.coalesce("triage", F.lit("")) != "skip") & ~settled)
+    open_ = (F.coalesce("triage", F.lit("")) != "skip") & ~settled
     first = lambda *cs: F.coalesce(*(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)) for c in cs))
-    return open_.select("rel", F.coalesce(first("reason", "why"), F.lit("reached the end of the pass without a decision")).alias("reason"))
+    row = F.struct("rel", F.coalesce(first("reason", "why"), F.lit("reached the end of the pass without a decision")).alias("reason"))
+    # Not a filter on triage, which would be moved below triage and read the texts a second time.
+    return entries.select(F.explode_outer(F.when(open_, F.array(row))).alias("row")).where("row is not null").select("row.rel", "row.reason")
 
 
 def learn_report(entries: DataFrame) -> DataFrame:
