@@ -28,7 +28,7 @@ def texts(tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["mine_phrase"])
+@pytest.mark.parametrize("name", ["mine_phrase", "mine_rules"])
 def test_phrases_are_not_dealt_out_before_they_are_shared(spark, texts, name, monkeypatch):
     monkeypatch.setattr(learn, "MAP_BITS", 1 << 18, raising=False)
     rows, written = shuffled(spark, lambda: registry.QUERIES[name](spark, texts).collect())
