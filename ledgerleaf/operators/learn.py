@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import identifiers, paths, text
+from ledgerleaf.functions import identifiers, paths, runs, text
 from ledgerleaf.plans.conditions import compiled, prepared
 from ledgerleaf.plans.config import LEARNING
 from ledgerleaf.sources.scratch import scratch
@@ -135,11 +134,10 @@ def _in_map(words: Column, key: Column) -> Column:
 _FILLED = "coalesce(text, '') <> ''"
 
 
-def _grams(rows: DataFrame, *columns: str, key: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The columns and gram: the distinct phrases of each text; with ``key`` those whose key is in column map."""
+def _grams(rows: DataFrame, *columns: str, salt: Column | None = None, bits: Broadcast | None = None) -> DataFrame:
+    """The columns and gram: the distinct phrases of each text; with a map (``runs``) those that it may hold."""
     said = text.norm(F.col("text"))
-    # The map is named once, so that it stays one value and is not copied into rows.
-    grams = text.named(F.col("map"), lambda w: text.ngrams(said, keep=lambda g: _in_map(w, key(g)))) if key else text.ngrams(said)
+    grams = text.ngrams(said) if bits is None else runs.in_map(said, salt, bits)
     # Not explode, for which the optimizer asks beforehand whether there are any, and so makes them twice.
     return rows.where(_FILLED).select(*columns, grams.alias("grams")).select(*columns, F.explode_outer("grams").alias("gram")).where("gram is not null")
 
@@ -157,8 +155,8 @@ def _common(entries: DataFrame) -> DataFrame:
     folders = kinds.groupBy("dest").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.min("ext").alias("k"), F.max("ext").alias("k2"), F.min("least").alias("least"))
     folders = folders.where((F.col("n") >= LEAST_MOVES) & (F.col("texts") == F.col("n")))
     short = _with_map(m, folders.select(F.xxhash64("dest", "least").alias("key"))).where(_in_map(F.col("map"), F.col("drawn")))
-    asked = _grams(short, "dest").select(F.xxhash64("dest", "gram").alias("key"))
-    have = _grams(_with_map(m, asked), "dest", key=lambda g: F.xxhash64("dest", g)).groupBy("dest", "gram").agg(F.count(F.lit(1)).alias("have"))
+    asked = runs.map_of(_grams(short, "dest"), F.col("dest"), F.col("gram"), MAP_BITS)
+    have = _grams(m, "dest", salt=F.col("dest"), bits=asked).groupBy("dest", "gram").agg(F.count(F.lit(1)).alias("have"))
     return have.join(folders, "dest").where("have = n").select("dest", F.when(F.col("k") == F.col("k2"), F.col("k")).alias("kind"), "gram", "have")
 
 
@@ -168,7 +166,8 @@ def phrases(entries: DataFrame) -> DataFrame:
     spark, path = entries.sparkSession, scratch(entries.sparkSession, "phrases")
     _common(entries).write.parquet(path)
     common = spark.read.parquet(path)
-    others = _grams(_with_map(entries, common.select(F.xxhash64("gram").alias("key"))), "ext", key=F.xxhash64)
+    anyone = F.lit("")
+    others = _grams(entries, "ext", salt=anyone, bits=runs.map_of(common, anyone, F.col("gram"), MAP_BITS))
     seen = others.groupBy("gram", "ext").agg(F.count(F.lit(1)).alias("total"))
     kinds = F.map_from_entries(F.collect_list(F.when(F.col("ext").isNotNull(), F.struct("ext", "total"))))
     both = common.join(seen.groupBy("gram").agg(F.sum("total").alias("total"), kinds.alias("kinds")), "gram")
@@ -188,7 +187,9 @@ def by_identifier(entries: DataFrame, m: DataFrame, ledger: DataFrame) -> DataFr
     common = values(m).groupBy("dest", "value").agg(F.count(F.lit(1)).alias("have"), F.max("n").alias("n")).where("have = n")
     total = values(entries).groupBy("value").agg(F.count(F.lit(1)).alias("total"))
     unique = common.join(total, "value").where("total = have").select("dest", "value")
-    past = values(log.latest(ledger).select("path", "ids")).select("value", text.norm(F.col("path")).alias("at")).distinct()
+    # Of a ledger's lines no more than this goes to their last one.
+    lines = log.latest(log.files(ledger).select("path", "ids", "seq"))
+    past = values(lines).select("value", text.norm(F.col("path")).alias("at")).distinct()
     elsewhere = unique.join(past, "value").where(~F.col("at").startswith(text.norm(F.concat("dest", F.lit("/"))))).select("dest", "value").distinct()
     return unique.join(elsewhere, ["dest", "value"], "left_anti").groupBy("dest").agg(F.min("value").alias("value"))
 
