@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import paths, text
+from ledgerleaf.functions import maps, paths, text
 from ledgerleaf.plans.conditions import compiled, prepared, sensitive_hit
-from ledgerleaf.sources.scratch import scratch
+from ledgerleaf.sources.scratch import kept
 
 from . import collect
 from . import ledger as log
@@ -44,9 +44,7 @@ def second_name(path: Column) -> Column:
 
 def _kept(rows: DataFrame) -> DataFrame:
     """``rows``, written and read again: each round of a resolution starts from a table."""
-    path = scratch(rows.sparkSession, "moves")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return kept(rows, "moves")
 
 
 def _settled(moves: DataFrame, there: DataFrame, folders: DataFrame, before: DataFrame | None) -> DataFrame:
@@ -132,16 +130,43 @@ def keepers(decided: DataFrame, files: DataFrame) -> DataFrame:
     return alive.select("rel", "keeper", F.coalesce(F.col("md5") == F.col("keeper_md5"), F.lit(False)).alias("same"))
 
 
-def superseded(decided: DataFrame, files: DataFrame, families: list[dict]) -> DataFrame:
-    """rel, keeper, family: the first declared family that both the row and its keeper belong to."""
-    spark = decided.sparkSession
-    if not families:
-        return spark.createDataFrame([], "rel string, keeper string, family string")
+def _families(families: list[dict]) -> Column:
+    """Over a ``prepared`` frame: the declared families that a file belongs to, each with its place."""
     member = [F.when(compiled({k: v for k, v in f.items() if k != "id"}).match, F.lit(f"{i:06d} {f.get('id', 'supersedable')}")) for i, f in enumerate(families)]
-    of = prepared(files).select("rel", F.filter(F.array(*member), lambda x: x.isNotNull()).alias("families"))
-    pairs = keepers(decided, files).join(of, "rel").join(of.select(F.col("rel").alias("keeper"), F.col("families").alias("theirs")), "keeper")
+    return F.filter(F.array(*member), lambda x: x.isNotNull()) if member else F.array().cast("array<string>")
+
+
+def _superseded(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """rel, keeper, family of the ``pairs`` that share one. ``of``: rel, families."""
+    of = of.select("rel", "families").where(F.size("families") > 0)
+    both = pairs.join(of, "rel").join(of.select(F.col("rel").alias("keeper"), F.col("families").alias("theirs")), "keeper")
     first = F.array_min(F.array_intersect("families", "theirs"))
-    return pairs.where(F.arrays_overlap("families", "theirs")).select("rel", "keeper", F.substr(first, F.lit(8), F.length(first)).alias("family"))
+    return both.where(F.arrays_overlap("families", "theirs")).select("rel", "keeper", F.substr(first, F.lit(8), F.length(first)).alias("family"))
+
+
+def superseded(decided: DataFrame, files: DataFrame, families: list[dict]) -> DataFrame:
+    """rel, keeper, family: the first declared family that both the row and its keeper belong to. What texts say of
+    the families is written down and read for both."""
+    if not families:
+        return decided.sparkSession.createDataFrame([], "rel string, keeper string, family string")
+    of = kept(prepared(files).select("rel", _families(families).alias("families")), "families")
+    return _superseded(keepers(decided, files), of)
+
+
+def _told(decided: DataFrame, files: DataFrame, guard: dict | None) -> DataFrame:
+    """rel, md5, size, prose, hit, families (and doc_year where ``decided`` has it and the guard asks for it) of the files
+    that are to be binned or named as keepers: all that a guard asks of texts, told where they are read. A few other
+    files may be among them."""
+    rows = decided.where("decision = 'trash'")
+    keys = rows.select(F.xxhash64("rel").alias("key")).unionByName(decided.where(_filled("keeper")).select(F.xxhash64("keeper").alias("key")))
+    few = maps.in_map(files, F.xxhash64("rel"), keys)
+    # Trivial files are binned whatever they say.
+    e = few.withColumn("prose", text.is_prose(F.when(F.col("size") > collect.TRIVIAL_BYTES, F.col("text"))))
+    e = prepared(e).withColumn("families", _families((guard or {}).get("supersedable") or []))
+    # The year that a guard sees is the decided row's.
+    year = ["doc_year"] if "doc_year" in decided.columns and "doc_year_in" in str(guard) else []
+    e = e.drop("doc_year").join(rows.select("rel", "doc_year").distinct(), "rel", "left") if year else e.withColumn("doc_year", F.lit(None).cast("int"))
+    return e.select("rel", "md5", "size", "prose", sensitive_hit(guard).alias("hit"), "families", *year)
 
 
 def trash_guard(decided: DataFrame, files: DataFrame, config: dict) -> DataFrame:
@@ -149,16 +174,24 @@ def trash_guard(decided: DataFrame, files: DataFrame, config: dict) -> DataFrame
 
     Nothing is binned while no guard is configured; nor what cannot be read, unless it is small, was looked at, or a
     copy of its bytes stays; nor what the guard protects, unless such a copy or a later edition stays.
+
+    What texts say is written down once and joined without them.
     """
     guard = config.get("sensitive")
-    rows = decided.where("decision = 'trash'")
-    texts = files.select("rel", "text", "size", "ext", "ids")
-    e = prepared(rows.drop("text", "size", "ext", "ids").join(texts, "rel"))
-    twin = keepers(decided, files).where("same").select("rel", F.col("keeper").alias("twin"))
-    older = superseded(decided, files, (guard or {}).get("supersedable") or []).select("rel", F.col("keeper").alias("newer"), "family")
-    e = e.join(twin, "rel", "left").join(older, "rel", "left").withColumn("hit", sensitive_hit(guard))
+    told = kept(_told(decided, files, guard), "told")
+    rows = decided.where("decision = 'trash'").drop("text", "ext", "ids", "md5", "size", "prose", "hit", "families")
+    e = rows.join(told.drop("md5", "families", "doc_year"), "rel")
+    known = told
+    if "doc_year" in told.columns:
+        of_row = rows["rel"] == told["rel"]
+        e = rows.join(told.drop("md5", "families"), of_row & rows["doc_year"].eqNullSafe(told["doc_year"])).drop(told["rel"], told["doc_year"])
+        known = told.dropDuplicates(["rel"])
+    pairs = keepers(decided, known)
+    twin = pairs.where("same").select("rel", F.col("keeper").alias("twin"))
+    older = _superseded(pairs, known).select("rel", F.col("keeper").alias("newer"), "family")
+    e = e.join(twin, "rel", "left").join(older, "rel", "left")
     kept_by_bytes = F.col("twin").isNotNull()
-    unreadable = ~F.coalesce(text.is_prose(F.col("text")), F.lit(False)) & (F.col("size") > collect.TRIVIAL_BYTES) & ~kept_by_bytes & ~F.coalesce(F.col("reviewed") == "vision", F.lit(False))
+    unreadable = ~F.coalesce("prose", F.lit(False)) & (F.col("size") > collect.TRIVIAL_BYTES) & ~kept_by_bytes & ~F.coalesce(F.col("reviewed") == "vision", F.lit(False))
     protected = F.col("hit").isNotNull() & ~kept_by_bytes & F.col("newer").isNull()
     why = F.when(F.lit(not guard), F.lit(NO_GUARD))
     why = why.when(unreadable, F.lit(UNREADABLE))

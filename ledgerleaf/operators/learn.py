@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import identifiers, paths, runs, text
+from ledgerleaf.functions import identifiers, maps, paths, runs, text
 from ledgerleaf.plans.conditions import compiled, prepared
 from ledgerleaf.plans.config import LEARNING
 from ledgerleaf.sources.scratch import scratch
@@ -17,8 +17,8 @@ from . import tags as tag
 
 # Moves that make a pattern, letters of a common name, candidates a full audit reads, examples shown.
 LEAST_MOVES, LEAST_PREFIX, AUDITED, EXAMPLES = 3, 6, 500, 3
-#: Bits of a map of hashes, 2 MB of them.
-MAP_BITS = 1 << 24
+#: Bits of a map of hashes.
+MAP_BITS = maps.BITS
 
 
 def judged_shadows(entries: DataFrame) -> DataFrame:
@@ -114,23 +114,6 @@ def by_prefix(entries: DataFrame, m: DataFrame) -> DataFrame:
     return hits.groupBy("dest", "prefix").agg(F.count(F.lit(1)).alias("total"), F.max("n").alias("n")).where("total = n").select("dest", "prefix")
 
 
-def _with_map(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` with column map: the hashes in ``keys`` (its column key), a bit for each, 64 to a number.
-
-    A bit may stand for several hashes, so what ``_in_map`` lets through is counted exactly afterwards; a full map
-    lets more through and changes no result.
-    """
-    at = keys.select(F.col("key").bitwiseAND(F.lit(MAP_BITS - 1)).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits"))
-    every = rows.sparkSession.range(MAP_BITS // 64).join(words, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
-    return rows.withColumn("map", every.agg(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["bits"])).scalar())
-
-
-def _in_map(words: Column, key: Column) -> Column:
-    at = key.bitwiseAND(F.lit(MAP_BITS - 1))
-    return F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
 _FILLED = "coalesce(text, '') <> ''"
 
 
@@ -154,7 +137,7 @@ def _common(entries: DataFrame) -> DataFrame:
     kinds = m.groupBy("dest", "ext").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr(_FILLED)).alias("texts"), F.min(drawn).alias("least"))
     folders = kinds.groupBy("dest").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.min("ext").alias("k"), F.max("ext").alias("k2"), F.min("least").alias("least"))
     folders = folders.where((F.col("n") >= LEAST_MOVES) & (F.col("texts") == F.col("n")))
-    short = _with_map(m, folders.select(F.xxhash64("dest", "least").alias("key"))).where(_in_map(F.col("map"), F.col("drawn")))
+    short = maps.in_map(m, F.col("drawn"), folders.select(F.xxhash64("dest", "least").alias("key")), MAP_BITS)
     asked = runs.map_of(_grams(short, "dest"), F.col("dest"), F.col("gram"), MAP_BITS)
     have = _grams(m, "dest", salt=F.col("dest"), bits=asked).groupBy("dest", "gram").agg(F.count(F.lit(1)).alias("have"))
     return have.join(folders, "dest").where("have = n").select("dest", F.when(F.col("k") == F.col("k2"), F.col("k")).alias("kind"), "gram", "have")

@@ -360,8 +360,10 @@ def trash_guard(spark, sf):
     """Every file against the guard but those that stay: the first copy of each repeated content and the newest license."""
     from pyspark.sql import Window as W
 
+    from ledgerleaf.sources.scratch import kept
+
     f = files(spark, sf)
-    marked = prepared(f).select("rel", "size", "md5", t.says(F.col("text_norm"), F.col("text_glued"), "license").alias("lic"))
+    marked = kept(prepared(f).select("rel", "size", "md5", t.says(F.col("text_norm"), F.col("text_glued"), "license").alias("lic")), "licenses")
     last = marked.where("lic").agg(F.max("rel").alias("newest"))
     same = W.partitionBy("size", "md5")
     d = marked.select("rel", "md5", "lic", F.min("rel").over(same).alias("first"), F.count(F.lit(1)).over(same).alias("copies")).join(F.broadcast(last))
