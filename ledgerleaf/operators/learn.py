@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.functions import identifiers, maps, paths, runs, text
 from ledgerleaf.plans.conditions import compiled, prepared
 from ledgerleaf.plans.config import LEARNING
-from ledgerleaf.sources.scratch import scratch
+from ledgerleaf.sources.scratch import kept, scratch
 
 from . import ledger as log
 from . import tags as tag
@@ -213,14 +213,15 @@ def mined_rules(entries: DataFrame, ledger: DataFrame, pass_id: str, existing: l
     said = lambda c: F.array(c).alias("text_contains_any")
     c3 = F.when(F.col("phrase").isNotNull(), F.to_json(F.struct(said("phrase"))))
     c5 = F.when(F.col("kind_phrase").isNotNull(), F.to_json(F.struct(F.array("ext").alias("ext"), said("kind_phrase"))))
-    f35 = phrases(entries).select("dest", c3.alias("c3"), c5.alias("c5"))
+    # Written and read again, as what is found is: one plan of all forms, twice, would fill the driver.
+    f35 = kept(phrases(entries).select("dest", c3.alias("c3"), c5.alias("c5")), "rules")
     f4 = by_identifier(entries, m, ledger).select("dest", F.to_json(F.struct(F.array("value").alias("ids_any"))).alias("c4"))
     g = m.groupBy("dest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_year").alias("y"), F.max("doc_year").alias("y2"), F.count("doc_year").alias("with_year"))
     for f in (f1, f2, f35, f4):
         g = g.join(f, "dest", "left")
     cs = [F.col(f"c{i}") for i in range(1, 6)]
     form = F.coalesce(*(F.when(c.isNotNull(), i) for i, c in enumerate(cs, 1)))
-    found = g.withColumns({"form": form, "condition": F.coalesce(*cs)}).where("condition is not null")
+    found = kept(g.withColumns({"form": form, "condition": F.coalesce(*cs)}).where("condition is not null"), "rules")
     year = F.when((F.col("y") == F.col("y2")) & (F.col("with_year") == F.col("n")), F.col("y"))
     named = found.join(rule_ids(found.select("dest"), existing), "dest")
     return named.select("id", "form", "condition", template(F.col("dest"), year).alias("destination"), F.concat(F.lit(f"{pass_id}: "), F.col("n").cast("string"), F.lit(" moves to "), F.col("dest")).alias("learned_from"))

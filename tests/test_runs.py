@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerleaf import registry
 from ledgerleaf.functions import runs
 from ledgerleaf.functions import text as t
 from ledgerleaf.operators import learn
@@ -53,3 +54,9 @@ def test_last_lines_hold_only_what_is_asked(spark):
     plan = learn.by_identifier(e, learn.moves(e), relational.ledger(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     last = [line for line in plan.split("\n") if "max_by" in line]
     assert last and not any("desc" in line or "md5" in line for line in last)
+
+
+def test_rules_are_named_from_what_was_found(spark):
+    """The last plan, which reads the found rules twice, has none of the steps that find them."""
+    plan = registry.QUERIES["mine_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" not in plan and "user_id" not in plan
